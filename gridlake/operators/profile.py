@@ -72,8 +72,7 @@ def step_seconds(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, ts="ts") -> Dat
         prev = F.lag(F.col(ts), 1).over(w)
         return {"step_s": (F.unix_micros(F.col(ts).cast("timestamp"))
                            - F.unix_micros(prev.cast("timestamp"))) / F.lit(1e6)}
-    out = windowed(df, cols, halo=1, spec=spec)
-    return out.withColumn("step_s", F.col("step_s").cast("bigint"))
+    return windowed(df, cols, halo=1, spec=spec)
 
 
 def quality_report(df: DataFrame, measure_cols: list[str], power_cols: list[str],

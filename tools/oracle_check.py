@@ -35,11 +35,10 @@ def _norm(v):
     return v
 
 
-def _rows(pdf: pd.DataFrame):
-    cols = sorted(pdf.columns)
-    out = []
-    for rec in pdf[cols].itertuples(index=False):
-        out.append(tuple(_norm(x) for x in rec))
+def _rows(tbl):
+    cols = sorted(tbl.column_names)
+    data = {c: tbl.column(c).to_pylist() for c in cols}
+    out = [tuple(_norm(data[c][i]) for c in cols) for i in range(tbl.num_rows)]
     return cols, sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
@@ -55,7 +54,7 @@ def main():
         q = REGISTRY[name]
         t0 = time.time()
         try:
-            sdf = q.spark(spark, sf).toPandas()
+            sdf = q.spark(spark, sf).toArrow()
         except Exception as exc:  # noqa: BLE001
             print(f"FAIL {name}: spark error {str(exc)[:400]}")
             bad += 1
@@ -63,10 +62,10 @@ def main():
         ts = time.time() - t0
         sql = q.oracle()
         if sql is None:
-            print(f"ROWS {name}: {len(sdf)} rows (no oracle) {ts:.1f}s")
+            print(f"ROWS {name}: {sdf.num_rows} rows (no oracle) {ts:.1f}s")
             continue
         try:
-            odf = con.execute(sql).df()
+            odf = con.sql(sql).to_arrow_table()
         except Exception as exc:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(exc)[:600]}")
             bad += 1
