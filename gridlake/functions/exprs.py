@@ -91,8 +91,16 @@ def clearness_index(ghi, h, strict: bool = False) -> Column:
     return clip(guarded_ratio(ghi, ext, day), 0.0, 1.0)
 
 
+def cube(x) -> Column:
+    return col(x) * col(x) * col(x)
+
+
+def square(x) -> Column:
+    return col(x) * col(x)
+
+
 def theoretical_wind_kw(rho, v) -> Column:
-    return F.lit(0.5) * col(rho) * F.lit(ROTOR_AREA_M2) * F.pow(col(v), 3) / F.lit(1000.0)
+    return F.lit(0.5) * col(rho) * F.lit(ROTOR_AREA_M2) * cube(v) / F.lit(1000.0)
 
 
 def power_coefficient(power, rho, v) -> Column:
@@ -117,4 +125,4 @@ def complementarity(s, s_lo, s_hi, w, w_lo, w_hi) -> Column:
 
 
 def wind_power_density(rho, v) -> Column:
-    return F.lit(0.5) * col(rho) * F.pow(col(v), 3)
+    return F.lit(0.5) * col(rho) * cube(v)

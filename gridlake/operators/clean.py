@@ -151,17 +151,24 @@ def clean_wind(df: DataFrame, power_cols=("wind_kw",), speed_cols=("wind_speed",
 def outlier_bounds(df: DataFrame, cols: list[str], scope=None, key=("site_id",),
                    exact: bool = True, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """FLT2 report: per key and column Q1, Q3, bounds and number of outliers."""
-    bounds = quartiles(df, cols, scope, key, exact)
-    j = join_small(df, bounds, list(key), "inner", name="quartiles")
-    aggs = []
+    from gridlake.plans.materialize import broadcast_if_small
+
+    bounds = broadcast_if_small(quartiles(df, cols, scope, key, exact), name="quartiles")
+    j = df.join(bounds, list(key), "inner")
+    hits = []
     for c in cols:
         hit = outlier_flag(c, multiplier)
         if scope is not None:
             hit = scope & hit
-        aggs.append(F.struct(
-            F.max(f"{c}__q1").alias("q1"), F.max(f"{c}__q3").alias("q3"),
-            F.max(F.col(f"{c}__q1") - F.lit(multiplier) * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias("lower"),
-            F.max(F.col(f"{c}__q3") + F.lit(multiplier) * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias("upper"),
-            F.count_if(F.coalesce(hit, F.lit(False))).alias("n_outliers")).alias(c))
-    wide = j.groupBy(*key).agg(*aggs)
-    return wide.unpivot(list(key), cols, "column", "b").select(*key, "column", "b.*")
+        hits.append(F.count_if(F.coalesce(hit, F.lit(False))).alias(f"{c}__n"))
+    wide = j.groupBy(*key).agg(*hits).join(bounds, list(key), "inner")
+    m = F.lit(multiplier)
+    structs = []
+    for c in cols:
+        q1, q3 = F.col(f"{c}__q1"), F.col(f"{c}__q3")
+        structs.append(F.struct(q1.alias("q1"), q3.alias("q3"), (q1 - m * (q3 - q1)).alias("lower"),
+                                (q3 + m * (q3 - q1)).alias("upper"),
+                                F.col(f"{c}__n").alias("n_outliers")).alias(c))
+    from gridlake.operators.profile import struct_rows
+
+    return struct_rows(wide.select(*key, *structs), list(key), cols)

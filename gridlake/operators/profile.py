@@ -13,6 +13,18 @@ from pyspark.sql.types import NumericType, StringType
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
 
+def struct_rows(wide: DataFrame, key, cols: list[str], name: str = "column") -> DataFrame:
+    """One row per (key, struct column), the struct's fields as columns.
+
+    A union of small projections rather than ``unpivot``: unpivoting struct
+    columns trips a code-generation bug (subexpression elimination inside
+    Expand) and the stage falls back to interpreted evaluation."""
+    from functools import reduce
+
+    parts = [wide.select(*key, F.lit(c).alias(name), f"{c}.*") for c in cols]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -134,9 +146,7 @@ def column_stats(df: DataFrame, cols: list[str], key=("site_id",)) -> DataFrame:
             F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("std"),
             F.median(finite).alias("median"),
         ).alias(c))
-    wide = df.groupBy(*key).agg(*aggs)
-    long = wide.unpivot(list(key), cols, "column", "s")
-    return long.select(*key, "column", "s.*")
+    return struct_rows(df.groupBy(*key).agg(*aggs), list(key), cols)
 
 
 def correlation_top(df: DataFrame, features: list[str], target: str, k: int = 6,

@@ -6,3 +6,4 @@ from gridlake.plans.registry import REGISTRY, Query
 __all__ = ["REGISTRY", "Query"]
 from gridlake.plans import clean_queries  # noqa: F401,E402
 from gridlake.plans import validate_queries  # noqa: F401,E402
+from gridlake.plans import feature_queries  # noqa: F401,E402

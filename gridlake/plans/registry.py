@@ -46,11 +46,21 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
     return deco
 
 
+def round_half_away(c, digits: int = DIGITS):
+    """``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` -- spelled out so Spark and
+    the SQL text perform the same IEEE operations (built-in ``round`` breaks
+    ties such as 0.0630625 differently per engine); ``+ 0.0`` clears -0.0."""
+    scale = float(10 ** digits)
+    x = F.col(c) if isinstance(c, str) else c
+    return (F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double")
+            / F.lit(scale) + F.lit(0.0))
+
+
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(round_half_away(f.name, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

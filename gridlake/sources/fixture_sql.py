@@ -86,5 +86,8 @@ def rounded(body: str, double_cols: list[str], digits: int = 6) -> str:
     (``+ 0.0`` turns -0.0 into 0.0)."""
     if not double_cols:
         return body
-    repl = ", ".join(f"round({c}, {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in double_cols)
+    scale = f"CAST(1e{digits} AS DOUBLE)"
+    repl = ", ".join(
+        f"sign({c}) * CAST(floor(abs({c}) * {scale} + CAST(0.5 AS DOUBLE)) AS DOUBLE) / {scale}"
+        f" + CAST(0 AS DOUBLE) AS {c}" for c in double_cols)
     return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) q"
