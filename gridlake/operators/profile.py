@@ -149,15 +149,27 @@ def column_stats(df: DataFrame, cols: list[str], key=("site_id",)) -> DataFrame:
     return struct_rows(df.groupBy(*key).agg(*aggs), list(key), cols)
 
 
+def pearson(x: str, y: str):
+    """Pearson r over rows where both are present; NULL when either side has
+    zero variance (Spark's ``corr`` raises there under ANSI mode)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xv = F.when(both, F.col(x).cast("double"))
+    yv = F.when(both, F.col(y).cast("double"))
+    return F.try_divide(F.covar_pop(xv, yv), F.stddev_pop(xv) * F.stddev_pop(yv))
+
+
 def correlation_top(df: DataFrame, features: list[str], target: str, k: int = 6,
-                    key=("site_id",)) -> DataFrame:
+                    key=("site_id",), digits: int = 6) -> DataFrame:
     """AGG14: |Pearson r| of each feature (and the target itself) with the
-    target over pairwise non-NULL rows; the ``k`` largest per key."""
+    target; the ``k`` largest per key.  Values equal to ``digits`` decimals
+    tie and are ordered by feature name."""
+    from gridlake.plans.registry import round_half_away
+
     cols = list(dict.fromkeys(features + [target]))
-    wide = df.groupBy(*key).agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double"))
-                                  .alias(c) for c in cols])
+    wide = df.groupBy(*key).agg(*[pearson(c, target).alias(c) for c in cols])
     long = wide.unpivot(list(key), cols, "feature", "r").withColumn("abs_corr", F.abs("r"))
-    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("abs_corr"), F.asc("feature"))
+    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last(round_half_away("abs_corr", digits)),
+                                         F.asc("feature"))
     return (long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .drop("r"))
 
