@@ -8,3 +8,4 @@ from gridlake.plans import clean_queries  # noqa: F401,E402
 from gridlake.plans import validate_queries  # noqa: F401,E402
 from gridlake.plans import feature_queries  # noqa: F401,E402
 from gridlake.plans import model_prep_queries  # noqa: F401,E402
+from gridlake.plans import telemetry_queries  # noqa: F401,E402
