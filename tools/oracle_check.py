@@ -42,13 +42,38 @@ def _rows(tbl):
     return cols, sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def connect(sf: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+def compare(spark, con, name: str, sf: str) -> tuple[bool, str]:
+    """Run one registered query on both engines; (ok, message)."""
+    q = REGISTRY[name]
+    sdf = q.spark(spark, sf).toArrow()
+    sql = q.oracle()
+    if sql is None:
+        return True, f"{sdf.num_rows} rows (no oracle)"
+    odf = con.sql(sql).to_arrow_table()
+    sc, sr = _rows(sdf)
+    oc, orr = _rows(odf)
+    if sc != oc:
+        return False, f"columns differ: spark {sc} sql {oc}"
+    if len(sr) != len(orr):
+        return False, f"rows spark={len(sr)} sql={len(orr)}"
+    diff = [(a, b) for a, b in zip(sr, orr) if a != b]
+    if diff:
+        return False, f"{len(diff)} rows differ; first spark {diff[0][0]} sql {diff[0][1]}"
+    return True, f"{len(sr)} rows"
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(REGISTRY)
     spark = build_session()
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    con = connect(sf)
     bad = 0
     for name in names:
         q = REGISTRY[name]
