@@ -28,7 +28,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "8g")
+    builder = builder.config("spark.driver.memory", "12g")
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

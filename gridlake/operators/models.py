@@ -25,8 +25,10 @@ def forest_pipeline(features: list[str], target: str, num_trees: int = FOREST_TR
                     max_depth: int = FOREST_DEPTH, seed: int = SEED) -> Pipeline:
     """ML4: assembler (feature order = PRJ13) + random forest."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    # featureSubsetStrategy 'all': every split considers every feature, like
+    # the reference's forest (MLlib's 'auto' would sample a third).
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed)
+                               maxDepth=max_depth, seed=seed, featureSubsetStrategy="all")
     return Pipeline(stages=[asm, rf])
 
 
@@ -45,7 +47,16 @@ def linear_pipeline(features: list[str], target: str) -> Pipeline:
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+    """Fit with the training rows persisted (memory, spilling to disk): tree
+    learners pass over the input several times and must not recompute the
+    feature lineage each time."""
+    from pyspark import StorageLevel
+
+    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:

@@ -26,13 +26,18 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
     chunk = F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint")
     data = numbered.withColumn("_chunk", chunk)
 
-    w = Window.partitionBy(*spec.key, "_chunk").orderBy("rn")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # Both look-ups are running frames (unbounded preceding .. current row):
+    # a frame reaching to unbounded *following* is re-aggregated for every
+    # row by Spark (quadratic per partition), so the look-ahead runs over the
+    # descending order instead.
+    upto = (Window.partitionBy(*spec.key, "_chunk").orderBy("rn")
+                  .rowsBetween(Window.unboundedPreceding, 0))
+    ahead = (Window.partitionBy(*spec.key, "_chunk").orderBy(F.desc("rn"))
+                   .rowsBetween(Window.unboundedPreceding, 0))
     local = data.select(
         "*",
         *[F.last(_valid(c), ignorenulls=True).over(upto).alias(f"_{c}__lp") for c in cols],
-        *[F.first(_valid(c), ignorenulls=True).over(after).alias(f"_{c}__ln") for c in cols],
+        *[F.last(_valid(c), ignorenulls=True).over(ahead).alias(f"_{c}__ln") for c in cols],
     )
 
     # One row per chunk: its first / last valid entries (partial aggregates).
@@ -40,13 +45,14 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
         *[F.max(_valid(c)).alias(f"_{c}__cl") for c in cols],
         *[F.min(_valid(c)).alias(f"_{c}__cf") for c in cols],
     )
-    ws = Window.partitionBy(*spec.key).orderBy("_chunk")
-    earlier = ws.rowsBetween(Window.unboundedPreceding, -1)
-    later = ws.rowsBetween(1, Window.unboundedFollowing)
+    earlier = (Window.partitionBy(*spec.key).orderBy("_chunk")
+                     .rowsBetween(Window.unboundedPreceding, -1))
+    later = (Window.partitionBy(*spec.key).orderBy(F.desc("_chunk"))
+                   .rowsBetween(Window.unboundedPreceding, -1))
     carries = summary.select(
         *spec.key, "_chunk",
         *[F.last(f"_{c}__cl", ignorenulls=True).over(earlier).alias(f"_{c}__in") for c in cols],
-        *[F.first(f"_{c}__cf", ignorenulls=True).over(later).alias(f"_{c}__out") for c in cols],
+        *[F.last(f"_{c}__cf", ignorenulls=True).over(later).alias(f"_{c}__out") for c in cols],
     )
     joined = join_small(local, carries, [*spec.key, "_chunk"], "left", name="carries")
     out = joined.select(
