@@ -104,14 +104,21 @@ def complementarity(df: DataFrame, solar_col: str = "pv_kw", wind_col: str = "wi
              .drop("_s_lo", "_s_hi", "_w_lo", "_w_hi"))
 
 
-def unified_timeline(solar: DataFrame, wind: DataFrame, key=("site_id",)) -> DataFrame:
-    """Lineage A merge: de-duplicate both sources, restrict to the common
-    range, inner join on (site_id, ts), add complementarity features."""
+def unified_timeline(solar: DataFrame, wind: DataFrame, key=("site_id",),
+                     restrict: bool = False) -> DataFrame:
+    """Lineage A merge: de-duplicate both sources, inner join on
+    (site_id, ts), add complementarity features.
+
+    The reference first cuts both sides to the common time range (FLT3).
+    Before an inner join on the timestamp that cut cannot change the result
+    (a matched timestamp lies in both ranges), so it is skipped unless
+    ``restrict`` asks for it; it costs a pass over both inputs."""
     s = dedup_first(solar, (*key, "ts"))
     w = dedup_first(wind, (*key, "ts"))
-    rng = common_range([s, w], key)
-    s = overlap_filter(s, rng, key)
-    w = overlap_filter(w, rng, key)
+    if restrict:
+        rng = common_range([s, w], key)
+        s = overlap_filter(s, rng, key)
+        w = overlap_filter(w, rng, key)
     merged = join_sources(s, w, (*key, "ts"))
     return complementarity(merged, "pv_kw", "wind_kw", key)
 

@@ -16,13 +16,14 @@ from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 def struct_rows(wide: DataFrame, key, cols: list[str], name: str = "column") -> DataFrame:
     """One row per (key, struct column), the struct's fields as columns.
 
-    A union of small projections rather than ``unpivot``: unpivoting struct
-    columns trips a code-generation bug (subexpression elimination inside
-    Expand) and the stage falls back to interpreted evaluation."""
-    from functools import reduce
-
-    parts = [wide.select(*key, F.lit(c).alias(name), f"{c}.*") for c in cols]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    ``inline`` over an array of structs: one Generate over the aggregate,
+    evaluated once.  (``unpivot`` of struct columns trips a code-generation
+    bug -- subexpression elimination inside Expand -- and a union of
+    projections would evaluate the aggregate once per column.)"""
+    fields = wide.schema[cols[0]].dataType.fieldNames()
+    items = [F.struct(F.lit(c).alias(name), *[F.col(f"{c}.{f}").alias(f) for f in fields])
+             for c in cols]
+    return wide.select(*key, F.inline(F.array(*items)))
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:

@@ -10,6 +10,9 @@ from gridlake.config import scratch_path
 # (checked on the materialised table, never estimated).  Beyond it the join
 # falls back to a shuffle join and AQE decides at run time.
 BROADCAST_MAX_ROWS = 2_000_000
+# Statistics tables up to this many rows are fetched once (Arrow, a hard
+# ``limit``) and broadcast from that copy: one job instead of write + count.
+LOCAL_MAX_ROWS = 100_000
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -25,24 +28,45 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS, name: str = "stats") -> DataFrame:
-    """Join a statistics table (one row per key) onto ``big``.
+def _nullable(dt):
+    """The same type with every field nullable (Arrow cannot hand a NULL
+    struct whose children are declared non-null back to Spark)."""
+    from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
-    ``small`` is materialised first, so counting it costs a read of a few
-    files and the aggregate over ``big`` is not computed twice.  It is
-    broadcast only when the count proves it small.
-    """
-    small = materialize(small, name)
-    if small.count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    if isinstance(dt, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, ArrayType):
+        return ArrayType(_nullable(dt.elementType), True)
+    if isinstance(dt, MapType):
+        return MapType(_nullable(dt.keyType), _nullable(dt.valueType), True)
+    return dt
 
 
 def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                        name: str = "stats") -> DataFrame:
-    """Materialise ``small`` and mark it for broadcast when the count allows."""
+    """A statistics table ready to join, broadcast only behind a size check.
+
+    1. Fetch at most ``LOCAL_MAX_ROWS + 1`` rows (Arrow, one job).  If the
+       table fits, broadcast that bounded copy -- the aggregate over the big
+       input runs exactly once.
+    2. Otherwise materialise it below the checkpoint folder, count it, and
+       broadcast only when the count is at most ``max_rows``; beyond that the
+       caller's join is a shuffle join.
+    """
+    spark = small.sparkSession
+    loose = _nullable(small.schema)
+    probe = (small.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in loose.fields])
+                  .limit(LOCAL_MAX_ROWS + 1).toArrow())
+    if probe.num_rows <= LOCAL_MAX_ROWS:
+        return F.broadcast(spark.createDataFrame(probe, schema=loose))
     small = materialize(small, name)
     if small.count() <= max_rows:
         return F.broadcast(small)
     return small
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
+               max_rows: int = BROADCAST_MAX_ROWS, name: str = "stats") -> DataFrame:
+    """Join a statistics table (one row per key) onto ``big``, broadcasting
+    it only when its size is proven small (see ``broadcast_if_small``)."""
+    return big.join(broadcast_if_small(small, max_rows, name), on, how)

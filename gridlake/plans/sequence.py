@@ -45,17 +45,38 @@ class SeriesSpec:
 DEFAULT_SPEC = SeriesSpec()
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
-    cond = None
-    for c in cols:
-        part = left[c].eqNullSafe(right[c])
-        cond = part if cond is None else cond & part
-    return cond
+def largest_key(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> int:
+    """Rows of the largest key (one aggregate with map-side combining; a
+    single number reaches the driver)."""
+    r = (df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_n"))
+           .agg(F.max("_n").alias("_m")).first())
+    return int(r["_m"] or 0)
 
 
-def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn") -> DataFrame:
+def fits_one_chunk(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> bool:
+    """True when no key holds more than ``chunk_rows`` rows: every series is
+    then a bounded group and a plain per-key window cannot be skewed beyond
+    one chunk."""
+    return largest_key(df, spec) <= spec.chunk_rows
+
+
+def series_window(spec: SeriesSpec = DEFAULT_SPEC) -> WindowSpec:
+    return Window.partitionBy(*spec.key).orderBy(*spec.order)
+
+
+def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
+                small: bool | None = None) -> DataFrame:
     """Add ``rn``: 0-based position of each row within its key, ordered by
-    ``spec.order``.  The order columns must make the order total."""
+    ``spec.order``.  The order columns must make the order total.
+
+    When every key fits in one chunk (checked, or passed as ``small``) this
+    is a ``row_number`` window per key; otherwise the range-partitioned path
+    below, which never puts more than a partition's share of a key in one
+    task."""
+    if small is None:
+        small = fits_one_chunk(df, spec)
+    if small:
+        return df.withColumn(rn, (F.row_number().over(series_window(spec)) - 1).cast("bigint"))
     spark = df.sparkSession
     parts = spec.range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [*spec.key, *spec.order]
@@ -116,7 +137,15 @@ def windowed(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]],
     returns ``{name: expression}``; row frames must stay within
     ``rowsBetween(-halo, 0)`` (lag up to ``halo``).
     """
-    numbered = df if "rn" in df.columns else number_rows(df, spec)
+    if fits_one_chunk(df, spec):
+        # every series is one bounded chunk: one window per key, no halo
+        has_rn = "rn" in df.columns
+        w = Window.partitionBy(*spec.key).orderBy("rn") if has_rn else series_window(spec)
+        exprs = columns(w)
+        rn_col = [] if has_rn else [(F.row_number().over(w) - 1).cast("bigint").alias("rn")]
+        out = df.select("*", *rn_col, *[e.alias(name) for name, e in exprs.items()])
+        return out if keep_rn else out.drop("rn")
+    numbered = df if "rn" in df.columns else number_rows(df, spec, small=False)
     chunked = with_halo(numbered, spec, halo)
     exprs = columns(chunk_window(spec))
     out = (chunked.select("*", *[e.alias(name) for name, e in exprs.items()])
