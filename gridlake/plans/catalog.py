@@ -10,3 +10,4 @@ from gridlake.plans import feature_queries  # noqa: F401,E402
 from gridlake.plans import model_prep_queries  # noqa: F401,E402
 from gridlake.plans import telemetry_queries  # noqa: F401,E402
 from gridlake.plans import model_queries  # noqa: F401,E402
+from gridlake.plans import regime_queries  # noqa: F401,E402
