@@ -120,3 +120,26 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
            .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.format(fmt).load(out + "/data")
+
+
+def run_update(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Drive an aggregating stream in update mode (the watermark evicts
+    closed windows from state) over everything available now.  Every
+    micro-batch appends its changed rows with the batch id; the final table
+    keeps the latest version of each key -- append-only writes plus one
+    aggregate, no driver-side collection."""
+    spark = df.sparkSession
+    out = scratch_path(spark, f"stream-{name}")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out + "/data")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(write)
+           .option("checkpointLocation", out + "/_checkpoint")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    versions = spark.read.parquet(out + "/data")
+    cols = [c for c in versions.columns if c != "_epoch"]
+    latest = versions.groupBy(*key).agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols if c not in key]), F.col("_epoch")).alias("_v"))
+    return latest.select(*key, "_v.*")
