@@ -84,7 +84,7 @@ SELECT site_id, count(*) AS total_samples,
 FROM merged GROUP BY site_id""",
           doubles=["solar_mean_kw", "wind_mean_kw", "total_mean_kw", "solar_max_kw",
                    "wind_max_kw", "total_max_kw", "complementarity_index"],
-          operators=("AGG16", "SNK3"))
+          operators=("AGG16",))
 def generation_summary(spark, sf_dir):
     from gridlake.operators.profile import generation_summary as gs
     return gs(merged_table(spark, sf_dir))

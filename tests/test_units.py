@@ -157,3 +157,35 @@ def test_timestamp_resolution(spark):
     casted = C.to_double(out, ["PV Generation (KW)"]).first()
     assert casted["PV Generation (KW)"] is None
     assert FS.find_column(df, ("pv", "generation")) == "PV Generation (KW)"
+
+
+def test_sinks(spark, sf_small):
+    import json
+    import os
+    import tempfile
+
+    from gridlake.operators import telemetry as TM
+    from gridlake.sources import fixtures as FX
+
+    kpis = TM.telemetry_kpis(TM.control_terms(FX.telemetry(spark, sf_small)))
+    out = tempfile.mkdtemp(prefix="gridlake-sink-")
+    FS.write_metrics_json(kpis, f"{out}/metrics")
+    lines = [json.loads(x) for f in os.listdir(f"{out}/metrics") if f.endswith(".json")
+             for x in open(f"{out}/metrics/{f}")]
+    assert len(lines) == kpis.count() and "stability_rate" in lines[0]
+    kv = FS.key_value_rows(kpis)
+    assert kv.count() == kpis.count() * (len(kpis.columns) - 1)
+    FS.write_summary(kpis, f"{out}/summary")
+    back = spark.read.option("header", True).csv(f"{out}/summary")
+    assert back.columns == ["site_id", "name", "value"]
+    FS.write_table(FX.solar(spark, sf_small), f"{out}/solar")
+    assert sorted(os.listdir(f"{out}/solar"))[0].startswith("_SUCCESS") or any(
+        d.startswith("site_id=") for d in os.listdir(f"{out}/solar"))
+
+
+def test_find_column_first_and_last(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)],
+                               "`Ground Radiation A` double, `Ground Radiation B` double, `Wind Speed` double")
+    assert FS.find_column(df, ("ground", "radiation"), last=False) == "Ground Radiation A"
+    assert FS.find_column(df, ("ground", "radiation")) == "Ground Radiation B"
+    assert FS.find_column(df, ("speed",), ("wind",)) == "Wind Speed"
