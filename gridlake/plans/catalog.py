@@ -12,3 +12,4 @@ from gridlake.plans import telemetry_queries  # noqa: F401,E402
 from gridlake.plans import model_queries  # noqa: F401,E402
 from gridlake.plans import regime_queries  # noqa: F401,E402
 from gridlake.plans import io_stream_queries  # noqa: F401,E402
+from gridlake.plans import series_queries  # noqa: F401,E402

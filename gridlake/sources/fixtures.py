@@ -86,8 +86,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yield_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long series per supplier; ``row_id`` is a dense rank over every
-    lineitem column so ties on the ship date are ordered reproducibly."""
+    """One long series per supplier, ordered by ``YIELD_ORDER`` (ship date,
+    then order key, line number, part key and price, which together are
+    unique) so ties on the ship date are ordered reproducibly."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_suppkey").cast("int").alias("site_id"),

@@ -83,3 +83,15 @@ def test_soc_stays_in_bounds(spark, sf_small):
     t = FX.telemetry(spark, sf_small).withColumn("p_battery", F.col("p_battery") * 400)
     out = ST.soc_balance(t, spec=SMALL).agg(F.min("energy_kwh"), F.max("energy_kwh")).first()
     assert out[0] >= 1000.0 - 1e-9 and out[1] <= 9000.0 + 1e-9
+
+
+def test_long_single_series_chunked_equal(spark):
+    """The whole lineitem table of sf0.01 (60k rows) as one series: 12
+    chunks of 5000 rows over 16 range partitions equal the plain window."""
+    from gridlake.plans.series_queries import YIELD_SPEC, yield_rolling_df
+
+    one = FX.yield_series(spark, "/root/testdata/sf0.01").withColumn("site_id", F.lit(0))
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "ts", "pv_kw")
+    plain = YIELD_SPEC.__class__(order=YIELD_SPEC.order)
+    chunked = YIELD_SPEC.__class__(order=YIELD_SPEC.order, chunk_rows=5000, range_partitions=16)
+    same(rows(yield_rolling_df(one, plain), key), rows(yield_rolling_df(one, chunked), key))
