@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridlake.functions import exprs as X
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, number_rows, windowed
 
@@ -176,5 +175,3 @@ def kpi_gate(kpis: DataFrame, p: GridParams = PARAMS) -> DataFrame:
     return (kpis.withColumn("targets_met", met)
                 .withColumn("operational", F.col("targets_met") >= 3))
 
-
-__all__ = ["GridParams", "PARAMS", "X"]

@@ -11,8 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridlake.plans.materialize import broadcast_if_small
-
 
 def _not_true(cond: Column) -> Column:
     return ~F.coalesce(cond, F.lit(False))
@@ -102,6 +100,3 @@ def align(frames: dict[str, DataFrame], ranges: DataFrame, step_minutes: int = 1
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
-
-__all__ = ["solar_rules", "wind_rules", "rule_counts", "quarantine", "parse_report",
-           "time_grid", "align", "broadcast_if_small", "union_all"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlake.config import scratch_path
 from gridlake.operators import validate as V
-from gridlake.plans.merge_queries import MERGED_DOUBLES, merged_table
+from gridlake.plans.merge_queries import merged_table
 from gridlake.plans.registry import register
 from gridlake.sources import files as FS
 from gridlake.sources import fixture_sql as S
@@ -179,5 +179,3 @@ def stream_state(spark, sf_dir):
     out = SS.run_available_now(st, "state")
     return out.select("row_id", "site_id", "frequency_lag_1", "frequency_ramp", "energy_kwh")
 
-
-__all__ = ["MERGED_DOUBLES"]

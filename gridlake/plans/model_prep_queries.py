@@ -10,8 +10,7 @@ from gridlake.operators import features as FE
 from gridlake.operators import merge as M
 from gridlake.operators import prep as PR
 from gridlake.operators import profile as P
-from gridlake.plans.feature_queries import (ENGINEERED_SQL, PV_B_SQL, TEMPORAL_A_DOUBLES, c,
-                                            engineered_features)
+from gridlake.plans.feature_queries import ENGINEERED_SQL, PV_B_SQL, c, engineered_features
 from gridlake.plans.registry import register
 from gridlake.sources import fixture_sql as S
 from gridlake.sources import fixtures as FX
@@ -213,5 +212,3 @@ def combined_metrics(spark, sf_dir):
     pred = fe.withColumn("p", F.col("solar_lag_1") + F.col("wind_lag_1"))
     return E.regression_metrics(pred, "total_renewable_power", "p")
 
-
-__all__ = ["TEMPORAL_A_DOUBLES"]
