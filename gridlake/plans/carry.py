@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridlake.plans.materialize import join_small
-from gridlake.plans.sequence import (DEFAULT_SPEC, SeriesSpec, fits_one_chunk, number_rows,
-                                     series_window)
+from gridlake.plans.sequence import (DEFAULT_SPEC, SeriesSpec, known_largest, largest_key,
+                                     number_rows, rn_column, series_window)
 
 
 def _valid(c: str):
@@ -23,10 +23,13 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
     """For each column ``c`` add structs ``c__prev`` and ``c__next`` holding
     ``(rn, v)`` of the last valid row at or before, and the first valid row at
     or after, the current row within its key (NULL when none)."""
-    if fits_one_chunk(df, spec):
+    largest = known_largest(df, spec)
+    if largest is None:
+        largest = largest_key(df, spec)
+    if largest <= spec.chunk_rows:
         # every series is one bounded chunk: no carries between chunks
         d = df if "rn" in df.columns else df.withColumn(
-            "rn", (F.row_number().over(series_window(spec)) - 1).cast("bigint"))
+            "rn", rn_column(F.row_number().over(series_window(spec)) - 1, largest, spec))
         upto = (Window.partitionBy(*spec.key).orderBy("rn")
                       .rowsBetween(Window.unboundedPreceding, 0))
         ahead = (Window.partitionBy(*spec.key).orderBy(F.desc("rn"))
@@ -35,7 +38,7 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
             "*",
             *[F.last(_valid(c), ignorenulls=True).over(upto).alias(f"{c}__prev") for c in cols],
             *[F.last(_valid(c), ignorenulls=True).over(ahead).alias(f"{c}__next") for c in cols])
-    numbered = df if "rn" in df.columns else number_rows(df, spec, small=False)
+    numbered = df if "rn" in df.columns else number_rows(df, spec, largest=largest)
     chunk = F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint")
     data = numbered.withColumn("_chunk", chunk)
 

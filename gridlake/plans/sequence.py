@@ -53,10 +53,42 @@ def largest_key(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> int:
     return int(r["_m"] or 0)
 
 
+META_KEY = "gridlake_max_key_rows"
+
+
+META_SERIES = "gridlake_series_key"
+
+
+def known_largest(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> int | None:
+    """The largest-key row count recorded on ``rn`` when it was numbered for
+    the same key.
+
+    It stays an upper bound through projections, joins on the key and
+    filters (every later step only keeps or drops rows), and it survives the
+    Parquet round trip of ``materialize``."""
+    if "rn" not in df.columns:
+        return None
+    meta = df.schema["rn"].metadata or {}
+    v = meta.get(META_KEY)
+    if v is None or meta.get(META_SERIES) != ",".join(spec.key):
+        return None
+    return int(v)
+
+
+def rn_column(expr: Column, largest: int | None, spec: SeriesSpec = DEFAULT_SPEC,
+              name: str = "rn") -> Column:
+    meta = ({META_KEY: int(largest), META_SERIES: ",".join(spec.key)}
+            if largest is not None else {})
+    return expr.cast("bigint").alias(name, metadata=meta)
+
+
 def fits_one_chunk(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> bool:
     """True when no key holds more than ``chunk_rows`` rows: every series is
     then a bounded group and a plain per-key window cannot be skewed beyond
-    one chunk."""
+    one chunk.  Uses the bound recorded on ``rn`` when there is one."""
+    known = known_largest(df, spec)
+    if known is not None:
+        return known <= spec.chunk_rows
     return largest_key(df, spec) <= spec.chunk_rows
 
 
@@ -65,18 +97,22 @@ def series_window(spec: SeriesSpec = DEFAULT_SPEC) -> WindowSpec:
 
 
 def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
-                small: bool | None = None) -> DataFrame:
+                largest: int | None = None) -> DataFrame:
     """Add ``rn``: 0-based position of each row within its key, ordered by
     ``spec.order``.  The order columns must make the order total.
 
-    When every key fits in one chunk (checked, or passed as ``small``) this
-    is a ``row_number`` window per key; otherwise the range-partitioned path
-    below, which never puts more than a partition's share of a key in one
-    task."""
-    if small is None:
-        small = fits_one_chunk(df, spec)
-    if small:
-        return df.withColumn(rn, (F.row_number().over(series_window(spec)) - 1).cast("bigint"))
+    When every key fits in one chunk (``largest``, the rows of the largest
+    key, is measured unless given) this is a ``row_number`` window per key;
+    otherwise the range-partitioned path below, which never puts more than a
+    partition's share of a key in one task.  The bound is recorded on
+    ``rn`` so later steps need not measure it again."""
+    if largest is None:
+        largest = known_largest(df, spec) if rn == "rn" else None
+    if largest is None:
+        largest = largest_key(df, spec)
+    if largest <= spec.chunk_rows:
+        return df.withColumn(rn, rn_column(F.row_number().over(series_window(spec)) - 1, largest,
+                                           spec, rn))
     spark = df.sparkSession
     parts = spec.range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [*spec.key, *spec.order]
@@ -102,7 +138,7 @@ def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
     for k in spec.key:
         on = on & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
     joined = join_small(tagged, small, on, "inner", name="bounds")
-    return (joined.withColumn(rn, (F.col("_pos") + F.col("_shift")).cast("bigint"))
+    return (joined.withColumn(rn, rn_column(F.col("_pos") + F.col("_shift"), largest, spec, rn))
                   .drop("_pid", "_pos", "_bpid", "_shift", *[f"_b_{k}" for k in spec.key]))
 
 
@@ -137,15 +173,18 @@ def windowed(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]],
     returns ``{name: expression}``; row frames must stay within
     ``rowsBetween(-halo, 0)`` (lag up to ``halo``).
     """
-    if fits_one_chunk(df, spec):
+    has_rn = "rn" in df.columns
+    largest = known_largest(df, spec) if has_rn else largest_key(df, spec)
+    if largest is None:
+        largest = largest_key(df, spec)
+    if largest <= spec.chunk_rows:
         # every series is one bounded chunk: one window per key, no halo
-        has_rn = "rn" in df.columns
         w = Window.partitionBy(*spec.key).orderBy("rn") if has_rn else series_window(spec)
         exprs = columns(w)
-        rn_col = [] if has_rn else [(F.row_number().over(w) - 1).cast("bigint").alias("rn")]
+        rn_col = [] if has_rn else [rn_column(F.row_number().over(w) - 1, largest, spec)]
         out = df.select("*", *rn_col, *[e.alias(name) for name, e in exprs.items()])
         return out if keep_rn else out.drop("rn")
-    numbered = df if "rn" in df.columns else number_rows(df, spec, small=False)
+    numbered = df if has_rn else number_rows(df, spec, largest=largest)
     chunked = with_halo(numbered, spec, halo)
     exprs = columns(chunk_window(spec))
     out = (chunked.select("*", *[e.alias(name) for name, e in exprs.items()])
