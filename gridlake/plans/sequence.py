@@ -19,7 +19,8 @@ Unbounded look-back (fills) uses per-chunk summaries instead; see ``carry``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import os
+from dataclasses import dataclass, field, replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -35,7 +36,10 @@ class SeriesSpec:
 
     key: tuple[str, ...] = ("site_id",)
     order: tuple[str, ...] = ("ts", "row_id")
-    chunk_rows: int = 1_000_000
+    # rows per chunk; GRIDLAKE_CHUNK_ROWS overrides the default (cluster
+    # tuning, or small values to force the chunked plans in checks)
+    chunk_rows: int = field(default_factory=lambda: int(os.environ.get("GRIDLAKE_CHUNK_ROWS",
+                                                                       1_000_000)))
     range_partitions: int | None = None
 
     def with_chunk(self, rows: int) -> "SeriesSpec":
