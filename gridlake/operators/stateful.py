@@ -2,7 +2,8 @@
 
 ST2 (state of charge), ST3 (clamped AGC integral) and DOC5 (low-pass
 filter) compose and run chunk-parallel (``plans.fold``); ST1 (ramp-limited
-follower) does not and streams per key; ST4 (bounded history) is the
+follower) does not compose but is monotone with a bounded state, so it runs
+chunk-parallel by coupling from both ends; ST4 (bounded history) is the
 12-row moving average of ``telemetry.dispatch_setpoint``.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.operators.telemetry import PARAMS, GridParams
-from gridlake.plans.fold import affine_scan, clamp_scan, sequential_scan
+from gridlake.plans.fold import affine_scan, clamp_scan, monotone_scan
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec
 
 
@@ -71,7 +72,8 @@ def ramp_follow(df: DataFrame, target: str = "thermal_setpoint", p: GridParams =
         t = min(max(t, 0.0), cap)
         return y + min(max(t - y, -ramp), ramp)
 
-    return sequential_scan(df, step, [target], 0.0, spec, out="p_thermal_dispatch")
+    # each step is monotone in y and keeps y in [0, cap]: chunk-parallel
+    return monotone_scan(df, step, [target], 0.0, 0.0, cap, spec, out="p_thermal_dispatch")
 
 
 def low_pass(df: DataFrame, col: str, alpha: float = 0.25, spec: SeriesSpec = DEFAULT_SPEC,

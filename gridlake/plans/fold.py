@@ -15,8 +15,9 @@ Affine maps ``x -> m x + b`` (low-pass filters) compose as well.  So:
 3. every chunk replays its rows from that state, in parallel.
 
 No group larger than ``chunk_rows`` rows is ever built, whatever the skew.
-A recurrence that does not compose (the ramp-limited follower) runs as a
-streaming scan instead (``sequential_scan``).
+A recurrence that does not compose but is monotone with a bounded state
+(the ramp-limited follower) runs chunk-parallel by coupling from both ends
+(``monotone_scan``); ``sequential_scan`` streams any other recurrence.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridlake.plans.materialize import join_small
+from gridlake.plans.materialize import join_small, materialize
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, number_rows
 
 
@@ -221,3 +222,122 @@ def sequential_scan(df: DataFrame, step: Callable[[float, dict], float], inputs:
             yield pdf
 
     return parted.mapInPandas(run, schema)
+
+
+def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: list[str],
+                  x0: float, lo: float, hi: float, spec: SeriesSpec = DEFAULT_SPEC,
+                  out: str = "state", max_rounds: int = 1000) -> DataFrame:
+    """Chunk-parallel evaluation of ``x = step(x, row)`` when every step is
+    monotone (order-preserving in ``x``) and keeps the state in [lo, hi].
+
+    Coupling from both ends: each chunk runs the trajectories that start at
+    ``lo`` and at ``hi`` (in parallel, one bounded group per chunk).  The
+    true trajectory lies between them; where they meet it is known exactly,
+    whatever the chunk's start, and so is the chunk's end state.  Only a
+    chunk whose two trajectories never meet needs its true start before its
+    end is known; such chunks are replayed in rounds (each round resolves
+    the first unresolved chunk of every run of them), then every chunk
+    replays its rows from its exact start.  Typical series meet within a few
+    steps of each chunk, so one round suffices; no group exceeds
+    ``chunk_rows`` rows and the driver only sees per-chunk summaries.
+    """
+    key = list(spec.key)
+    d = _chunked(df, spec)
+    keep = key + ["_chunk", "rn"] + list(inputs)
+    chunk_t = d.schema["_chunk"].dataType
+
+    def run(pdf, x):
+        pdf = pdf.sort_values("rn")
+        cols = {c: pdf[c].to_numpy() for c in inputs}
+        vals = np.empty(len(pdf))
+        for i in range(len(pdf)):
+            x = step(x, {c: cols[c][i] for c in inputs})
+            vals[i] = x
+        return pdf, vals
+
+    sfields = [d.schema[k] for k in key] + [StructField("_chunk", chunk_t),
+                                            StructField("_met", DoubleType()),
+                                            StructField("_end", DoubleType())]
+
+    def couple(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        cols = {c: pdf[c].to_numpy() for c in inputs}
+        a, b, met = lo, hi, 0.0
+        for i in range(len(pdf)):
+            row = {c: cols[c][i] for c in inputs}
+            if met:
+                a = step(a, row)
+            else:
+                a, b = step(a, row), step(b, row)
+                if a == b:
+                    met = 1.0
+        res = {k: [pdf[k].iloc[0]] for k in key}
+        res.update({"_chunk": [pdf["_chunk"].iloc[0]], "_met": [met], "_end": [a if met else np.nan]})
+        return pd.DataFrame(res)
+
+    data = materialize(d.select(*keep), "monotone_input")
+    summary = materialize(data.groupBy(*key, "_chunk").applyInPandas(couple, StructType(sfields)),
+                          "monotone_summary")
+
+    start_fields = [d.schema[k] for k in key] + [StructField("_chunk", chunk_t),
+                                                 StructField("_start", DoubleType()),
+                                                 StructField("_pending", DoubleType())]
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Starts known so far; ``_pending`` marks an unmet chunk whose start
+        is known but whose end still needs a replay."""
+        pdf = pdf.sort_values("_chunk")
+        x, starts, pending = x0, [], []
+        for met, end, known_end in zip(pdf["_met"], pdf["_end"], pdf["_known_end"]):
+            starts.append(x)
+            if met:
+                pending.append(0.0)
+                x = end
+            elif not np.isnan(known_end):
+                pending.append(0.0)
+                x = known_end
+            else:
+                pending.append(0.0 if np.isnan(x) else 1.0)
+                x = np.nan
+        res = pdf[key + ["_chunk"]].copy()
+        res["_start"] = starts
+        res["_pending"] = pending
+        return res
+
+    end_fields = [d.schema[k] for k in key] + [StructField("_chunk", chunk_t),
+                                               StructField("_known_end", DoubleType())]
+
+    def replay_end(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, vals = run(pdf, float(pdf["_start"].iloc[0]))
+        res = {k: [pdf[k].iloc[0]] for k in key}
+        res.update({"_chunk": [pdf["_chunk"].iloc[0]], "_known_end": [float(vals[-1])]})
+        return pd.DataFrame(res)
+
+    spark = df.sparkSession
+    known = spark.createDataFrame([], StructType(end_fields))
+    for _ in range(max_rounds):
+        table = summary.join(known, key + ["_chunk"], "left").fillna(np.nan, ["_known_end"])
+        starts = materialize(table.groupBy(*key).applyInPandas(resolve, StructType(start_fields)),
+                             "monotone_starts")
+        pending = starts.where(F.col("_pending") > 0)
+        if pending.limit(1).count() == 0:
+            break
+        todo = join_small(data, pending.select(*key, "_chunk", "_start"), key + ["_chunk"], "inner",
+                          name="monotone_pending")
+        ends = todo.groupBy(*key, "_chunk").applyInPandas(
+            replay_end, StructType(end_fields))
+        known = materialize(known.unionByName(ends), "monotone_known")
+    else:  # pragma: no cover - each round resolves at least one chunk per run
+        raise RuntimeError("monotone_scan did not converge")
+
+    j = join_small(d, starts.select(*key, "_chunk", "_start"), key + ["_chunk"], "left",
+                   name="monotone_final")
+    outfields = list(j.schema.fields) + [StructField(out, DoubleType())]
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, vals = run(pdf, float(pdf["_start"].iloc[0]))
+        pdf[out] = vals
+        return pdf
+
+    res = j.groupBy(*key, "_chunk").applyInPandas(replay, StructType(outfields))
+    return res.drop("_chunk", "_start")
