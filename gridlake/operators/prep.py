@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from gridlake.operators.clean import ffill_bfill
+from gridlake.plans.grouping import modal_values, percentile_of, quantile_plan
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec
 
@@ -91,9 +92,13 @@ def impute(df: DataFrame, policy: ImputePolicy = PV_POLICY, spec: SeriesSpec = D
     def finite(c):
         return F.when(F.abs(F.col(c).cast("double")) != inf, F.col(c).cast("double"))
 
+    exact = quantile_plan(out, key, med_cols)
     stats = out.groupBy(*key).agg(
-        *[F.median(finite(c)).alias(f"{c}__med") for c in med_cols],
-        *[F.coalesce(F.mode(c, True), F.lit("")).alias(f"{c}__mode") for c in plan["mode"]])
+        *[percentile_of(finite(c), 0.5, exact).alias(f"{c}__med") for c in med_cols])
+    if plan["mode"]:
+        modes = modal_values(out, key, plan["mode"], default="")
+        stats = stats.join(modes.select(*key, *[F.col(c).alias(f"{c}__mode") for c in plan["mode"]]),
+                           key, "left")
     j = join_small(out, stats, key, "left", name="impute_stats")
     sel = []
     for c in out.columns:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from gridlake.plans.grouping import modal_values, percentile_of, quantile_plan, top_k_per_key
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
 
@@ -94,15 +95,17 @@ def quality_report(df: DataFrame, measure_cols: list[str], power_cols: list[str]
     key = list(spec.key)
     stepped = step_seconds(df, spec, ts)
     content = [c for c in df.columns if c not in ignore]
-    base = stepped.groupBy(*key).agg(
+    modal = modal_values(stepped, key, ["step_s"]).withColumnRenamed("step_s", "modal_step_s")
+    distinct_ts = (df.where(F.col(ts).isNotNull()).groupBy(*key, ts).agg(F.lit(1).alias("_one"))
+                     .groupBy(*key).agg(F.count(F.lit(1)).alias("_distinct_ts")))
+    base = (stepped.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in measure_cols],
-        F.mode("step_s", True).alias("modal_step_s"),
-        F.count_distinct(F.col(ts)).alias("_distinct_ts"),
         F.count_if(F.col(ts).isNull()).alias("_null_ts"),
         *[F.min(c).alias(f"min_{c}") for c in power_cols],
         *[F.max(c).alias(f"max_{c}") for c in power_cols],
-    )
+    ).join(modal, key, "left").join(distinct_ts, key, "left")
+       .fillna({"_distinct_ts": 0}))
     # steps that differ from the modal step
     gaps = (stepped.join(base.select(*key, "modal_step_s"), key, "inner")
                    .groupBy(*key)
@@ -126,13 +129,16 @@ def step_histogram(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, k: int = 5, t
     key = list(spec.key)
     counts = (step_seconds(df, spec, ts).where(F.col("step_s").isNotNull())
               .groupBy(*key, "step_s").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(*key).orderBy(F.desc("n"), F.asc("step_s"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_k_per_key(counts, key, [F.desc("n"), F.asc("step_s")], k, F.col("step_s"))
 
 
-def column_stats(df: DataFrame, cols: list[str], key=("site_id",)) -> DataFrame:
+def column_stats(df: DataFrame, cols: list[str], key=("site_id",),
+                 exact: bool | None = None) -> DataFrame:
     """AGG7, AGG8, AGG9, AGG11-13 for many columns in one aggregate, as rows
-    (key, column, n, n_missing, n_infinite, n_zero, min, max, mean, std, median)."""
+    (key, column, n, n_missing, n_infinite, n_zero, min, max, mean, std, median).
+    Medians are exact unless a group is too large (see ``quantile_plan``)."""
+    if exact is None:
+        exact = quantile_plan(df, key, cols)
     inf = F.lit(float("inf"))
     aggs = []
     for c in cols:
@@ -145,7 +151,7 @@ def column_stats(df: DataFrame, cols: list[str], key=("site_id",)) -> DataFrame:
             F.count_if(x == 0).alias("n_zero"),
             F.min(finite).alias("min"), F.max(finite).alias("max"),
             F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("std"),
-            F.median(finite).alias("median"),
+            percentile_of(finite, 0.5, exact).alias("median"),
         ).alias(c))
     return struct_rows(df.groupBy(*key).agg(*aggs), list(key), cols)
 
@@ -177,4 +183,4 @@ def correlation_top(df: DataFrame, features: list[str], target: str, k: int = 6,
 
 def text_modes(df: DataFrame, cols: list[str], key=("site_id",)) -> DataFrame:
     """AGG10: most frequent value per text column (lowest on ties, '' if none)."""
-    return df.groupBy(*key).agg(*[F.coalesce(F.mode(c, True), F.lit("")).alias(c) for c in cols])
+    return modal_values(df, key, cols, default="")

@@ -189,3 +189,28 @@ def test_find_column_first_and_last(spark):
     assert FS.find_column(df, ("ground", "radiation"), last=False) == "Ground Radiation A"
     assert FS.find_column(df, ("ground", "radiation")) == "Ground Radiation B"
     assert FS.find_column(df, ("speed",), ("wind",)) == "Wind Speed"
+
+
+def test_bounded_group_statistics(spark):
+    from pyspark.sql import Window
+
+    from gridlake.plans.grouping import modal_values, quantile_plan, top_k_per_key
+
+    rows = [(0, "b"), (0, "a"), (0, "b"), (0, "a"), (0, None), (1, None), (2, "z")]
+    df = spark.createDataFrame(rows, "site_id int, s string")
+    got = {r.site_id: r.s for r in modal_values(df, ["site_id"], ["s"], default="").collect()}
+    assert got == {0: "a", 1: "", 2: "z"}
+
+    nums = spark.range(0, 5000).selectExpr("cast(id % 3 as int) as site_id",
+                                           "cast((id * 7919) % 997 as double) as v")
+    top = top_k_per_key(nums, ["site_id"], [F.desc("v"), F.asc("v")], 5, F.col("v"), 8)
+    w = Window.partitionBy("site_id").orderBy(F.desc("v"))
+    plain = nums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+    assert sorted((r.site_id, r.v) for r in top.collect()) == sorted((r.site_id, r.v) for r in plain.collect())
+
+    assert quantile_plan(nums, ["site_id"], ["v"]) is True
+    assert quantile_plan(nums, ["site_id"], ["v"], max_distinct=10) is False
+    exact = C.quartiles(nums, ["v"], exact=True).orderBy("site_id").collect()
+    approx = C.quartiles(nums, ["v"], exact=False).orderBy("site_id").collect()
+    for a, b in zip(exact, approx):
+        assert abs(a.v__q1 - b.v__q1) <= 2.0 and abs(a.v__q3 - b.v__q3) <= 2.0
