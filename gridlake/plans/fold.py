@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridlake.plans.materialize import join_small, materialize
-from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, number_rows
+from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, known_largest, number_rows
 
 
 def _compose_clamp(a, lo, hi):
@@ -58,6 +58,14 @@ def _chunked(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return numbered.withColumn("_chunk", F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint"))
 
 
+def _one_chunk(d: DataFrame, spec: SeriesSpec) -> bool:
+    """Every series fits in its first chunk (bound recorded on ``rn``): each
+    chunk then starts from the initial state and the compose / scan passes
+    can be skipped."""
+    bound = known_largest(d, spec)
+    return bound is not None and bound <= spec.chunk_rows
+
+
 def _scan_chunks(summary: DataFrame, key: list[str], kind: str, x0: float) -> DataFrame:
     """Starting state of every chunk from the per-chunk maps (one small group
     per key: rows / chunk_rows entries)."""
@@ -106,10 +114,13 @@ def clamp_scan(df: DataFrame, step: str, lo, hi, x0: float, spec: SeriesSpec = D
         row.update({"_chunk": [pdf["_chunk"].iloc[0]], "_A": [A], "_L": [L], "_H": [H]})
         return pd.DataFrame(row)
 
-    summary = (d.select(*key, "_chunk", "rn", "_a", "_lo", "_hi")
-                .groupBy(*key, "_chunk").applyInPandas(compose, StructType(sfields)))
-    starts = _scan_chunks(summary, key, "clamp", x0)
-    j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
+    if _one_chunk(d, spec):
+        j = d.withColumn("_start", F.lit(float(x0)))
+    else:
+        summary = (d.select(*key, "_chunk", "rn", "_a", "_lo", "_hi")
+                    .groupBy(*key, "_chunk").applyInPandas(compose, StructType(sfields)))
+        starts = _scan_chunks(summary, key, "clamp", x0)
+        j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
 
     outfields = list(j.schema.fields) + [StructField(f"{out}_before", DoubleType()),
                                          StructField(out, DoubleType())]
@@ -174,8 +185,11 @@ def affine_scan(df: DataFrame, mult: str, add: str, x0_col: str | None = None, x
         res["_start"] = starts
         return res
 
-    starts = summary.groupBy(*key).applyInPandas(scan, StructType(fields))
-    j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
+    if _one_chunk(d, spec):
+        j = d.withColumn("_start", F.col("_x0"))
+    else:
+        starts = summary.groupBy(*key).applyInPandas(scan, StructType(fields))
+        j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
     outfields = list(j.schema.fields) + [StructField(out, DoubleType())]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,6 +289,18 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
         res.update({"_chunk": [pdf["_chunk"].iloc[0]], "_met": [met], "_end": [a if met else np.nan]})
         return pd.DataFrame(res)
 
+    if _one_chunk(d, spec):
+        final = d.withColumn("_start", F.lit(float(x0)))
+        ofields = list(final.schema.fields) + [StructField(out, DoubleType())]
+
+        def replay_one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, vals = run(pdf, x0)
+            pdf[out] = vals
+            return pdf
+
+        return (final.groupBy(*key, "_chunk").applyInPandas(replay_one, StructType(ofields))
+                     .drop("_chunk", "_start"))
+
     data = materialize(d.select(*keep), "monotone_input")
     summary = materialize(data.groupBy(*key, "_chunk").applyInPandas(couple, StructType(sfields)),
                           "monotone_summary")

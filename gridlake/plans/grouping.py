@@ -58,6 +58,11 @@ def quantile_plan(df: DataFrame, key, cols: list[str], where: Column | None = No
     for exact percentiles (``approx_count_distinct``, partial aggregation)."""
     if not cols:
         return True
+    from gridlake.plans.sequence import SeriesSpec, known_largest
+
+    bound = known_largest(df, SeriesSpec(key=tuple(key)))
+    if bound is not None and bound <= max_distinct:
+        return True  # distinct values of a group never exceed its rows
     src = df if where is None else df.where(where)
     per = src.groupBy(*list(key)).agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
     big = per.select(F.greatest(*[F.col(c) for c in cols]).alias("_d") if len(cols) > 1
