@@ -50,6 +50,31 @@ def guarded_ratio(num, den, cond: Column, eps: float = EPS) -> Column:
     return F.when(cond, col(num) / (col(den) + F.lit(eps))).otherwise(F.lit(0.0))
 
 
+# --- time ------------------------------------------------------------------
+
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def micros_between(start, end) -> Column:
+    """Microseconds from ``start`` to ``end`` (TIMESTAMP_NTZ, no time zone
+    involved -- casting to TIMESTAMP would apply the session zone and DST)."""
+    return F.timestamp_diff("MICROSECOND", col(start), col(end))
+
+
+def to_event_time(ts) -> Column:
+    """Wall-clock TIMESTAMP_NTZ -> TIMESTAMP instant with the same UTC
+    reading, independent of the session time zone (streams need TIMESTAMP
+    for watermarks; windows then align to wall-clock hours)."""
+    return F.timestamp_micros(micros_between(_epoch_ntz(), ts))
+
+
+def from_event_time(ts) -> Column:
+    """Inverse of ``to_event_time``."""
+    secs = (F.unix_micros(col(ts)).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return _epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
 # --- calendar --------------------------------------------------------------
 
 def hour(ts="ts") -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from gridlake.functions.exprs import micros_between
 from gridlake.plans.grouping import modal_values, percentile_of, quantile_plan, top_k_per_key
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
@@ -84,8 +85,7 @@ def step_seconds(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, ts="ts") -> Dat
     """WIN7: seconds since the previous row of the key (NULL on the first)."""
     def cols(w):
         prev = F.lag(F.col(ts), 1).over(w)
-        return {"step_s": (F.unix_micros(F.col(ts).cast("timestamp"))
-                           - F.unix_micros(prev.cast("timestamp"))) / F.lit(1e6)}
+        return {"step_s": micros_between(prev, F.col(ts)).cast("double") / F.lit(1e6)}
     return windowed(df, cols, halo=1, spec=spec)
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridlake.functions.exprs import micros_between
+
 
 def _not_true(cond: Column) -> Column:
     return ~F.coalesce(cond, F.lit(False))
@@ -71,8 +73,7 @@ def time_grid(ranges: DataFrame, step_minutes: int = 15, key=("site_id",),
     repartition in between -- so a long range is spread over many tasks
     instead of being exploded by one."""
     step_us = step_minutes * 60 * 1_000_000
-    n = F.floor((F.unix_micros(F.col(end).cast("timestamp"))
-                 - F.unix_micros(F.col(start).cast("timestamp"))) / F.lit(step_us)).cast("bigint")
+    n = F.floor(micros_between(start, end) / F.lit(step_us)).cast("bigint")
     blocks = (ranges.where(F.col(start) <= F.col(end))
                     .select(*key, F.col(start).alias("_start"), n.alias("_n"))
                     .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlake.config import scratch_path
+from gridlake.functions import exprs as X
 from gridlake.operators import validate as V
 from gridlake.plans.merge_queries import merged_table
 from gridlake.plans.registry import register
@@ -98,7 +99,7 @@ def _solar_stream(spark, sf_dir):
               .when(F.col("event_type") == "signup", -F.col("value")).otherwise(F.col("value")))
     return ev.where(F.col("event_id") % 2 == 0).select(
         F.col("event_id").alias("row_id"), (F.col("user_id") % FX.N_SITES).cast("int").alias("site_id"),
-        F.date_trunc("hour", F.col("ts")).cast("timestamp").alias("ts"),
+        X.to_event_time(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")).alias("ts"),
         (k / F.lit(2.5)).alias("temp_c"), (F.lit(100.0) - k).alias("humidity"),
         (k * F.lit(10.0)).alias("ghi"),
         F.when(F.col("event_id") % 10 == 0, F.lit(0.0)).otherwise(k * F.lit(10.0) + F.lit(200.0))
@@ -109,7 +110,7 @@ def _solar_stream(spark, sf_dir):
           operators=("STR1",))
 def stream_dedup(spark, sf_dir):
     out = SS.run_available_now(SS.dedup_stream(_solar_stream(spark, sf_dir), "2 hours"), "dedup")
-    return out.select("site_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return out.select("site_id", X.from_event_time("ts").alias("ts"))
 
 
 @register("stream_rules", sql=S.with_ctes(S.SOLAR) + """
@@ -138,8 +139,7 @@ FROM solar GROUP BY site_id, ts""", doubles=["ghi_sum", "ghi_mean", "pv_kw_sum",
 def stream_totals(spark, sf_dir):
     agg = SS.window_totals(_solar_stream(spark, sf_dir), ["ghi", "pv_kw"], "1 hour", "2 hours")
     out = SS.run_update(agg, ["site_id", "window_start"], "totals")
-    return out.select("site_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n",
+    return out.select("site_id", "window_start", "window_end", "n",
                       "ghi_sum", "ghi_mean", "pv_kw_sum", "pv_kw_mean")
 
 

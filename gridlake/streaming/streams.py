@@ -12,7 +12,9 @@
   micro-batch, so memory is bounded by the trigger size.
 
 Streams read Parquet files with a fixed schema.  Event time must be
-TIMESTAMP (not TIMESTAMP_NTZ) for a watermark, so ``ts`` is cast on read.
+TIMESTAMP (not TIMESTAMP_NTZ) for a watermark; ``to_event_time`` maps the
+wall clock to the instant with the same UTC reading and ``from_event_time``
+maps back, so results do not depend on the session time zone.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridlake.config import scratch_path
+from gridlake.functions.exprs import from_event_time, to_event_time
 from gridlake.operators.telemetry import PARAMS, GridParams
 from gridlake.operators.validate import quarantine
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "ts",
                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """File stream with ``ts`` turned into event time (``to_event_time``:
+    the wall clock read as UTC, whatever the session time zone)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(path).withColumn(ts, to_event_time(ts))
 
 
 def dedup_stream(df: DataFrame, watermark: str = "2 hours", key=("site_id", "ts"), ts: str = "ts") -> DataFrame:
@@ -56,8 +61,8 @@ def window_totals(df: DataFrame, value_cols, window: str = "1 hour", watermark:
     return (df.withWatermark(ts, watermark)
               .groupBy(*key, F.window(ts, window).alias("window"))
               .agg(*aggs)
-              .select(*key, F.col("window.start").alias("window_start"),
-                      F.col("window.end").alias("window_end"), *[a for a in ["n"]],
+              .select(*key, from_event_time(F.col("window.start")).alias("window_start"),
+                      from_event_time(F.col("window.end")).alias("window_end"), "n",
                       *[f"{c}_{s}" for c in value_cols for s in ("sum", "mean")]))
 
 
