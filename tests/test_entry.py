@@ -40,3 +40,14 @@ def test_declared_doubles_match_schema(spark, sf_small, name):
 
     q = REGISTRY[name]
     assert sorted(double_columns(q.build(spark, sf_small))) == sorted(set(q.doubles))
+
+
+@pytest.mark.parametrize("name", ["stream_totals", "align_grid", "quality_report", "raw_file_roundtrip"])
+def test_oracle_agrees_in_other_time_zone(spark, duck, sf_small, name):
+    """Time arithmetic must not depend on the session time zone."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        ok, msg = compare(spark, duck, name, sf_small)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ok, msg
