@@ -59,12 +59,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
+_CREATED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Unique folder below the checkpoint root for one materialised table."""
     import uuid
 
     root = checkpoint_root(spark)
-    return f"{root}/gridlake/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/gridlake/{name}-{uuid.uuid4().hex}"
+    _CREATED.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this process created (call once the
+    results that read them have been consumed); returns how many.  Uses the
+    Hadoop file system of the checkpoint folder, so it works on shared
+    storage as well as locally."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _CREATED:
+        p = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
 
 
 def env_int(name: str, default: int) -> int:
