@@ -100,6 +100,23 @@ def series_window(spec: SeriesSpec = DEFAULT_SPEC) -> WindowSpec:
     return Window.partitionBy(*spec.key).orderBy(*spec.order)
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 200_000
+
+
+def range_partition_count(df: DataFrame) -> int:
+    """Partitions for the range shuffle: the optimizer's size estimate of
+    ``df`` over ~256 MB per partition, never fewer than
+    ``spark.sql.shuffle.partitions`` (AQE cannot resize this exchange, the
+    partition index is part of the row position)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate available
+        return base
+    return max(base, min(MAX_RANGE_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
+
+
 def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
                 largest: int | None = None) -> DataFrame:
     """Add ``rn``: 0-based position of each row within its key, ordered by
@@ -117,8 +134,7 @@ def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
     if largest <= spec.chunk_rows:
         return df.withColumn(rn, rn_column(F.row_number().over(series_window(spec)) - 1, largest,
                                            spec, rn))
-    spark = df.sparkSession
-    parts = spec.range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = spec.range_partitions or range_partition_count(df)
     cols = [*spec.key, *spec.order]
     # Explicit partition count: AQE must not coalesce this exchange, since the
     # partition index is part of the row position.
