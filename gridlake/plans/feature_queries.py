@@ -89,12 +89,14 @@ def _temporal_a_sql() -> tuple[str, list[str]]:
 
 TEMPORAL_A, TEMPORAL_A_DOUBLES = _temporal_a_sql()
 
-ENGINEERED_SQL = S.with_ctes(S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP, S.MERGED, PHYS_SQL,
-                             _cal_a_sql()) + f"""
-SELECT * EXCLUDE (ext, theo),
-  CAST(row_number() OVER (PARTITION BY site_id ORDER BY ts) - 1 AS BIGINT) AS rn,
-  {TEMPORAL_A}
-FROM cal"""
+# Lineage A feature table as CTEs: ``fe`` is the full engineered table.
+ENGINEERED_CTES = [S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP, S.MERGED, PHYS_SQL, _cal_a_sql(),
+                   f"""fe AS (
+  SELECT * EXCLUDE (ext, theo),
+    CAST(row_number() OVER (PARTITION BY site_id ORDER BY ts) - 1 AS BIGINT) AS rn,
+    {TEMPORAL_A}
+  FROM cal)"""]
+ENGINEERED_SQL = S.with_ctes(*ENGINEERED_CTES) + "SELECT * FROM fe"
 
 
 @register("engineered_features", sql=ENGINEERED_SQL,
@@ -137,8 +139,9 @@ def _cal_b_sql(src: str) -> str:
 
 CAL_B_DOUBLES = ["sin_hour", "cos_hour"]
 
-PV_B_SQL = S.with_ctes(S.SOLAR, S.SOLAR_DEDUP, f"b AS ({_cal_b_sql('solar_d')})") + f"""
-SELECT *, {clip_sql('pv_per_wm2', 0, 0.3)} AS pv_efficiency FROM (
+def pv_b_body(src: str) -> str:
+    """Lineage B PV features over ``src`` (de-duplicated rows with calendar B)."""
+    return f"""SELECT *, {clip_sql('pv_per_wm2', 0, 0.3)} AS pv_efficiency FROM (
 SELECT *,
   {sdiv('ghi', 'upper_rad')} AS radiation_ratio,
   temp_c * temp_c AS temp_squared,
@@ -152,7 +155,12 @@ SELECT *,
   avg(pv_kw) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS pv_roll_mean_3,
   stddev_samp(pv_kw) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS pv_roll_std_3,
   pv_kw - lag(pv_kw, 1) {W}) AS pv_ramp_rate
-FROM b)"""
+FROM {src})"""
+
+
+# ``pf`` is the PV feature table of lineage B.
+PV_B_CTES = [S.SOLAR, S.SOLAR_DEDUP, f"pb AS ({_cal_b_sql('solar_d')})", f"pf AS ({pv_b_body('pb')})"]
+PV_B_SQL = S.with_ctes(*PV_B_CTES) + "SELECT * FROM pf"
 
 PV_B_DOUBLES = ["temp_c", "humidity", "ghi", "upper_rad", "pv_kw", "radiation_ratio", "temp_squared",
                 "temp_derating", "pv_per_wm2", "pv_efficiency", "radiation_change", "pv_lag_1",
@@ -165,8 +173,9 @@ def pv_features_b(spark, sf_dir):
     return FE.pv_features_b(M.dedup_first(FX.solar(spark, sf_dir)))
 
 
-WIND_B_SQL = S.with_ctes(S.WIND, S.WIND_DEDUP, f"b AS ({_cal_b_sql('wind_d')})") + f"""
-SELECT *, {sdiv('wind_roll_std_3', 'wind_roll_mean_3')} AS turbulence_intensity FROM (
+def wind_b_body(src: str) -> str:
+    """Lineage B wind features over ``src``."""
+    return f"""SELECT *, {sdiv('wind_roll_std_3', 'wind_roll_mean_3')} AS turbulence_intensity FROM (
 SELECT *,
   wind_speed * wind_speed * wind_speed AS wind_speed_cubed,
   {c(0.5)} * air_density * (wind_speed * wind_speed * wind_speed) AS wind_power_density,
@@ -176,7 +185,12 @@ SELECT *,
   avg(wind_kw) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS wind_roll_mean_3,
   stddev_samp(wind_kw) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS wind_roll_std_3,
   wind_kw - lag(wind_kw, 1) {W}) AS wind_ramp
-FROM b)"""
+FROM {src})"""
+
+
+# ``wf`` is the wind feature table of lineage B.
+WIND_B_CTES = [S.WIND, S.WIND_DEDUP, f"wb AS ({_cal_b_sql('wind_d')})", f"wf AS ({wind_b_body('wb')})"]
+WIND_B_SQL = S.with_ctes(*WIND_B_CTES) + "SELECT * FROM wf"
 
 WIND_B_DOUBLES = ["air_density", "wind_speed", "wind_kw", "wind_speed_cubed", "wind_power_density",
                   "power_per_ws", "wind_lag_1", "wind_roll_mean_3", "wind_roll_std_3", "wind_ramp",
@@ -194,18 +208,13 @@ _PV_B_SEL = ["site_id", "ts", "row_id", "pv_kw", "ghi", "hour", "is_weekend", "p
 _WIND_B_SEL = ["site_id", "ts", "row_id", "wind_kw", "wind_speed", "hour", "is_weekend",
                "wind_lag_1", "wind_roll_mean_3", "turbulence_intensity"]
 
+
 def _merged_b_sql() -> str:
-    pv_body = PV_B_SQL.replace(S.with_ctes(S.SOLAR, S.SOLAR_DEDUP, f"b AS ({_cal_b_sql('solar_d')})"), "")
-    wind_body = WIND_B_SQL.replace(S.with_ctes(S.WIND, S.WIND_DEDUP, f"b AS ({_cal_b_sql('wind_d')})"), "")
-    pv_body = pv_body.replace("FROM b)", "FROM pb)")
-    wind_body = wind_body.replace("FROM b)", "FROM wb)")
     pvs = ", ".join(f"p.{x} AS {x}_pv" if x in ("row_id", "hour", "is_weekend") else f"p.{x}"
                     for x in _PV_B_SEL)
     wns = ", ".join(f"w.{x} AS {x}_wind" if x in ("row_id", "hour", "is_weekend") else f"w.{x}"
                     for x in _WIND_B_SEL if x not in ("site_id", "ts"))
-    return S.with_ctes(S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP,
-                       f"pb AS ({_cal_b_sql('solar_d')})", f"wb AS ({_cal_b_sql('wind_d')})",
-                       f"pf AS ({pv_body})", f"wf AS ({wind_body})") + f"""
+    return S.with_ctes(*PV_B_CTES, *WIND_B_CTES) + f"""
 SELECT {pvs}, {wns}
 FROM pf p JOIN wf w ON p.site_id = w.site_id AND p.ts = w.ts"""
 

@@ -10,7 +10,7 @@ from gridlake.operators import features as FE
 from gridlake.operators import merge as M
 from gridlake.operators import prep as PR
 from gridlake.operators import profile as P
-from gridlake.plans.feature_queries import ENGINEERED_SQL, PV_B_SQL, c, engineered_features
+from gridlake.plans.feature_queries import ENGINEERED_CTES, PV_B_CTES, c, engineered_features
 from gridlake.plans.registry import register
 from gridlake.sources import fixture_sql as S
 from gridlake.sources import fixtures as FX
@@ -34,11 +34,9 @@ def pv_imputed(spark, sf_dir):
     return PR.impute(pv_b(spark, sf_dir), PR.PV_POLICY)
 
 
-def _body(sql: str) -> str:
-    """Turn a registered SQL text into CTE material: strip ``WITH`` and keep the
-    trailing SELECT as the last CTE named ``pf``."""
-    head, sel = sql.rsplit("\nSELECT *, ", 1)
-    return head[len("WITH "):] + ",\npf AS (SELECT *, " + sel + ")"
+def _pv_ctes(*more: str) -> str:
+    """``WITH`` clause holding the lineage B PV feature table ``pf``."""
+    return S.with_ctes(*PV_B_CTES, *more)
 
 
 def _impute_sql() -> str:
@@ -54,9 +52,9 @@ def _impute_sql() -> str:
             cols.append(f"coalesce({x}, CAST({x}__med AS INTEGER)) AS {x}")
         else:
             cols.append(f"g.{x}" if x == "site_id" else x)
-    return ("WITH " + _body(PV_B_SQL) + ",\n" + neighbour_ctes("pf", PV_TEMPORAL, "g") +
-            f",\nmeds AS (SELECT site_id, {meds} FROM g GROUP BY site_id),\n"
-            f"imp AS (SELECT {', '.join(cols)} FROM g JOIN meds ON g.site_id = meds.site_id)\n")
+    return _pv_ctes(neighbour_ctes("pf", PV_TEMPORAL, "g"),
+                    f"meds AS (SELECT site_id, {meds} FROM g GROUP BY site_id)",
+                    f"imp AS (SELECT {', '.join(cols)} FROM g JOIN meds ON g.site_id = meds.site_id)")
 
 
 IMPUTE_CTES = _impute_sql()
@@ -124,7 +122,7 @@ def _column_stats_sql() -> str:
   count_if({v} IS NULL) AS n_missing, count_if(isinf({v})) AS n_infinite,
   count_if({v} = 0) AS n_zero, min({fin}) AS min, max({fin}) AS max, avg({fin}) AS mean,
   stddev_samp({fin}) AS std, median({fin}) AS median FROM pf GROUP BY site_id""")
-    return "WITH " + _body(PV_B_SQL) + "\n" + "\nUNION ALL\n".join(parts)
+    return _pv_ctes() + "\nUNION ALL\n".join(parts)
 
 
 @register("column_stats", sql=_column_stats_sql(),
@@ -171,7 +169,7 @@ METRIC_SEL = f"""count(*) AS n,
        sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae"""
 
 
-@register("forecast_metrics", sql="WITH " + _body(PV_B_SQL) + f"""
+@register("forecast_metrics", sql=_pv_ctes() + f"""
 SELECT site_id, {METRIC_SEL}
 FROM (SELECT site_id, pv_kw AS y, pv_lag_1 AS p FROM pf)
 WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY site_id""",
@@ -180,14 +178,13 @@ def forecast_metrics(spark, sf_dir):
     return E.regression_metrics(pv_b(spark, sf_dir), "pv_kw", "pv_lag_1")
 
 
-CV_METRICS_SQL = "WITH " + _body(PV_B_SQL) + f""",
-r AS (SELECT *, count(*) OVER (PARTITION BY site_id) AS n_rows FROM pf),
-f AS (SELECT *, n_rows // 6 AS t, unnest([0, 1, 2, 3, 4]) AS fold FROM r),
-fm AS (
+CV_METRICS_SQL = _pv_ctes("r AS (SELECT *, count(*) OVER (PARTITION BY site_id) AS n_rows FROM pf)",
+                          "f AS (SELECT *, n_rows // 6 AS t, unnest([0, 1, 2, 3, 4]) AS fold FROM r)",
+                          f"""fm AS (
   SELECT site_id, fold, {METRIC_SEL}
   FROM (SELECT site_id, fold, pv_kw AS y, pv_lag_1 AS p FROM f
         WHERE t > 0 AND rn >= n_rows - (5 - fold) * t AND rn < n_rows - (5 - fold) * t + t)
-  WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY site_id, fold)
+  WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY site_id, fold)""") + """
 SELECT site_id, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std, avg(rmse) AS rmse_mean,
        stddev_pop(rmse) AS rmse_std, avg(mae) AS mae_mean, stddev_pop(mae) AS mae_std
 FROM fm GROUP BY site_id"""
@@ -202,7 +199,7 @@ def cv_metrics(spark, sf_dir):
     return E.cv_summary(per_fold)
 
 
-@register("combined_metrics", sql=ENGINEERED_SQL.replace("\nSELECT * EXCLUDE (ext, theo),", ",\nfe AS (SELECT * EXCLUDE (ext, theo),").rstrip() + f""")
+@register("combined_metrics", sql=S.with_ctes(*ENGINEERED_CTES) + f"""
 SELECT site_id, {METRIC_SEL}
 FROM (SELECT site_id, total_renewable_power AS y, solar_lag_1 + wind_lag_1 AS p FROM fe)
 WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY site_id""",

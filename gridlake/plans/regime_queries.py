@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gridlake.operators import regime as R
-from gridlake.plans.feature_queries import ENGINEERED_SQL, engineered_features
+from gridlake.plans.feature_queries import ENGINEERED_CTES, engineered_features
 from gridlake.plans.registry import register
 from gridlake.sources import fixture_sql as S
 from gridlake.sources import fixtures as FX
@@ -19,24 +19,22 @@ def sdiv(a, b):
     return f"CASE WHEN {b} = 0 THEN CAST(NULL {D}) ELSE {a} / {b} END"
 
 
-FE_CTES = ENGINEERED_SQL.replace("\nSELECT * EXCLUDE (ext, theo),",
-                                 ",\nfe AS (SELECT * EXCLUDE (ext, theo),").rstrip() + ")"
 
 REGIME_COLS = ["site_id", "ts", "rn", "total_volatility", "complementarity_index",
                "total_renewable_power", "forecast_uncertainty", "regime", "vol_norm", "k_inertia",
                "k_droop", "s_base_kw", "p_pu"]
 
-REGIME_SQL = FE_CTES + f""",
-u AS (SELECT *, stddev_samp(total_rate_of_change) OVER (PARTITION BY site_id ORDER BY ts
-        ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS forecast_uncertainty FROM fe),
-th AS (SELECT site_id, quantile_cont(total_volatility, 0.25) AS v1,
-              quantile_cont(total_volatility, 0.75) AS v2, quantile_cont(total_volatility, 0.9) AS v3,
-              quantile_cont(forecast_uncertainty, 0.75) AS u1, max(total_volatility) AS vmax,
-              avg(total_renewable_power) AS s_base_kw
-       FROM u GROUP BY site_id),
-g AS (SELECT u.*, th.v1, th.v2, th.v3, th.u1, th.s_base_kw,
-             {sdiv('u.total_volatility', 'th.vmax')} AS vol_norm
-      FROM u JOIN th ON u.site_id = th.site_id)
+REGIME_SQL = S.with_ctes(*ENGINEERED_CTES, """u AS (
+  SELECT *, stddev_samp(total_rate_of_change) OVER (PARTITION BY site_id ORDER BY ts
+              ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS forecast_uncertainty FROM fe)""", """th AS (
+  SELECT site_id, quantile_cont(total_volatility, 0.25) AS v1,
+         quantile_cont(total_volatility, 0.75) AS v2, quantile_cont(total_volatility, 0.9) AS v3,
+         quantile_cont(forecast_uncertainty, 0.75) AS u1, max(total_volatility) AS vmax,
+         avg(total_renewable_power) AS s_base_kw
+  FROM u GROUP BY site_id)""", f"""g AS (
+  SELECT u.*, th.v1, th.v2, th.v3, th.u1, th.s_base_kw,
+         {sdiv('u.total_volatility', 'th.vmax')} AS vol_norm
+  FROM u JOIN th ON u.site_id = th.site_id)""") + f"""
 SELECT site_id, ts, rn, total_volatility, complementarity_index, total_renewable_power,
        forecast_uncertainty,
        CASE WHEN total_volatility < v1 THEN 'STABLE'
