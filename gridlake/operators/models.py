@@ -21,6 +21,14 @@ SEED = 42
 NOISE_STD = 0.05
 
 
+def _memory_mb(text: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = text.strip().lower().rstrip("b")
+    if t and t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(int(t) / (1024 * 1024))
+
+
 def forest_pipeline(features: list[str], target: str, num_trees: int = FOREST_TREES,
                     max_depth: int = FOREST_DEPTH, seed: int = SEED) -> Pipeline:
     """ML4: assembler (feature order = PRJ13) + random forest."""
@@ -46,12 +54,43 @@ def linear_pipeline(features: list[str], target: str) -> Pipeline:
     return Pipeline(stages=[asm, LinearRegression(featuresCol="features", labelCol=target)])
 
 
+def task_memory_mb(spark) -> tuple[float, int]:
+    """(memory per task in MB, concurrent task slots): the JVM heap over the
+    local cores in local mode, the executor memory over its cores on a
+    cluster."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
+        slots = max(1, sc.defaultParallelism)
+        return heap_mb / slots, slots
+    mem = _memory_mb(spark.conf.get("spark.executor.memory", "1g"))
+    cores = int(spark.conf.get("spark.executor.cores", "1"))
+    return mem / max(1, cores), max(1, sc.defaultParallelism)
+
+
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit with the training rows persisted (memory, spilling to disk): tree
     learners pass over the input several times and must not recompute the
-    feature lineage each time."""
+    feature lineage each time.
+
+    Every concurrent tree task holds split statistics of up to
+    ``maxMemoryInMB``; the budget and the number of training partitions are
+    set together so they fit the memory a task really has (a small local
+    heap trains with fewer, larger tasks instead of failing)."""
     from pyspark import StorageLevel
 
+    spark = train.sparkSession
+    per_task, slots = task_memory_mb(spark)
+    tree_stages = [st for st in pipeline.getStages() if st.hasParam("maxMemoryInMB")]
+    parts = train.rdd.getNumPartitions()
+    if tree_stages:
+        # at most one busy partition per 512 MB of the heap share of all slots
+        budget_parts = max(1, int(per_task * slots // 512))
+        parts = max(1, min(parts, budget_parts))
+        mem = int(max(16, min(256, per_task * slots / parts * 0.1)))
+        for st in tree_stages:
+            st.setMaxMemoryInMB(mem)
+        train = train.coalesce(parts)
     cached = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(cached)

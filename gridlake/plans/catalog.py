@@ -1,15 +1,12 @@
-"""All registered queries (importing the modules fills the registry)."""
+"""All registered queries (importing the modules fills the registry).
 
-from gridlake.plans import merge_queries  # noqa: F401
+Registration order is execution order for drivers that iterate the
+registry; the model fits come last, after every SQL-checked query."""
+
+from gridlake.plans import (clean_queries, feature_queries, io_stream_queries,  # noqa: F401
+                            merge_queries, model_prep_queries, regime_queries, series_queries,
+                            telemetry_queries, validate_queries)
+from gridlake.plans import model_queries  # noqa: F401,E402  (heaviest last)
 from gridlake.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]
-from gridlake.plans import clean_queries  # noqa: F401,E402
-from gridlake.plans import validate_queries  # noqa: F401,E402
-from gridlake.plans import feature_queries  # noqa: F401,E402
-from gridlake.plans import model_prep_queries  # noqa: F401,E402
-from gridlake.plans import telemetry_queries  # noqa: F401,E402
-from gridlake.plans import model_queries  # noqa: F401,E402
-from gridlake.plans import regime_queries  # noqa: F401,E402
-from gridlake.plans import io_stream_queries  # noqa: F401,E402
-from gridlake.plans import series_queries  # noqa: F401,E402

@@ -44,7 +44,8 @@ def _forest(spark, sf_dir, name, table, target):
     try:
         model = MD.load_model(path)
     except Exception:  # noqa: BLE001 - not trained yet
-        model = MD.fit(MD.forest_pipeline(feats, target), d.where(F.col("holdout_role") == "train"))
+        model = MD.fit(MD.forest_pipeline(feats, target),
+                       d.where(F.col("holdout_role") == "train"))
         MD.save_model(model, path)
     return model, d, feats
 
@@ -57,7 +58,8 @@ def _wind_imputed(spark, sf_dir):
 @register("forest_forecast", operators=("ML4", "ML5", "PRJ8", "PRJ10", "PRJ13", "FLT4", "SNK4", "WIN11"))
 def forest_forecast(spark, sf_dir):
     d, feats = _frame(_split(pv_imputed(spark, sf_dir)), "pv_kw")
-    model = MD.fit(MD.forest_pipeline(feats, "pv_kw"), d.where(F.col("holdout_role") == "train"))
+    model = MD.fit(MD.forest_pipeline(feats, "pv_kw"),
+                   d.where(F.col("holdout_role") == "train"))
     MD.save_model(model, _model_path(spark, "pv_forest", sf_dir))
     test = d.where(F.col("holdout_role") == "test")
     return MD.predict(model, test).select("site_id", "row_id", "ts", "pv_kw", "prediction")
@@ -98,7 +100,8 @@ def boosted_forecast(spark, sf_dir):
     train_rows = F.col("holdout_role") == "train"
     stats = PR.scaling_stats(d, cols, fit_on=train_rows)
     scaled = PR.standardize(d, cols, fit_on=train_rows).na.drop(subset=cols)
-    model = MD.fit(MD.boosted_pipeline(lagged, "pv_kw"), scaled.where(train_rows))
+    model = MD.fit(MD.boosted_pipeline(lagged, "pv_kw"),
+                   scaled.where(train_rows))
     pred = MD.predict(model, scaled.where(~train_rows))
     out = PR.unscale(pred, stats, "prediction", "pv_kw")
     actual = d.select("site_id", "row_id", F.col("pv_kw").alias("actual_kw"))

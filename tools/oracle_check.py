@@ -6,6 +6,7 @@ Usage: python tools/oracle_check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -72,7 +73,12 @@ def compare(spark, con, name: str, sf: str) -> tuple[bool, str]:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(REGISTRY)
-    spark = build_session()
+    if os.environ.get("GRIDLAKE_BARE_SESSION"):
+        # the driver's view: a default session with none of our settings
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session()
     con = connect(sf)
     bad = 0
     for name in names:
