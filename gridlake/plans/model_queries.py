@@ -65,6 +65,16 @@ def forest_forecast(spark, sf_dir):
     return MD.predict(model, test).select("site_id", "row_id", "ts", "pv_kw", "prediction")
 
 
+@register("wind_forest_forecast", operators=("ML4", "ML5", "PRJ8", "FLT4", "SNK4", "WIN11"))
+def wind_forest_forecast(spark, sf_dir):
+    """The wind model of the reference's training step (same forest)."""
+    d, feats = _frame(_split(_wind_imputed(spark, sf_dir)), "wind_kw")
+    model = MD.fit(MD.forest_pipeline(feats, "wind_kw"), d.where(F.col("holdout_role") == "train"))
+    MD.save_model(model, _model_path(spark, "wind_forest", sf_dir))
+    test = d.where(F.col("holdout_role") == "test")
+    return MD.predict(model, test).select("site_id", "row_id", "ts", "wind_kw", "prediction")
+
+
 @register("noise_robustness", operators=("ML9", "ML5", "ML6", "SNK4"))
 def noise_robustness(spark, sf_dir):
     model, d, feats = _forest(spark, sf_dir, "pv_forest", pv_imputed(spark, sf_dir), "pv_kw")
