@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from gridlake.functions import exprs as X
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
+# The merged (lineage A) table is unique per (site_id, ts): time alone orders it.
+MERGED_SPEC = SeriesSpec(order=("ts",))
+
 # Lineage A lags 1, 2, 3, 6, 12, 24 rows and a 6-row rolling
 # window (named "_6h"); lineage B PV lags 1 and 3, wind lag 1, 3-row rolling.
 LAGS_A = (1, 2, 3, 6, 12, 24)
@@ -61,7 +64,7 @@ def physics_a(df: DataFrame, ghi="ghi", pv="pv_kw", rho="air_density", v="wind_s
 
 
 def temporal_a(df: DataFrame, solar="pv_kw", wind="wind_kw", total="total_renewable_power",
-               spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
+               spec: SeriesSpec = MERGED_SPEC) -> DataFrame:
     """WIN1-WIN3 (lineage A): lags, 6-row rolling mean/std (min 1 value),
     first differences and their absolute values."""
     def cols(w):
@@ -81,7 +84,7 @@ def temporal_a(df: DataFrame, solar="pv_kw", wind="wind_kw", total="total_renewa
     return windowed(df, cols, halo=max(LAGS_A), spec=spec)
 
 
-def engineered_a(merged: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, strict: bool = False) -> DataFrame:
+def engineered_a(merged: DataFrame, spec: SeriesSpec = MERGED_SPEC, strict: bool = False) -> DataFrame:
     """Lineage A feature table: physics, calendar and temporal features."""
     return temporal_a(calendar_a(physics_a(merged, strict=strict)), spec=spec)
 

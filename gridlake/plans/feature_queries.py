@@ -104,9 +104,7 @@ ENGINEERED_SQL = S.with_ctes(*ENGINEERED_CTES) + "SELECT * FROM fe"
           operators=("SC1", "SC3", "SC4", "SC5", "SC8", "SC9", "WIN1", "WIN2", "WIN3",
                      "SC6", "SC7"))
 def engineered_features(spark, sf_dir):
-    m = merged_table(spark, sf_dir)
-    spec = FE.DEFAULT_SPEC.__class__(order=("ts",))
-    return FE.engineered_a(m, spec=spec)
+    return FE.engineered_a(merged_table(spark, sf_dir))
 
 
 PHYSICS_SQL = S.with_ctes(S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP, S.MERGED, PHYS_SQL) + \

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlake.operators import features as FE
 from gridlake.operators import regime as R
 from gridlake.plans.feature_queries import ENGINEERED_CTES, engineered_features
 from gridlake.plans.registry import register
@@ -54,8 +55,7 @@ FROM g"""
           operators=("DOC1", "DOC2", "DOC3", "DOC9"))
 def regime_label(spark, sf_dir):
     fe = engineered_features(spark, sf_dir)
-    spec = R.DEFAULT_SPEC.__class__(order=("ts",))
-    u = R.forecast_uncertainty(fe, "total_rate_of_change", spec=spec)
+    u = R.forecast_uncertainty(fe, "total_rate_of_change", spec=FE.MERGED_SPEC)
     return R.adaptive_gains(R.regime_labels(u)).select(*REGIME_COLS)
 
 
