@@ -53,6 +53,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster: "
+                           "gridlake writes lineage cuts and statistics tables there")
+    # a bare local session (tests): a private folder is fine on one machine
     path = tempfile.mkdtemp(prefix="gridlake-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
