@@ -1,7 +1,6 @@
 """Combining sources: de-duplication, overlap window, joins, complementarity.
 
-Operators: WIN8 (de-duplicate by timestamp, keep first), SET1 (outer union of
-files with unequal columns), FLT3 (common time range), JN1/JN2 (inner
+Operators: WIN8 (de-duplicate by timestamp, keep first), FLT3 (common time range), JN1/JN2 (inner
 equi-join with suffixes), JN4 (positional zip), JN5 (keyed addition), JN6 +
 SC6 + SC7 (per-site statistics joined back: complementarity, total power,
 capacity factor).
@@ -34,13 +33,6 @@ def dedup_first(df: DataFrame, key=("site_id", "ts"), order: str = "row_id") ->
               .select(*df.columns))
 
 
-def union_sources(frames: list[DataFrame]) -> DataFrame | None:
-    """Concatenate files with unequal columns (missing ones become NULL)."""
-    if not frames:
-        return None
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def time_range(df: DataFrame, key=("site_id",), ts: str = "ts") -> DataFrame:
     return df.groupBy(*key).agg(F.min(ts).alias("_start"), F.max(ts).alias("_end"))
 

@@ -7,8 +7,6 @@ inputs count as violations for the "all values >= 0" rules, as
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlake.functions.exprs import micros_between
@@ -96,8 +94,3 @@ def align(frames: dict[str, DataFrame], ranges: DataFrame, step_minutes: int = 1
         side = f.select(*key, "ts", *[F.col(c).alias(f"{c}_{name}") for c in cols])
         out = out.join(side, [*key, "ts"], "left")
     return out
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-

@@ -13,8 +13,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EXACT_QUANTILE_MAX_DISTINCT = 10_000_000
@@ -76,7 +74,3 @@ APPROX_ACCURACY = 100_000
 def percentile_of(col: Column, pcts, exact: bool) -> Column:
     """Exact (linear interpolation, like pandas) or approximate percentile."""
     return F.percentile(col, pcts) if exact else F.percentile_approx(col, pcts, APPROX_ACCURACY)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

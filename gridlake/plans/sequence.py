@@ -86,16 +86,6 @@ def rn_column(expr: Column, largest: int | None, spec: SeriesSpec = DEFAULT_SPEC
     return expr.cast("bigint").alias(name, metadata=meta)
 
 
-def fits_one_chunk(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> bool:
-    """True when no key holds more than ``chunk_rows`` rows: every series is
-    then a bounded group and a plain per-key window cannot be skewed beyond
-    one chunk.  Uses the bound recorded on ``rn`` when there is one."""
-    known = known_largest(df, spec)
-    if known is not None:
-        return known <= spec.chunk_rows
-    return largest_key(df, spec) <= spec.chunk_rows
-
-
 def series_window(spec: SeriesSpec = DEFAULT_SPEC) -> WindowSpec:
     return Window.partitionBy(*spec.key).orderBy(*spec.order)
 

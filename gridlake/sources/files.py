@@ -14,7 +14,6 @@ driver.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -180,7 +179,3 @@ def key_value_rows(df: DataFrame, key=("site_id",)) -> DataFrame:
 
 def write_summary(df: DataFrame, path: str, key=("site_id",)) -> None:
     key_value_rows(df, key).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def safe_name(name: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]+", "_", name.strip()).strip("_").lower()

@@ -214,3 +214,35 @@ def test_bounded_group_statistics(spark):
     approx = C.quartiles(nums, ["v"], exact=False).orderBy("site_id").collect()
     for a, b in zip(exact, approx):
         assert abs(a.v__q1 - b.v__q1) <= 2.0 and abs(a.v__q3 - b.v__q3) <= 2.0
+
+
+def test_small_inventory_operators(spark):
+    """PRJ6 parse report, AGG10 text modes, AGG8 infinite counts, PRJ11
+    coercion, JN5 keyed sum and the linear re-aim of ML10."""
+    from gridlake.operators import merge as MG
+    from gridlake.operators import models as MD
+    from gridlake.operators import prep as PR
+
+    raw = spark.createDataFrame([(0, "2024-01-01 00:00:00", "a"), (0, "junk", "b"), (0, None, "b"),
+                                 (1, "2024-01-02 00:00:00", None)],
+                                "site_id int, raw string, label string")
+    parsed = FS.parse_timestamp(raw.withColumn("raw_copy", F.col("raw")), "raw_copy", "ts")
+    rep = {r.site_id: (r.n_invalid, r.n_missing) for r in V.parse_report(parsed, "raw", "ts").collect()}
+    assert rep[0] == (1, 2) and rep[1] == (0, 0)
+    modes = {r.site_id: r.label for r in P.text_modes(raw, ["label"]).collect()}
+    assert modes == {0: "b", 1: ""}
+
+    nums = spark.createDataFrame([(0, float("inf"), "1.5"), (0, 2.0, "x"), (1, float("-inf"), "3")],
+                                 "site_id int, a double, t string")
+    assert {r.site_id: r.n_infinite for r in PR.infinite_counts(nums).collect()} == {0: 1, 1: 1}
+    co = PR.coerce_numeric(nums, ["t"]).orderBy("site_id", "a").collect()
+    assert [r.t for r in co] == [None, 1.5, 3.0]  # ordered by a: 2.0, inf, -inf (site 1)
+
+    left = spark.createDataFrame([(0, T0, 1.0), (0, T0.replace(hour=1), 2.0)], "site_id int, ts timestamp_ntz, a double")
+    right = spark.createDataFrame([(0, T0, 10.0)], "site_id int, ts timestamp_ntz, b double")
+    assert [r.total for r in MG.keyed_sum(left, right, "a", "b", "total").collect()] == [11.0]
+
+    train = spark.range(0, 50).selectExpr("cast(id as double) as x", "2.0 * id + 1.0 as y")
+    model = MD.fit(MD.linear_pipeline(["x"], "y"), train)
+    pred = MD.predict(model, train).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    assert pred < 1e-6
