@@ -68,7 +68,7 @@ def task_memory_mb(spark) -> tuple[float, int]:
     return mem / max(1, cores), max(1, sc.defaultParallelism)
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+def fit(pipeline: Pipeline, train: DataFrame, share: float = 1.0) -> PipelineModel:
     """Fit with the training rows persisted (memory, spilling to disk): tree
     learners pass over the input several times and must not recompute the
     feature lineage each time.
@@ -81,6 +81,7 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 
     spark = train.sparkSession
     per_task, slots = task_memory_mb(spark)
+    per_task *= share  # concurrent fits split the memory
     tree_stages = [st for st in pipeline.getStages() if st.hasParam("maxMemoryInMB")]
     parts = train.rdd.getNumPartitions()
     if tree_stages:
@@ -130,3 +131,35 @@ def model_frame(df: DataFrame, target: str, strict_leakage: bool = False,
         d = d.drop("pv_per_wm2", "pv_efficiency", "power_per_ws", "turbulence_intensity",
                    "solar_efficiency", "wind_power_per_speed", "wind_power_coefficient_cp")
     return d, PR.feature_columns(d, [target])
+
+
+def cross_validate(df: DataFrame, features: list[str], target: str, make_pipeline,
+                   n_splits: int = 5, spec=None) -> DataFrame:
+    """ML4 + ML7: time-series cross-validation -- expanding-window folds per
+    series (``evaluate.cv_folds``), one fit per fold on its training rows,
+    metrics on its test rows; returns one row per fold (fold, n, r2, rmse,
+    mae).  The folds table is written once; the ``n_splits`` fits run
+    concurrently from a small thread pool (like CrossValidator's
+    ``parallelism``), as many at a time as the task memory allows."""
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    from gridlake.operators.evaluate import cv_folds, regression_metrics
+    from gridlake.plans.materialize import materialize
+    from gridlake.plans.sequence import DEFAULT_SPEC
+
+    folds = materialize(cv_folds(df, n_splits, spec or DEFAULT_SPEC), "cv_folds")
+    per_task, slots = task_memory_mb(df.sparkSession)
+    parallel = max(1, min(n_splits, int(per_task * slots // 1024)))
+
+    def one(k: int) -> DataFrame:
+        part = folds.where(F.col("fold") == k)
+        model = fit(make_pipeline(features, target), part.where(F.col("role") == "train"),
+                    share=1.0 / parallel)
+        pred = predict(model, part.where(F.col("role") == "test"))
+        return materialize(regression_metrics(pred, target, "prediction", ())
+                           .withColumn("fold", F.lit(k)), "cv_fold_metrics")
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        per_fold = list(pool.map(one, range(n_splits)))
+    return reduce(lambda a, b: a.unionByName(b), per_fold)

@@ -117,3 +117,18 @@ def boosted_forecast(spark, sf_dir):
     actual = d.select("site_id", "row_id", F.col("pv_kw").alias("actual_kw"))
     return (out.select("site_id", "row_id", "ts", "prediction")
                .join(actual, ["site_id", "row_id"], "inner"))
+
+
+@register("forest_cv", operators=("ML4", "ML7", "WIN12"), heavy=True)
+def forest_cv(spark, sf_dir):
+    """The reference's training loop: five expanding-window folds, a 300-tree
+    forest per fold.  One row per fold, plus a summary row (``fold`` NULL)
+    with the mean metrics and their population std."""
+    d, feats = _frame(pv_imputed(spark, sf_dir).drop("rn"), "pv_kw")
+    per_fold = MD.cross_validate(d, feats, "pv_kw", MD.forest_pipeline)
+    summary = per_fold.groupBy().agg(
+        F.sum("n").alias("n"), F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"),
+        F.avg("mae").alias("mae"), F.stddev_pop("r2").alias("r2_std"),
+        F.stddev_pop("rmse").alias("rmse_std"), F.stddev_pop("mae").alias("mae_std"))
+    return per_fold.unionByName(summary.withColumn("fold", F.lit(None).cast("int")),
+                                allowMissingColumns=True)

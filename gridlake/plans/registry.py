@@ -25,6 +25,7 @@ class Query:
     sql: str | None = None
     doubles: list[str] = field(default_factory=list)
     operators: tuple[str, ...] = ()
+    heavy: bool = False  # minutes of model fitting: left out of the default bench
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return round_doubles(self.build(spark, sf_dir))
@@ -39,9 +40,9 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, sql: str | None = None, doubles: list[str] | None = None,
-             operators: tuple[str, ...] = ()):
+             operators: tuple[str, ...] = (), heavy: bool = False):
     def deco(fn):
-        REGISTRY[name] = Query(name, fn, sql, list(doubles or []), operators)
+        REGISTRY[name] = Query(name, fn, sql, list(doubles or []), operators, heavy)
         return fn
     return deco
 

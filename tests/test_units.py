@@ -246,3 +246,14 @@ def test_small_inventory_operators(spark):
     model = MD.fit(MD.linear_pipeline(["x"], "y"), train)
     pred = MD.predict(model, train).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     assert pred < 1e-6
+
+
+def test_cross_validate_folds(spark, sf_small):
+    from gridlake.operators import models as MD
+    from gridlake.plans.model_prep_queries import pv_imputed
+
+    d, feats = MD.model_frame(pv_imputed(spark, sf_small).drop("rn"), "pv_kw")
+    d = d.na.drop(subset=feats + ["pv_kw"])
+    out = MD.cross_validate(d, feats, "pv_kw", lambda f, t: MD.forest_pipeline(f, t, 5, 3)).collect()
+    assert sorted(r.fold for r in out) == [0, 1, 2, 3, 4]
+    assert all(r.n > 0 and r.rmse >= 0 for r in out)
