@@ -15,6 +15,11 @@ site holds a third of all rows that task is the job.  Instead:
    drop the halo copies.
 
 Unbounded look-back (fills) uses per-chunk summaries instead; see ``carry``.
+
+One aggregate first measures the largest key.  When no key exceeds
+``chunk_rows`` a plain per-key window is bounded by construction and is
+used instead of steps 1-3; the bound is recorded as metadata on ``rn`` so
+chained operators on the same series do not measure it again.
 """
 
 from __future__ import annotations
@@ -179,8 +184,9 @@ def windowed(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]],
              spec: SeriesSpec = DEFAULT_SPEC, keep_rn: bool = True) -> DataFrame:
     """Evaluate window expressions that look back at most ``halo`` rows.
 
-    ``columns(w)`` receives the (key, chunk) window ordered by ``rn`` and
-    returns ``{name: expression}``; row frames must stay within
+    ``columns(w)`` receives the window -- per (key, chunk) ordered by ``rn``,
+    or per key when every key fits one chunk -- and returns
+    ``{name: expression}``; row frames must stay within
     ``rowsBetween(-halo, 0)`` (lag up to ``halo``).
     """
     has_rn = "rn" in df.columns
