@@ -95,7 +95,8 @@ def quality_report(df: DataFrame, measure_cols: list[str], power_cols: list[str]
     key = list(spec.key)
     stepped = step_seconds(df, spec, ts)
     content = [c for c in df.columns if c not in ignore]
-    modal = modal_values(stepped, key, ["step_s"]).withColumnRenamed("step_s", "modal_step_s")
+    modal = (modal_values(stepped, key, ["step_s"], all_keys=False)
+             .withColumnRenamed("step_s", "modal_step_s"))
     distinct_ts = (df.where(F.col(ts).isNotNull()).groupBy(*key, ts).agg(F.lit(1).alias("_one"))
                      .groupBy(*key).agg(F.count(F.lit(1)).alias("_distinct_ts")))
     base = (stepped.groupBy(*key).agg(

@@ -19,9 +19,12 @@ EXACT_QUANTILE_MAX_DISTINCT = 10_000_000
 SALT_BUCKETS = 64
 
 
-def modal_values(df: DataFrame, key, cols: list[str], default=None) -> DataFrame:
+def modal_values(df: DataFrame, key, cols: list[str], default=None,
+                 all_keys: bool = True) -> DataFrame:
     """One row per key with the modal value of each column (NULLs ignored,
-    lowest value on ties; ``default`` when a column has no value)."""
+    lowest value on ties; ``default`` when a column has no value).  With
+    ``all_keys=False`` keys without any value are left out (for callers
+    that join the result onto a table of all keys anyway)."""
     key = list(key)
     out = None
     for c in cols:
@@ -31,6 +34,8 @@ def modal_values(df: DataFrame, key, cols: list[str], default=None) -> DataFrame
                                         .alias("_b"))
         best = best.select(*key, F.col("_b.v").alias(c))
         out = best if out is None else out.join(best, key, "full")
+    if not all_keys and out is not None:
+        return out
     keys = df.select(*key).distinct()
     res = keys.join(out, key, "left") if out is not None else keys
     if default is not None:
