@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from gridlake.llm import quality_rules
+from gridlake.llm import hash_ring, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op6_hash_ring": hash_ring.op6_hash_ring,
+    "op8_warc": warc.op8_warc,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op8_warc": warc.OP8_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
