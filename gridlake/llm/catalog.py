@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridlake.llm import hash_ring, quality_rules, url_filter, warc
+from gridlake.llm import decontaminate, hash_ring, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_hash_ring": hash_ring.op6_hash_ring,
     "op8_warc": warc.op8_warc,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
