@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlake.llm import decontaminate, hash_ring, quality_rules, url_filter, warc
+from gridlake.llm import bpe, decontaminate, hash_ring, quality_rules, url_filter, warc
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_hash_ring": hash_ring.op6_hash_ring,
+    "op7_bpe": bpe.op7_bpe,
     "op8_warc": warc.op8_warc,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
