@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridlake.llm import bpe, decontaminate, hash_ring, language, quality_rules, toxicity, url_filter, warc
+from gridlake.llm import bpe, decontaminate, hash_ring, language, near_dup, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_language": language.op2_language,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_near_dup": near_dup.op5_near_dup,
     "op6_hash_ring": hash_ring.op6_hash_ring,
     "op7_bpe": bpe.op7_bpe,
     "op8_warc": warc.op8_warc,
