@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridlake.llm import bpe, decontaminate, hash_ring, language, near_dup, quality_rules, toxicity, url_filter, warc
+from gridlake.llm import bpe, decontaminate, hash_ring, language, near_dup, quality_rules, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_language": language.op2_language,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,

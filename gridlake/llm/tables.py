@@ -17,3 +17,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a re-read, not a recomputation."""
     checkpoint_root(df.sparkSession)
     return materialize(df, name)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now: it does so
+    when the driver collects the objects that refer to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
