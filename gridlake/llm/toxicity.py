@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
 from gridlake.llm.language import fold
-from gridlake.llm.tables import table
+from gridlake.llm.tables import cut, table
 
 SAMPLE, SAMPLE_TEXT, FEATURES = 6000, 50_000, 20_000
 PREFIXES = (4, 5, 6)
@@ -174,21 +174,29 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fit on the bounded sample of ``labelled`` (one row per id expected)."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fit on the bounded sample of the labelled rows of ``docs``.
+
+    Only ids and lengths are joined with the labels; the texts of the sample (at most
+    ``2 * SAMPLE`` ids, a proven bound of the broadcast) are fetched afterwards."""
+    known = (labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id"))
+                   .agg(F.max("toxic").cast("int").alias("toxic")))
+    sized = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n")).dropDuplicates(["id"])
+    rows = cut(sized.join(known, "id"), "toxic-labels")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    rows = rows.where(F.length("text") <= SAMPLE_TEXT)
-    parts = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).select("toxic", "text").repartition(8)
-    known, n = _screen(sample)
-    if not len(known):
+    short = rows.where(F.col("n") <= SAMPLE_TEXT)
+    parts = [short.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "toxic")
+             for y in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    sample = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_TEXT)
+                     .join(chosen, "id").select("toxic", "text"), "toxic-sample")
+    buckets, n = _screen(sample)
+    if not len(buckets):
         return None
-    weights, bias = fit(_instances(sample, known), len(known), counts[1] / (counts[0] + counts[1]))
-    return Model(known, weights, bias)
+    weights, bias = fit(_instances(sample, buckets), len(buckets), counts[1] / (counts[0] + counts[1]))
+    return Model(buckets, weights, bias)
 
 
 #: What scoring adds: the noisy-or score, and of sentences at ``THRESHOLD`` or above the
@@ -238,16 +246,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
-    """Documents with their label; several labels of one id become one."""
-    known = (labels.where(F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").alias("toxic")))
-    return docs.where(learn).select(id_col, "text").join(known, id_col)
-
-
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
-    model = train(labelled_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return score(rows, model).select("doc_id", "held_out", "score",
                                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
