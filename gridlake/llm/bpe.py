@@ -29,6 +29,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlake.llm.bytes_of import text_blocks
 from gridlake.llm.tables import table
 
 CHUNK = 1 << 16
@@ -371,14 +372,14 @@ class Decoder:
 
 
 class Cache(dict):
-    """Pre-token -> (number of ids, ids as text, decoded text), emptied when full."""
+    """Pre-token -> (number of ids, ids as text, decoded text, ids), emptied when full."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
 
-    def spelled(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), decode_ids(ids, self.merges)
+    def spelled(self, ids: list[int]) -> tuple[int, str, str, list[int]]:
+        return len(ids), " ".join(map(str, ids)), decode_ids(ids, self.merges), ids
 
     def __missing__(self, word: str):
         if len(self) >= CACHE_WORDS:
@@ -450,6 +451,22 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def encode_cached(text: str, cache: Cache) -> list[int]:
+    """Ids of one text, pre-tokens from the cache."""
+    ids: list[int] = []
+    one = cache.__getitem__
+
+    def put(words):
+        for e in map(one, words):
+            ids.extend(e[3])
+
+    e = Encoder(cache.merges, put, ids.append, ids.extend)
+    for i in range(0, len(text), CHUNK):
+        e.feed(text[i:i + CHUNK])
+    e.finish()
+    return ids
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` plus an ``array<int>`` column of ids."""
     model = _shared(docs.sparkSession, path)
@@ -457,10 +474,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{ids_col}` array<int>"])
 
     def run(batches):
-        merges, _ = load(model.value)
+        _, cache = load(model.value)
         for batch in batches:
-            ids = [encode_text(t, merges) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for first, _, offsets in text_blocks(column):
+                rows = batch.slice(first, len(offsets) - 1)
+                ids = [encode_cached(t.as_py() or "", cache) for t in column.slice(first, len(offsets) - 1)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
 
     return docs.mapInArrow(run, schema)
 

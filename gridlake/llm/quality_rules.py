@@ -30,8 +30,10 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with every measurement the rules use.
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 carry: str | None = None) -> DataFrame:
+    """One row per document with every measurement the rules use; ``carry`` names a
+    struct column that takes the whole document along.
 
     ``n_repeat_words`` counts the words covered by 3-word windows that occur at
     least twice.  Documents whose windows are all different (the common case)
@@ -40,8 +42,9 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    row = [carry] if carry else []
     base = docs.select(
-        F.col(id_col).alias(id_col), word_array(F.col(text_col)).alias("_w"),
+        F.col(id_col).alias(id_col), *([F.struct(*docs.columns).alias(carry)] if carry else []), word_array(F.col(text_col)).alias("_w"),
         lines.alias("_lines"),
         F.length(F.regexp_replace(text, SEPARATORS, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"))
@@ -50,7 +53,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "transform(slice(_w, 1, size(_w) - 2), (w, i) -> concat(w, ' ', _w[i + 1], ' ', _w[i + 2]))")
     ).otherwise(F.array().cast("array<string>"))
     with_windows = sized.select(
-        id_col, "n_words", "word_chars", "n_symbols",
+        id_col, *row, "n_words", "word_chars", "n_symbols",
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         windows.alias("_t"))
@@ -65,7 +68,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covered = F.when(F.size("_p") > 0, F.expr(
         "3 + aggregate(transform(slice(_p, 1, size(_p) - 1), (p, j) -> least(3, _p[j + 1] - p)), "
         "0, (a, x) -> a + x)")).otherwise(0)
-    return positions.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+    return positions.select(id_col, *row, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
                             F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
@@ -111,12 +114,13 @@ def mask(names, rules=RULES) -> int:
     return sum(1 << known.index(n) for n in set(names))
 
 
-def ledger(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
+           carry: str | None = None) -> DataFrame:
     """Measurements plus ``failed`` (bigint, bit i set when rules[i] fails)."""
     bits = F.lit(0).cast("bigint")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return measurements(docs, id_col, text_col).withColumn("failed", bits)
+    return measurements(docs, id_col, text_col, carry).withColumn("failed", bits)
 
 
 def rejected(policy: Policy, failed: Column, rules=RULES, without: str | None = None) -> Column:
@@ -133,6 +137,16 @@ def apply_policy(rows: DataFrame, policy: Policy, rules=RULES) -> DataFrame:
     return rows.withColumn("kept", ~rejected(policy, F.col("failed"), rules))
 
 
+def keep_good(docs: DataFrame, policy: Policy = STANDARD, rules=RULES, **names) -> DataFrame:
+    """The documents that the policy keeps, columns as given; no shuffle.
+
+    The row number only keeps the optimizer from moving the filter below the
+    measurements, where it would spell each of them out once per use."""
+    rows = apply_policy(ledger(docs, rules, carry="_document", **names), policy, rules)
+    return (rows.select("_document", "kept", F.monotonically_increasing_id().alias("_row"))
+                .where("kept and _row >= 0").select("_document.*"))
+
+
 def ablations(rows: DataFrame, policies=POLICIES, rules=RULES) -> DataFrame:
     """Per policy and rule: documents rejected, rejected without the rule, and
     rejected by this rule alone.  One aggregate over the distinct bit patterns
