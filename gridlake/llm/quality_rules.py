@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridlake.llm.tables import table
+from gridlake.llm.tables import cut, table
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -68,8 +68,11 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covered = F.when(F.size("_p") > 0, F.expr(
         "3 + aggregate(transform(slice(_p, 1, size(_p) - 1), (p, j) -> least(3, _p[j + 1] - p)), "
         "0, (a, x) -> a + x)")).otherwise(0)
+    # The row number times 0 keeps the optimizer from moving a caller's filter below the
+    # measurements, where it would spell each of them out once per use.
+    fixed = F.monotonically_increasing_id() * 0
     return positions.select(id_col, *row, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-                            F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
+                            (F.coalesce(covered, F.lit(0)) + fixed).cast("bigint").alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
@@ -138,20 +141,16 @@ def apply_policy(rows: DataFrame, policy: Policy, rules=RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD, rules=RULES, **names) -> DataFrame:
-    """The documents that the policy keeps, columns as given; no shuffle.
-
-    The row number only keeps the optimizer from moving the filter below the
-    measurements, where it would spell each of them out once per use."""
-    rows = apply_policy(ledger(docs, rules, carry="_document", **names), policy, rules)
-    return (rows.select("_document", "kept", F.monotonically_increasing_id().alias("_row"))
-                .where("kept and _row >= 0").select("_document.*"))
+    """The documents that the policy keeps, columns as given; no shuffle."""
+    return (apply_policy(ledger(docs, rules, carry="_document", **names), policy, rules)
+            .where("kept").select("_document.*"))
 
 
 def ablations(rows: DataFrame, policies=POLICIES, rules=RULES) -> DataFrame:
     """Per policy and rule: documents rejected, rejected without the rule, and
     rejected by this rule alone.  One aggregate over the distinct bit patterns
     (2^rules at most), whatever the size of the ledger."""
-    patterns = rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+    patterns = cut(rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n")), "patterns")
     out = None
     for p in policies:
         used = [r.name for r in rules if r.name in p.reject_on + p.suspects]
