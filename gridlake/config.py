@@ -89,10 +89,3 @@ def release_scratch(spark: SparkSession) -> int:
         if p.getFileSystem(conf).delete(p, True):
             n += 1
     return n
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

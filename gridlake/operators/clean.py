@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlake.functions import exprs as X
 from gridlake.plans.carry import neighbours
-from gridlake.plans.grouping import percentile_of, quantile_plan
+from gridlake.plans.grouping import quantiles
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec
 
@@ -34,19 +34,11 @@ def to_double(df: DataFrame, cols) -> DataFrame:
 
 
 def quartiles(df: DataFrame, cols: list[str], where=None, key=("site_id",),
-              exact: bool | None = None) -> DataFrame:
-    """Q1 / Q3 per key and column (``{c}__q1``, ``{c}__q3``).
-
-    Exact percentiles match pandas' linear interpolation but keep every
-    distinct value of a group; ``exact=None`` measures the groups first
-    (HLL) and falls back to ``percentile_approx`` for very large ones."""
-    if exact is None:
-        exact = quantile_plan(df, key, cols, where)
-    aggs = []
-    for c in cols:
-        x = F.col(c) if where is None else F.when(where, F.col(c))
-        aggs.append(percentile_of(x, [0.25, 0.75], exact).alias(f"_{c}__q"))
-    g = df.groupBy(*key).agg(*aggs)
+              exact: bool = True) -> DataFrame:
+    """Q1 / Q3 per key and column (``{c}__q1``, ``{c}__q3``), exact at every
+    size unless ``exact=False`` asks for ``percentile_approx``."""
+    wanted = {f"_{c}__q": (F.col(c) if where is None else F.when(where, F.col(c)), [0.25, 0.75]) for c in cols}
+    g = quantiles(df, key, wanted, exact)
     return g.select(*key, *[e for c in cols for e in (
         F.col(f"_{c}__q")[0].alias(f"{c}__q1"), F.col(f"_{c}__q")[1].alias(f"{c}__q3"))])
 
@@ -58,7 +50,7 @@ def outlier_flag(c: str, multiplier: float = IQR_MULTIPLIER):
 
 
 def null_outliers(df: DataFrame, cols: list[str], scope=None, key=("site_id",),
-                  exact: bool | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+                  exact: bool = True, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """FLT2: values outside [Q1 - m IQR, Q3 + m IQR] become NULL.  Bounds are
     computed over non-NULL rows where ``scope`` holds and applied there only.
     NULL is never an outlier."""
@@ -122,7 +114,7 @@ def ffill_bfill(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
 
 
 def clean_solar(df: DataFrame, power_cols=("pv_kw",), spec: SeriesSpec = DEFAULT_SPEC,
-                exact: bool | None = None, ts: str = "ts") -> DataFrame:
+                exact: bool = True, ts: str = "ts") -> DataFrame:
     """Physics-aware PV cleaning (lineage A ``clean_solar_data``)."""
     cols = list(power_cols)
     d = to_double(df, cols).withColumn("hour", F.hour(ts))
@@ -136,7 +128,7 @@ def clean_solar(df: DataFrame, power_cols=("pv_kw",), spec: SeriesSpec = DEFAULT
 
 
 def clean_wind(df: DataFrame, power_cols=("wind_kw",), speed_cols=("wind_speed",),
-               spec: SeriesSpec = DEFAULT_SPEC, exact: bool | None = None) -> DataFrame:
+               spec: SeriesSpec = DEFAULT_SPEC, exact: bool = True) -> DataFrame:
     """Wind cleaning: negatives to 0, IQR outliers over all rows to NULL;
     power gets ffill(3) + interpolate(10), speed interpolate(10) only."""
     cols = list(power_cols) + list(speed_cols)
@@ -150,7 +142,7 @@ def clean_wind(df: DataFrame, power_cols=("wind_kw",), speed_cols=("wind_speed",
 
 
 def outlier_bounds(df: DataFrame, cols: list[str], scope=None, key=("site_id",),
-                   exact: bool | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+                   exact: bool = True, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """FLT2 report: per key and column Q1, Q3, bounds and number of outliers."""
     from gridlake.plans.materialize import broadcast_if_small
 

@@ -21,12 +21,9 @@ SEED = 42
 NOISE_STD = 0.05
 
 
-def _memory_mb(text: str) -> int:
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    t = text.strip().lower().rstrip("b")
-    if t and t[-1] in units:
-        return int(float(t[:-1]) * units[t[-1]])
-    return int(int(t) / (1024 * 1024))
+#: Split statistics a tree task may hold (MLlib's ``maxMemoryInMB``): a fixed
+#: parameter, so the same rows and seed give the same forest on any heap.
+TREE_MEMORY_MB = 64
 
 
 def forest_pipeline(features: list[str], target: str, num_trees: int = FOREST_TREES,
@@ -36,7 +33,8 @@ def forest_pipeline(features: list[str], target: str, num_trees: int = FOREST_TR
     # featureSubsetStrategy 'all': every split considers every feature, like
     # the reference's forest (MLlib's 'auto' would sample a third).
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed, featureSubsetStrategy="all")
+                               maxDepth=max_depth, seed=seed, featureSubsetStrategy="all",
+                               maxMemoryInMB=TREE_MEMORY_MB)
     return Pipeline(stages=[asm, rf])
 
 
@@ -45,7 +43,7 @@ def boosted_pipeline(features: list[str], target: str, max_iter: int = 50, max_d
     """ML10 (re-aimed): gradient-boosted trees over the lag features."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter,
-                       maxDepth=max_depth, seed=seed)
+                       maxDepth=max_depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
     return Pipeline(stages=[asm, gbt])
 
 
@@ -54,44 +52,13 @@ def linear_pipeline(features: list[str], target: str) -> Pipeline:
     return Pipeline(stages=[asm, LinearRegression(featuresCol="features", labelCol=target)])
 
 
-def task_memory_mb(spark) -> tuple[float, int]:
-    """(memory per task in MB, concurrent task slots): the JVM heap over the
-    local cores in local mode, the executor memory over its cores on a
-    cluster."""
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
-        slots = max(1, sc.defaultParallelism)
-        return heap_mb / slots, slots
-    mem = _memory_mb(spark.conf.get("spark.executor.memory", "1g"))
-    cores = int(spark.conf.get("spark.executor.cores", "1"))
-    return mem / max(1, cores), max(1, sc.defaultParallelism)
-
-
-def fit(pipeline: Pipeline, train: DataFrame, share: float = 1.0) -> PipelineModel:
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit with the training rows persisted (memory, spilling to disk): tree
     learners pass over the input several times and must not recompute the
-    feature lineage each time.
-
-    Every concurrent tree task holds split statistics of up to
-    ``maxMemoryInMB``; the budget and the number of training partitions are
-    set together so they fit the memory a task really has (a small local
-    heap trains with fewer, larger tasks instead of failing)."""
+    feature lineage each time.  Partitions stay as they are; executors are
+    sized by the user."""
     from pyspark import StorageLevel
 
-    spark = train.sparkSession
-    per_task, slots = task_memory_mb(spark)
-    per_task *= share  # concurrent fits split the memory
-    tree_stages = [st for st in pipeline.getStages() if st.hasParam("maxMemoryInMB")]
-    parts = train.rdd.getNumPartitions()
-    if tree_stages:
-        # at most one busy partition per 512 MB of the heap share of all slots
-        budget_parts = max(1, int(per_task * slots // 512))
-        parts = max(1, min(parts, budget_parts))
-        mem = int(max(16, min(256, per_task * slots / parts * 0.1)))
-        for st in tree_stages:
-            st.setMaxMemoryInMB(mem)
-        train = train.coalesce(parts)
     cached = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(cached)
@@ -138,10 +105,7 @@ def cross_validate(df: DataFrame, features: list[str], target: str, make_pipelin
     """ML4 + ML7: time-series cross-validation -- expanding-window folds per
     series (``evaluate.cv_folds``), one fit per fold on its training rows,
     metrics on its test rows; returns one row per fold (fold, n, r2, rmse,
-    mae).  The folds table is written once; the ``n_splits`` fits run
-    concurrently from a small thread pool (like CrossValidator's
-    ``parallelism``), as many at a time as the task memory allows."""
-    from concurrent.futures import ThreadPoolExecutor
+    mae).  The folds table is written once and every fold reads its rows."""
     from functools import reduce
 
     from gridlake.operators.evaluate import cv_folds, regression_metrics
@@ -149,17 +113,12 @@ def cross_validate(df: DataFrame, features: list[str], target: str, make_pipelin
     from gridlake.plans.sequence import DEFAULT_SPEC
 
     folds = materialize(cv_folds(df, n_splits, spec or DEFAULT_SPEC), "cv_folds")
-    per_task, slots = task_memory_mb(df.sparkSession)
-    parallel = max(1, min(n_splits, int(per_task * slots // 1024)))
 
     def one(k: int) -> DataFrame:
         part = folds.where(F.col("fold") == k)
-        model = fit(make_pipeline(features, target), part.where(F.col("role") == "train"),
-                    share=1.0 / parallel)
+        model = fit(make_pipeline(features, target), part.where(F.col("role") == "train"))
         pred = predict(model, part.where(F.col("role") == "test"))
         return materialize(regression_metrics(pred, target, "prediction", ())
                            .withColumn("fold", F.lit(k)), "cv_fold_metrics")
 
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        per_fold = list(pool.map(one, range(n_splits)))
-    return reduce(lambda a, b: a.unionByName(b), per_fold)
+    return reduce(lambda a, b: a.unionByName(b), [one(k) for k in range(n_splits)])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from gridlake.operators.clean import ffill_bfill
-from gridlake.plans.grouping import modal_values, percentile_of, quantile_plan
+from gridlake.plans.grouping import exact_quantiles, modal_values
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec
 
@@ -92,9 +92,10 @@ def impute(df: DataFrame, policy: ImputePolicy = PV_POLICY, spec: SeriesSpec = D
     def finite(c):
         return F.when(F.abs(F.col(c).cast("double")) != inf, F.col(c).cast("double"))
 
-    exact = quantile_plan(out, key, med_cols)
-    stats = out.groupBy(*key).agg(
-        *[percentile_of(finite(c), 0.5, exact).alias(f"{c}__med") for c in med_cols])
+    stats = out.select(*key).distinct()
+    if med_cols:
+        medians = exact_quantiles(out, key, {f"{c}__med": (finite(c), [0.5]) for c in med_cols})
+        stats = stats.join(medians.select(*key, *[F.col(f"{c}__med")[0].alias(f"{c}__med") for c in med_cols]), key, "left")
     if plan["mode"]:
         modes = modal_values(out, key, plan["mode"], default="")
         stats = stats.join(modes.select(*key, *[F.col(c).alias(f"{c}__mode") for c in plan["mode"]]),

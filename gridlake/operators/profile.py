@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from gridlake.functions.exprs import micros_between
-from gridlake.plans.grouping import modal_values, percentile_of, quantile_plan, top_k_per_key
+from gridlake.plans.grouping import modal_values, quantiles, top_k_per_key
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
 
@@ -134,14 +134,14 @@ def step_histogram(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, k: int = 5, t
 
 
 def column_stats(df: DataFrame, cols: list[str], key=("site_id",),
-                 exact: bool | None = None) -> DataFrame:
+                 exact: bool = True) -> DataFrame:
     """AGG7, AGG8, AGG9, AGG11-13 for many columns in one aggregate, as rows
     (key, column, n, n_missing, n_infinite, n_zero, min, max, mean, std, median).
-    Medians are exact unless a group is too large (see ``quantile_plan``)."""
-    if exact is None:
-        exact = quantile_plan(df, key, cols)
+    Medians are exact unless ``exact=False`` asks for approximate ones."""
     inf = F.lit(float("inf"))
     aggs = []
+    medians = quantiles(df, key, {f"_{c}__med": (F.when(F.abs(F.col(c).cast("double")) != inf, F.col(c).cast("double")), [0.5])
+                                  for c in cols}, exact)
     for c in cols:
         x = F.col(c).cast("double")
         finite = F.when(F.abs(x) != inf, x)
@@ -152,9 +152,10 @@ def column_stats(df: DataFrame, cols: list[str], key=("site_id",),
             F.count_if(x == 0).alias("n_zero"),
             F.min(finite).alias("min"), F.max(finite).alias("max"),
             F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("std"),
-            percentile_of(finite, 0.5, exact).alias("median"),
         ).alias(c))
-    return struct_rows(df.groupBy(*key).agg(*aggs), list(key), cols)
+    wide = df.groupBy(*key).agg(*aggs).join(medians, list(key), "left")
+    return struct_rows(wide.select(*key, *[F.col(c).withField("median", F.col(f"_{c}__med")[0]).alias(c) for c in cols]),
+                       list(key), cols)
 
 
 def pearson(x: str, y: str):

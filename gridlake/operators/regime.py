@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.operators.telemetry import PARAMS, GridParams
-from gridlake.plans.grouping import percentile_of, quantile_plan
+from gridlake.plans.grouping import exact_quantiles
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
@@ -50,12 +50,9 @@ def regime_labels(df: DataFrame, vol: str = "total_volatility", comp: str = "com
                   unc: str = "forecast_uncertainty", p: RegimeParams = REGIME,
                   key=("site_id",)) -> DataFrame:
     """DOC1: ordered rules with per-site percentile thresholds."""
-    exact = quantile_plan(df, key, [vol, unc])
-    th = df.groupBy(*key).agg(
-        percentile_of(F.col(vol), [p.v1_pct, p.v2_pct, p.v3_pct], exact).alias("_v"),
-        percentile_of(F.col(unc), p.u1_pct, exact).alias("_u1"))
+    th = exact_quantiles(df, key, {"_v": (F.col(vol), [p.v1_pct, p.v2_pct, p.v3_pct]), "_u": (F.col(unc), [p.u1_pct])})
     th = th.select(*key, F.col("_v")[0].alias("_v1"), F.col("_v")[1].alias("_v2"),
-                   F.col("_v")[2].alias("_v3"), "_u1")
+                   F.col("_v")[2].alias("_v3"), F.col("_u")[0].alias("_u1"))
     j = join_small(df, th, list(key), "left", name="regime_thresholds")
     label = (F.when(F.col(vol) < F.col("_v1"), "STABLE")
               .when(F.col(comp) > p.complementarity_threshold, "COMPLEMENTARY")

@@ -9,6 +9,7 @@ chunk-parallel by coupling from both ends; ST4 (bounded history) is the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.operators.telemetry import PARAMS, GridParams
@@ -66,14 +67,12 @@ def ramp_follow(df: DataFrame, target: str = "thermal_setpoint", p: GridParams =
     cap, ramp = p.thermal_kw, p.ramp_per_step
 
     def step(y, row):
-        t = row[target]
-        if t is None or t != t:  # NULL target: hold
-            return y
-        t = min(max(t, 0.0), cap)
-        return y + min(max(t - y, -ramp), ramp)
+        t = row[target]  # NULL target: hold
+        return np.where(np.isnan(t), y, y + np.clip(np.clip(t, 0.0, cap) - y, -ramp, ramp))
 
     # each step is monotone in y and keeps y in [0, cap]: chunk-parallel
-    return monotone_scan(df, step, [target], 0.0, 0.0, cap, spec, out="p_thermal_dispatch")
+    return monotone_scan(df, step, [target], 0.0, 0.0, cap, spec, out="p_thermal_dispatch",
+                         holds=lambda cols: np.isnan(cols[target]))
 
 
 def low_pass(df: DataFrame, col: str, alpha: float = 0.25, spec: SeriesSpec = DEFAULT_SPEC,

@@ -28,7 +28,7 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
         largest = largest_key(df, spec)
     if largest <= spec.chunk_rows:
         # every series is one bounded chunk: no carries between chunks
-        d = df if "rn" in df.columns else df.withColumn(
+        d = df.drop("rn").withColumn(
             "rn", rn_column(F.row_number().over(series_window(spec)) - 1, largest, spec))
         upto = (Window.partitionBy(*spec.key).orderBy("rn")
                       .rowsBetween(Window.unboundedPreceding, 0))
@@ -38,7 +38,7 @@ def neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec = DEFAULT_SPEC)
             "*",
             *[F.last(_valid(c), ignorenulls=True).over(upto).alias(f"{c}__prev") for c in cols],
             *[F.last(_valid(c), ignorenulls=True).over(ahead).alias(f"{c}__next") for c in cols])
-    numbered = df if "rn" in df.columns else number_rows(df, spec, largest=largest)
+    numbered = number_rows(df.drop("rn"), spec, largest=largest)
     chunk = F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint")
     data = numbered.withColumn("_chunk", chunk)
 

@@ -17,7 +17,7 @@ Affine maps ``x -> m x + b`` (low-pass filters) compose as well.  So:
 No group larger than ``chunk_rows`` rows is ever built, whatever the skew.
 A recurrence that does not compose but is monotone with a bounded state
 (the ramp-limited follower) runs chunk-parallel by coupling from both ends
-(``monotone_scan``); ``sequential_scan`` streams any other recurrence.
+(``monotone_scan``).
 """
 
 from __future__ import annotations
@@ -33,40 +33,45 @@ from gridlake.plans.materialize import join_small, materialize
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, known_largest, number_rows
 
 
-def _compose_clamp(a, lo, hi):
-    A, L, H = 0.0, -np.inf, np.inf
-    for ai, li, hi_ in zip(a, lo, hi):
-        A = A + ai
-        L = min(max(L + ai, li), hi_)
-        H = min(max(H + ai, li), hi_)
+def clamp_prefixes(a, lo, hi):
+    """Maps of all prefixes of clamp steps, ``x -> clip(x + A, L, H)``, by doubling:
+    log2(n) vector passes."""
+    A, L, H = (np.array(v, dtype=float) for v in (a, lo, hi))
+    d = 1
+    while d < len(A):
+        L[d:], H[d:], A[d:] = (np.clip(L[:-d] + A[d:], L[d:], H[d:]), np.clip(H[:-d] + A[d:], L[d:], H[d:]),
+                               A[:-d] + A[d:])
+        d *= 2
     return A, L, H
 
 
-def _apply_clamp(x, A, L, H):
-    return min(max(x + A, L), H)
-
-
-def _compose_affine(m, b):
-    M, B = 1.0, 0.0
-    for mi, bi in zip(m, b):
-        M, B = mi * M, mi * B + bi
+def affine_prefixes(m, b):
+    """Maps of all prefixes of affine steps, ``x -> M x + B``, by doubling."""
+    M, B = np.array(m, dtype=float), np.array(b, dtype=float)
+    d = 1
+    while d < len(M):
+        B[d:], M[d:] = M[d:] * B[:-d] + B[d:], M[d:] * M[:-d]
+        d *= 2
     return M, B
 
 
-def _chunked(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    numbered = df if "rn" in df.columns else number_rows(df, spec)
-    return numbered.withColumn("_chunk", F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint"))
+def _states_before(after, x0: float):
+    """State before each step: the one after the step before."""
+    return np.concatenate([[x0], after[:-1]]) if len(after) else after
 
 
-def _one_chunk(d: DataFrame, spec: SeriesSpec) -> bool:
-    """Every series fits in its first chunk (bound recorded on ``rn``): each
-    chunk then starts from the initial state and the compose / scan passes
-    can be skipped."""
-    bound = known_largest(d, spec)
-    return bound is not None and bound <= spec.chunk_rows
+def _chunked(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, bool]:
+    """``(rows with rn and _chunk, every series is one chunk)``.  Rows are numbered
+    here whatever number they came with; with one chunk per series the compose and
+    scan passes are skipped."""
+    numbered = number_rows(df, spec)
+    bound = known_largest(numbered, spec)
+    if bound is not None and bound <= spec.chunk_rows:
+        return numbered.withColumn("_chunk", F.lit(0).cast("bigint")), True
+    return numbered.withColumn("_chunk", F.floor(F.col("rn") / F.lit(spec.chunk_rows)).cast("bigint")), False
 
 
-def _scan_chunks(summary: DataFrame, key: list[str], kind: str, x0: float) -> DataFrame:
+def _scan_chunks(summary: DataFrame, key: list[str], x0: float) -> DataFrame:
     """Starting state of every chunk from the per-chunk maps (one small group
     per key: rows / chunk_rows entries)."""
     fields = [summary.schema[k] for k in key] + [StructField("_chunk", summary.schema["_chunk"].dataType),
@@ -74,17 +79,8 @@ def _scan_chunks(summary: DataFrame, key: list[str], kind: str, x0: float) -> Da
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        x, starts = x0, []
-        if kind == "clamp":
-            A, L, H = pdf["_A"].to_numpy(), pdf["_L"].to_numpy(), pdf["_H"].to_numpy()
-            for i in range(len(pdf)):
-                starts.append(x)
-                x = _apply_clamp(x, A[i], L[i], H[i])
-        else:
-            M, B = pdf["_M"].to_numpy(), pdf["_B"].to_numpy()
-            for i in range(len(pdf)):
-                starts.append(x)
-                x = M[i] * x + B[i]
+        A, L, H = clamp_prefixes(pdf["_A"], pdf["_L"], pdf["_H"])
+        starts = _states_before(np.clip(x0 + A, L, H), x0)
         out = pdf[key + ["_chunk"]].copy()
         out["_start"] = starts
         return out
@@ -100,7 +96,8 @@ def clamp_scan(df: DataFrame, step: str, lo, hi, x0: float, spec: SeriesSpec = D
     key = list(spec.key)
     lo_c = F.col(lo) if isinstance(lo, str) else F.lit(float(lo))
     hi_c = F.col(hi) if isinstance(hi, str) else F.lit(float(hi))
-    d = (_chunked(df, spec)
+    rows, one_chunk = _chunked(df, spec)
+    d = (rows
          .withColumn("_a", F.coalesce(F.col(step).cast("double"), F.lit(0.0)))
          .withColumn("_lo", lo_c.cast("double")).withColumn("_hi", hi_c.cast("double")))
 
@@ -109,17 +106,17 @@ def clamp_scan(df: DataFrame, step: str, lo, hi, x0: float, spec: SeriesSpec = D
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        A, L, H = _compose_clamp(pdf["_a"].to_numpy(), pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy())
+        A, L, H = (v[-1] for v in clamp_prefixes(pdf["_a"], pdf["_lo"], pdf["_hi"]))
         row = {k: [pdf[k].iloc[0]] for k in key}
         row.update({"_chunk": [pdf["_chunk"].iloc[0]], "_A": [A], "_L": [L], "_H": [H]})
         return pd.DataFrame(row)
 
-    if _one_chunk(d, spec):
+    if one_chunk:
         j = d.withColumn("_start", F.lit(float(x0)))
     else:
         summary = (d.select(*key, "_chunk", "rn", "_a", "_lo", "_hi")
                     .groupBy(*key, "_chunk").applyInPandas(compose, StructType(sfields)))
-        starts = _scan_chunks(summary, key, "clamp", x0)
+        starts = _scan_chunks(summary, key, x0)
         j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
 
     outfields = list(j.schema.fields) + [StructField(f"{out}_before", DoubleType()),
@@ -128,13 +125,9 @@ def clamp_scan(df: DataFrame, step: str, lo, hi, x0: float, spec: SeriesSpec = D
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
         x = float(pdf["_start"].iloc[0])
-        a, lo_, hi_ = pdf["_a"].to_numpy(), pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy()
-        before = np.empty(len(pdf))
-        after = np.empty(len(pdf))
-        for i in range(len(pdf)):
-            before[i] = x
-            x = min(max(x + a[i], lo_[i]), hi_[i])
-            after[i] = x
+        A, L, H = clamp_prefixes(pdf["_a"], pdf["_lo"], pdf["_hi"])
+        after = np.clip(x + A, L, H)
+        before = _states_before(after, x)
         pdf[f"{out}_before"] = before
         pdf[out] = after
         return pdf
@@ -148,7 +141,8 @@ def affine_scan(df: DataFrame, mult: str, add: str, x0_col: str | None = None, x
     """``out = mult * prev + add`` along each series.  The start is ``x0``,
     or the value of ``x0_col`` on the first row of the series."""
     key = list(spec.key)
-    d = (_chunked(df, spec)
+    rows, one_chunk = _chunked(df, spec)
+    d = (rows
          .withColumn("_m", F.col(mult).cast("double")).withColumn("_b", F.col(add).cast("double")))
     if x0_col is not None:
         firsts = (d.where(F.col("rn") == 0)
@@ -162,32 +156,29 @@ def affine_scan(df: DataFrame, mult: str, add: str, x0_col: str | None = None, x
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        M, B = _compose_affine(pdf["_m"].to_numpy(), pdf["_b"].to_numpy())
+        M, B = (v[-1] for v in affine_prefixes(pdf["_m"], pdf["_b"]))
         row = {k: [pdf[k].iloc[0]] for k in key}
         row.update({"_chunk": [pdf["_chunk"].iloc[0]], "_M": [M], "_B": [B],
                     "_X0": [float(pdf["_x0"].iloc[0])]})
         return pd.DataFrame(row)
 
-    summary = (d.select(*key, "_chunk", "rn", "_m", "_b", "_x0")
-                .groupBy(*key, "_chunk").applyInPandas(compose, StructType(sfields)))
-
-    fields = [summary.schema[k] for k in key] + [StructField("_chunk", summary.schema["_chunk"].dataType),
-                                                 StructField("_start", DoubleType())]
+    fields = [d.schema[k] for k in key] + [StructField("_chunk", d.schema["_chunk"].dataType),
+                                           StructField("_start", DoubleType())]
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        x, starts = float(pdf["_X0"].iloc[0]), []
-        M, B = pdf["_M"].to_numpy(), pdf["_B"].to_numpy()
-        for i in range(len(pdf)):
-            starts.append(x)
-            x = M[i] * x + B[i]
+        x = float(pdf["_X0"].iloc[0])
+        M, B = affine_prefixes(pdf["_M"], pdf["_B"])
+        starts = _states_before(M * x + B, x)
         res = pdf[key + ["_chunk"]].copy()
         res["_start"] = starts
         return res
 
-    if _one_chunk(d, spec):
+    if one_chunk:
         j = d.withColumn("_start", F.col("_x0"))
     else:
+        summary = (d.select(*key, "_chunk", "rn", "_m", "_b", "_x0")
+                    .groupBy(*key, "_chunk").applyInPandas(compose, StructType(sfields)))
         starts = summary.groupBy(*key).applyInPandas(scan, StructType(fields))
         j = join_small(d, starts, key + ["_chunk"], "left", name="fold_starts")
     outfields = list(j.schema.fields) + [StructField(out, DoubleType())]
@@ -195,11 +186,8 @@ def affine_scan(df: DataFrame, mult: str, add: str, x0_col: str | None = None, x
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
         x = float(pdf["_start"].iloc[0])
-        m, b = pdf["_m"].to_numpy(), pdf["_b"].to_numpy()
-        res = np.empty(len(pdf))
-        for i in range(len(pdf)):
-            x = m[i] * x + b[i]
-            res[i] = x
+        M, B = affine_prefixes(pdf["_m"], pdf["_b"])
+        res = M * x + B
         pdf[out] = res
         return pdf
 
@@ -207,40 +195,43 @@ def affine_scan(df: DataFrame, mult: str, add: str, x0_col: str | None = None, x
     return r.drop("_chunk", "_m", "_b", "_start", "_x0")
 
 
-def sequential_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: list[str], x0: float,
-                    spec: SeriesSpec = DEFAULT_SPEC, out: str = "state") -> DataFrame:
-    """Any recurrence ``x = step(x, row)`` per key, for maps that do not
-    compose.  Rows are hash-partitioned by key and sorted inside partitions;
-    ``mapInPandas`` streams the Arrow batches of a partition and carries the
-    state of the current key from batch to batch, so memory stays at one
-    batch whatever the size of a key.  A key is still one task: the
-    recurrence is inherently sequential."""
-    key = list(spec.key)
-    numbered = df if "rn" in df.columns else number_rows(df, spec)
-    parted = (numbered.repartition(*[F.col(k) for k in key])
-                      .sortWithinPartitions(*key, "rn"))
-    schema = StructType(list(parted.schema.fields) + [StructField(out, DoubleType())])
-
-    def run(batches):
-        cur_key, x = None, x0
-        for pdf in batches:
-            vals = np.empty(len(pdf))
-            keys = list(zip(*[pdf[k].tolist() for k in key]))
-            cols = {c: pdf[c].to_numpy() for c in inputs}
-            for i in range(len(pdf)):
-                if keys[i] != cur_key:
-                    cur_key, x = keys[i], x0
-                x = step(x, {c: cols[c][i] for c in inputs})
-                vals[i] = x
-            pdf[out] = vals
-            yield pdf
-
-    return parted.mapInPandas(run, schema)
-
-
-def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: list[str],
+def follow(step: Callable, cols: dict, x0: float, lo: float, hi: float) -> np.ndarray:
+    """All states of a monotone recurrence with states in [lo, hi], started at ``x0``.
+
+    The rows are laid out as about sqrt(n) stretches that are stepped side by side, from
+    ``lo`` and from ``hi``; where the two meet, a stretch's end is known without its
+    start.  Only stretches that do not meet are run one after the other.  Then all
+    stretches are stepped side by side from their true starts.  ``step`` takes arrays."""
+    n = len(next(iter(cols.values())))
+    size = max(1, int(np.sqrt(n)))
+    m = -(-n // size)
+    grid = {c: np.concatenate([v, np.full(m * size - n, np.nan)]).reshape(m, size) for c, v in cols.items()}
+    low, high = np.full(m, float(lo)), np.full(m, float(hi))
+    for j in range(size):
+        row = {c: v[:, j] for c, v in grid.items()}
+        low, high = step(low, row), step(high, row)
+    starts = np.empty(m)
+    x = float(x0)
+    for i in range(m):
+        starts[i] = x
+        if low[i] == high[i]:
+            x = low[i]
+        elif i + 1 < m:
+            y = np.array([x])
+            for j in range(size):
+                y = step(y, {c: v[i:i + 1, j] for c, v in grid.items()})
+            x = float(y[0])
+    out = np.empty((m, size))
+    state = starts
+    for j in range(size):
+        state = step(state, {c: v[:, j] for c, v in grid.items()})
+        out[:, j] = state
+    return out.ravel()[:n]
+
+
+def monotone_scan(df: DataFrame, step: Callable[[np.ndarray, dict], np.ndarray], inputs: list[str],
                   x0: float, lo: float, hi: float, spec: SeriesSpec = DEFAULT_SPEC,
-                  out: str = "state", max_rounds: int = 1000) -> DataFrame:
+                  out: str = "state", holds: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
     """Chunk-parallel evaluation of ``x = step(x, row)`` when every step is
     monotone (order-preserving in ``x``) and keeps the state in [lo, hi].
 
@@ -251,23 +242,21 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
     chunk whose two trajectories never meet needs its true start before its
     end is known; such chunks are replayed in rounds (each round resolves
     the first unresolved chunk of every run of them), then every chunk
-    replays its rows from its exact start.  Typical series meet within a few
+    replays its rows from its exact start.  ``holds`` (columns -> mask) tells
+    which rows leave any state as it is; a chunk of such rows only passes its
+    start on and needs no round.  Rounds go on until nothing is pending: each
+    resolves at least one chunk of every run.  Typical series meet within a few
     steps of each chunk, so one round suffices; no group exceeds
     ``chunk_rows`` rows and the driver only sees per-chunk summaries.
     """
     key = list(spec.key)
-    d = _chunked(df, spec)
+    d, one_chunk = _chunked(df, spec)
     keep = key + ["_chunk", "rn"] + list(inputs)
     chunk_t = d.schema["_chunk"].dataType
 
     def run(pdf, x):
         pdf = pdf.sort_values("rn")
-        cols = {c: pdf[c].to_numpy() for c in inputs}
-        vals = np.empty(len(pdf))
-        for i in range(len(pdf)):
-            x = step(x, {c: cols[c][i] for c in inputs})
-            vals[i] = x
-        return pdf, vals
+        return pdf, follow(step, {c: pdf[c].to_numpy(dtype=float) for c in inputs}, x, lo, hi)
 
     sfields = [d.schema[k] for k in key] + [StructField("_chunk", chunk_t),
                                             StructField("_met", DoubleType()),
@@ -275,21 +264,18 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
 
     def couple(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        cols = {c: pdf[c].to_numpy() for c in inputs}
-        a, b, met = lo, hi, 0.0
-        for i in range(len(pdf)):
-            row = {c: cols[c][i] for c in inputs}
-            if met:
-                a = step(a, row)
-            else:
-                a, b = step(a, row), step(b, row)
-                if a == b:
-                    met = 1.0
+        cols = {c: pdf[c].to_numpy(dtype=float) for c in inputs}
+        passes = holds is not None and bool(holds(cols).all())
+        a, met = lo, 0.0
+        if not passes:
+            a, b = (follow(step, cols, x, lo, hi)[-1] for x in (lo, hi))
+            met = float(a == b)
         res = {k: [pdf[k].iloc[0]] for k in key}
-        res.update({"_chunk": [pdf["_chunk"].iloc[0]], "_met": [met], "_end": [a if met else np.nan]})
+        res.update({"_chunk": [pdf["_chunk"].iloc[0]], "_met": [-1.0 if passes else met],
+                    "_end": [a if met else np.nan]})
         return pd.DataFrame(res)
 
-    if _one_chunk(d, spec):
+    if one_chunk:
         final = d.withColumn("_start", F.lit(float(x0)))
         ofields = list(final.schema.fields) + [StructField(out, DoubleType())]
 
@@ -316,7 +302,9 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
         x, starts, pending = x0, [], []
         for met, end, known_end in zip(pdf["_met"], pdf["_end"], pdf["_known_end"]):
             starts.append(x)
-            if met:
+            if met < 0:  # passes its start on
+                pending.append(0.0)
+            elif met:
                 pending.append(0.0)
                 x = end
             elif not np.isnan(known_end):
@@ -341,7 +329,7 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
 
     spark = df.sparkSession
     known = spark.createDataFrame([], StructType(end_fields))
-    for _ in range(max_rounds):
+    while True:
         table = summary.join(known, key + ["_chunk"], "left").fillna(np.nan, ["_known_end"])
         starts = materialize(table.groupBy(*key).applyInPandas(resolve, StructType(start_fields)),
                              "monotone_starts")
@@ -353,8 +341,6 @@ def monotone_scan(df: DataFrame, step: Callable[[float, dict], float], inputs: l
         ends = todo.groupBy(*key, "_chunk").applyInPandas(
             replay_end, StructType(end_fields))
         known = materialize(known.unionByName(ends), "monotone_known")
-    else:  # pragma: no cover - each round resolves at least one chunk per run
-        raise RuntimeError("monotone_scan did not converge")
 
     j = join_small(d, starts.select(*key, "_chunk", "_start"), key + ["_chunk"], "left",
                    name="monotone_final")

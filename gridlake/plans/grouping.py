@@ -6,16 +6,18 @@
 * ``top_k_per_key`` -- top-k rows per key in two rounds: ranked inside
   (key, salt) buckets first, so a key with millions of candidate rows is
   cut to ``k * salt_buckets`` rows before the per-key ranking.
-* ``quantile_plan`` -- exact percentiles keep every distinct value of a
-  group; an HLL distinct count (one cheap aggregate) decides per run
-  whether exact percentiles are affordable, else ``percentile_approx``.
+* ``exact_quantiles`` -- exact percentiles at every size: counts per (key,
+  column, value), combined before the shuffle, are range-sorted; prefix sums
+  over the partitions' totals give every value its ranks, and the rows at the
+  wanted ranks are picked and interpolated.  No group lives in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-EXACT_QUANTILE_MAX_DISTINCT = 10_000_000
+from gridlake.plans.materialize import join_small, materialize
+
 SALT_BUCKETS = 64
 
 
@@ -55,27 +57,51 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, salt_of: Colu
                .drop("_salt", "_r1"))
 
 
-def quantile_plan(df: DataFrame, key, cols: list[str], where: Column | None = None,
-                  max_distinct: int = EXACT_QUANTILE_MAX_DISTINCT) -> bool:
-    """True when every (key, column) group has few enough distinct values
-    for exact percentiles (``approx_count_distinct``, partial aggregation)."""
-    if not cols:
-        return True
-    from gridlake.plans.sequence import SeriesSpec, known_largest
-
-    bound = known_largest(df, SeriesSpec(key=tuple(key)))
-    if bound is not None and bound <= max_distinct:
-        return True  # distinct values of a group never exceed its rows
-    src = df if where is None else df.where(where)
-    per = src.groupBy(*list(key)).agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
-    big = per.select(F.greatest(*[F.col(c) for c in cols]).alias("_d") if len(cols) > 1
-                     else F.col(cols[0]).alias("_d")).agg(F.max("_d")).first()[0]
-    return (big or 0) <= max_distinct
+def exact_quantiles(df: DataFrame, key, wanted: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """One row per key with an array column per name: the percentiles of the
+    column (linear interpolation between the neighbouring ranks, as pandas
+    does; NULLs ignored).  Keys without any value are absent."""
+    key = list(key)
+    series = [*key, "_c"]
+    cells = F.array(*[F.struct(F.lit(n).alias("_c"), c.cast("double").alias("_v")) for n, (c, _) in wanted.items()])
+    counts = (df.select(*key, F.explode(cells).alias("_x")).select(*key, "_x._c", "_x._v")
+                .where(F.col("_v").isNotNull()).groupBy(*series, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [*series, "_v"]
+    tagged = materialize(counts.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+                               .withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33)), "quantiles")
+    pieces = tagged.groupBy("_p", *series).agg(F.sum("_n").alias("_m"))
+    ordered = Window.partitionBy(*series).orderBy("_p")
+    pieces = pieces.select("_p", *series,
+                           F.coalesce(F.sum("_m").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                           F.sum("_m").over(Window.partitionBy(*series)).alias("_total"))
+    # partitions + keys x columns rows at most
+    inside = Window.partitionBy("_p", *series).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_small(tagged.withColumn("_cum", F.sum("_n").over(inside)), pieces, ["_p", *series], "inner",
+                        name="quantile_pieces")
+    shares = F.create_map(*[x for n, (_, q) in wanted.items() for x in (F.lit(n), F.array(*[F.lit(float(v)) for v in q]))])
+    last = F.col("_before") + F.col("_cum") - 1
+    asked = (ranked.withColumn("_last", last).withColumn("_first", last - F.col("_n") + 1)
+                   .select(*series, "_v", "_first", "_last", "_total", F.posexplode(shares[F.col("_c")]).alias("_i", "_q"))
+                   .withColumn("_at", F.col("_q") * (F.col("_total") - 1)))
+    low, high = F.floor("_at"), F.ceil("_at")
+    hit = lambda at: F.when((at >= F.col("_first")) & (at <= F.col("_last")), F.col("_v"))
+    picked = (asked.select(*series, "_i", "_at", hit(low).alias("_a"), hit(high).alias("_b"))
+                   .where(F.col("_a").isNotNull() | F.col("_b").isNotNull())
+                   .groupBy(*series, "_i").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.first("_at").alias("_at")))
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
+    picked = picked.withColumn("_y", value)
+    return picked.groupBy(*key).agg(*[
+        F.array(*[F.max(F.when((F.col("_c") == n) & (F.col("_i") == i), F.col("_y"))) for i in range(len(q))]).alias(n)
+        for n, (_, q) in wanted.items()])
 
 
-APPROX_ACCURACY = 100_000
+def approximate_quantiles(df: DataFrame, key, wanted: dict[str, tuple[Column, list[float]]],
+                          accuracy: int = 100_000) -> DataFrame:
+    """The same shape from ``percentile_approx``, for callers that ask for it."""
+    return df.groupBy(*list(key)).agg(*[F.percentile_approx(c, q, accuracy).alias(n) for n, (c, q) in wanted.items()])
 
 
-def percentile_of(col: Column, pcts, exact: bool) -> Column:
-    """Exact (linear interpolation, like pandas) or approximate percentile."""
-    return F.percentile(col, pcts) if exact else F.percentile_approx(col, pcts, APPROX_ACCURACY)
+def quantiles(df: DataFrame, key, wanted, exact: bool = True) -> DataFrame:
+    return (exact_quantiles if exact else approximate_quantiles)(df, key, wanted)

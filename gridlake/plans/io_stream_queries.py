@@ -84,11 +84,8 @@ def head_sample(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    """``events`` as a file stream: the folder is the source, a glob filter
-    picks the table's file(s)."""
-    schema = FX.table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-                 .parquet(sf_dir.rstrip("/")))
+    """``events`` as a file stream, whether the table is one file or a folder."""
+    return spark.readStream.schema(FX.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def _solar_stream(spark, sf_dir):
@@ -97,7 +94,7 @@ def _solar_stream(spark, sf_dir):
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("double")
     power = (F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
               .when(F.col("event_type") == "signup", -F.col("value")).otherwise(F.col("value")))
-    return ev.where(F.col("event_id") % 2 == 0).select(
+    return ev.select(
         F.col("event_id").alias("row_id"), (F.col("user_id") % FX.N_SITES).cast("int").alias("site_id"),
         X.to_event_time(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")).alias("ts"),
         (k / F.lit(2.5)).alias("temp_c"), (F.lit(100.0) - k).alias("humidity"),
@@ -106,11 +103,12 @@ def _solar_stream(spark, sf_dir):
          .alias("upper_rad"), power.alias("pv_kw"))
 
 
-@register("stream_dedup", sql=S.with_ctes(S.SOLAR) + "SELECT DISTINCT site_id, ts FROM solar",
-          operators=("STR1",))
+@register("stream_dedup", sql=S.with_ctes(S.SOLAR, S.SOLAR_DEDUP)
+          + "SELECT site_id, ts, row_id, ghi, pv_kw FROM solar_d", doubles=["ghi", "pv_kw"], operators=("STR1", "WIN8"))
 def stream_dedup(spark, sf_dir):
-    out = SS.run_available_now(SS.dedup_stream(_solar_stream(spark, sf_dir), "2 hours"), "dedup")
-    return out.select("site_id", X.from_event_time("ts").alias("ts"))
+    """The kept rows equal the batch de-duplication in any order of arrival."""
+    out = SS.run_update(SS.first_rows(_solar_stream(spark, sf_dir)), ["site_id", "ts"], "dedup")
+    return out.select("site_id", X.from_event_time("ts").alias("ts"), "row_id", "ghi", "pv_kw")
 
 
 @register("stream_rules", sql=S.with_ctes(S.SOLAR) + """
@@ -137,7 +135,7 @@ SELECT site_id, ts AS window_start, ts + INTERVAL 1 HOUR AS window_end, count(*)
 FROM solar GROUP BY site_id, ts""", doubles=["ghi_sum", "ghi_mean", "pv_kw_sum", "pv_kw_mean"],
           operators=("STR3",))
 def stream_totals(spark, sf_dir):
-    agg = SS.window_totals(_solar_stream(spark, sf_dir), ["ghi", "pv_kw"], "1 hour", "2 hours")
+    agg = SS.window_totals(_solar_stream(spark, sf_dir), ["ghi", "pv_kw"], "1 hour", None)
     out = SS.run_update(agg, ["site_id", "window_start"], "totals")
     return out.select("site_id", "window_start", "window_end", "n",
                       "ghi_sum", "ghi_mean", "pv_kw_sum", "pv_kw_mean")
@@ -175,7 +173,6 @@ FROM sb JOIN rec ON sb.site_id = rec.site_id AND sb.rn = rec.rn"""
 @register("stream_state", sql=STATE_SQL, doubles=["frequency_lag_1", "frequency_ramp", "energy_kwh"],
           operators=("STR4", "ST2", "WIN1", "WIN3"))
 def stream_state(spark, sf_dir):
-    st = SS.stateful_series(_telemetry_stream(spark, sf_dir), "frequency", "p_battery")
-    out = SS.run_available_now(st, "state")
+    out = SS.series_after_stream(_telemetry_stream(spark, sf_dir), "frequency", "p_battery", "state")
     return out.select("row_id", "site_id", "frequency_lag_1", "frequency_ramp", "energy_kwh")
 

@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlake.config import scratch_path
 
-# A statistics table is broadcast only when it has at most this many rows
-# (checked on the materialised table, never estimated).  Beyond it the join
-# falls back to a shuffle join and AQE decides at run time.
-BROADCAST_MAX_ROWS = 2_000_000
-# Statistics tables up to this many rows are fetched once (Arrow, a hard
-# ``limit``) and broadcast from that copy: one job instead of write + count.
-LOCAL_MAX_ROWS = 100_000
+# A side table is broadcast only when its written size is at most this many
+# bytes (measured on the files, never estimated).  Parquet is a few times
+# smaller than rows in memory; the bound leaves room for that.
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -28,45 +25,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _nullable(dt):
-    """The same type with every field nullable (Arrow cannot hand a NULL
-    struct whose children are declared non-null back to Spark)."""
-    from pyspark.sql.types import ArrayType, MapType, StructField, StructType
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table read from storage."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
 
-    if isinstance(dt, StructType):
-        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in dt.fields])
-    if isinstance(dt, ArrayType):
-        return ArrayType(_nullable(dt.elementType), True)
-    if isinstance(dt, MapType):
-        return MapType(_nullable(dt.keyType), _nullable(dt.valueType), True)
-    return dt
 
-
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+def broadcast_if_small(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
                        name: str = "stats") -> DataFrame:
-    """A statistics table ready to join, broadcast only behind a size check.
+    """A side table ready to join, broadcast only behind a check of its bytes.
 
-    1. Fetch at most ``LOCAL_MAX_ROWS + 1`` rows (Arrow, one job).  If the
-       table fits, broadcast that bounded copy -- the aggregate over the big
-       input runs exactly once.
-    2. Otherwise materialise it below the checkpoint folder, count it, and
-       broadcast only when the count is at most ``max_rows``; beyond that the
-       caller's join is a shuffle join.
-    """
-    spark = small.sparkSession
-    loose = _nullable(small.schema)
-    probe = (small.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in loose.fields])
-                  .limit(LOCAL_MAX_ROWS + 1).toArrow())
-    if probe.num_rows <= LOCAL_MAX_ROWS:
-        return F.broadcast(spark.createDataFrame(probe, schema=loose))
+    It is written once below the checkpoint folder, so the aggregate over the big
+    input runs once whatever its size; beyond ``max_bytes`` the caller's join is
+    a shuffle join and AQE decides at run time."""
     small = materialize(small, name)
-    if small.count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    return F.broadcast(small) if written_bytes(small) <= max_bytes else small
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS, name: str = "stats") -> DataFrame:
+               max_bytes: int = BROADCAST_MAX_BYTES, name: str = "stats") -> DataFrame:
     """Join a statistics table (one row per key) onto ``big``, broadcasting
     it only when its size is proven small (see ``broadcast_if_small``)."""
-    return big.join(broadcast_if_small(small, max_rows, name), on, how)
+    return big.join(broadcast_if_small(small, max_bytes, name), on, how)

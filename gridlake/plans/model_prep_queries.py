@@ -93,7 +93,7 @@ def _corr_sql() -> str:
         den = f"(stddev_pop({xv}) * stddev_pop({yv}))"
         return f"CASE WHEN {den} = 0 THEN NULL ELSE covar_pop({xv}, {yv}) / {den} END AS {x}"
 
-    rnd = ("sign(abs_corr) * CAST(floor(abs(abs_corr) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+    rnd = (f"sign(abs_corr) * CAST(floor(abs(abs_corr) * CAST(1e6 AS DOUBLE) + CAST({S.HALF} AS DOUBLE))"
            " AS DOUBLE) / CAST(1e6 AS DOUBLE)")
     return IMPUTE_CTES + f""", w AS (SELECT site_id, {', '.join(pear(x) for x in feats)}
       FROM imp GROUP BY site_id),

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from gridlake.sources.fixture_sql import rounded
+from gridlake.sources.fixture_sql import HALF, rounded
 
 DIGITS = 6
 
@@ -48,13 +48,15 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
 
 
 def round_half_away(c, digits: int = DIGITS):
-    """``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` -- spelled out so Spark and
+    """``sign(x) * floor(|x| * 10^d + HALF) / 10^d`` -- spelled out so Spark and
     the SQL text perform the same IEEE operations (built-in ``round`` breaks
     ties such as 0.0630625 differently per engine); ``+ 0.0`` clears -0.0."""
     scale = float(10 ** digits)
     x = F.col(c) if isinstance(c, str) else c
-    return (F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double")
-            / F.lit(scale) + F.lit(0.0))
+    rounded = (F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(HALF)).cast("double")
+               / F.lit(scale) + F.lit(0.0))
+    # Spark's floor is a BIGINT: doubles this large have no decimals to round
+    return F.when(F.abs(x) < F.lit(2.0 ** 52 / scale), rounded).otherwise(x)
 
 
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:

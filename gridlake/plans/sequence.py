@@ -70,11 +70,11 @@ META_SERIES = "gridlake_series_key"
 
 def known_largest(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> int | None:
     """The largest-key row count recorded on ``rn`` when it was numbered for
-    the same key.
+    the same key: a hint that saves measuring it again.
 
-    It stays an upper bound through projections, joins on the key and
-    filters (every later step only keeps or drops rows), and it survives the
-    Parquet round trip of ``materialize``."""
+    It stays an upper bound through projections, joins on the key and filters.
+    Results never depend on it: every operator numbers its rows itself, and the
+    hint only chooses between two plans with equal results."""
     if "rn" not in df.columns:
         return None
     meta = df.schema["rn"].metadata or {}
@@ -95,23 +95,6 @@ def series_window(spec: SeriesSpec = DEFAULT_SPEC) -> WindowSpec:
     return Window.partitionBy(*spec.key).orderBy(*spec.order)
 
 
-TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_RANGE_PARTITIONS = 200_000
-
-
-def range_partition_count(df: DataFrame) -> int:
-    """Partitions for the range shuffle: the optimizer's size estimate of
-    ``df`` over ~256 MB per partition, never fewer than
-    ``spark.sql.shuffle.partitions`` (AQE cannot resize this exchange, the
-    partition index is part of the row position)."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate available
-        return base
-    return max(base, min(MAX_RANGE_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
-
-
 def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
                 largest: int | None = None) -> DataFrame:
     """Add ``rn``: 0-based position of each row within its key, ordered by
@@ -123,13 +106,14 @@ def number_rows(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC, rn: str = "rn",
     partition's share of a key in one task.  The bound is recorded on
     ``rn`` so later steps need not measure it again."""
     if largest is None:
-        largest = known_largest(df, spec) if rn == "rn" else None
+        largest = known_largest(df, spec)
+    df = df.drop(rn)
     if largest is None:
         largest = largest_key(df, spec)
     if largest <= spec.chunk_rows:
         return df.withColumn(rn, rn_column(F.row_number().over(series_window(spec)) - 1, largest,
                                            spec, rn))
-    parts = spec.range_partitions or range_partition_count(df)
+    parts = spec.range_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [*spec.key, *spec.order]
     # Explicit partition count: AQE must not coalesce this exchange, since the
     # partition index is part of the row position.
@@ -189,18 +173,19 @@ def windowed(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]],
     ``{name: expression}``; row frames must stay within
     ``rowsBetween(-halo, 0)`` (lag up to ``halo``).
     """
-    has_rn = "rn" in df.columns
-    largest = known_largest(df, spec) if has_rn else largest_key(df, spec)
+    # a number that came with the rows may have gaps (a filter) or repeats (a
+    # union): rows are always numbered here, by the order columns
+    largest = known_largest(df, spec)
+    base = df.drop("rn")
     if largest is None:
-        largest = largest_key(df, spec)
+        largest = largest_key(base, spec)
     if largest <= spec.chunk_rows:
         # every series is one bounded chunk: one window per key, no halo
-        w = Window.partitionBy(*spec.key).orderBy("rn") if has_rn else series_window(spec)
-        exprs = columns(w)
-        rn_col = [] if has_rn else [rn_column(F.row_number().over(w) - 1, largest, spec)]
-        out = df.select("*", *rn_col, *[e.alias(name) for name, e in exprs.items()])
+        w = series_window(spec)
+        rn_col = rn_column(F.row_number().over(w) - 1, largest, spec)
+        out = base.select("*", rn_col, *[e.alias(name) for name, e in columns(w).items()])
         return out if keep_rn else out.drop("rn")
-    numbered = df if has_rn else number_rows(df, spec, largest=largest)
+    numbered = number_rows(base, spec, largest=largest)
     chunked = with_halo(numbered, spec, halo)
     exprs = columns(chunk_window(spec))
     out = (chunked.select("*", *[e.alias(name) for name, e in exprs.items()])

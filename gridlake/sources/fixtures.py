@@ -30,20 +30,22 @@ def _k() -> Column:
     return F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("double")
 
 
-def _power() -> Column:
-    return (F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
-             .when(F.col("event_type") == "signup", -F.col("value"))
+def _power(missing: str = "error", negative: str = "signup") -> Column:
+    return (F.when(F.col("event_type") == missing, F.lit(None).cast("double"))
+             .when(F.col("event_type") == negative, -F.col("value"))
              .otherwise(F.col("value")))
 
 
-def _site() -> Column:
-    return (F.col("user_id") % N_SITES).cast("int").alias("site_id")
+def _site(shift: int = 0) -> Column:
+    """Solar and wind readings of one event belong to different sites, so that each
+    source has (site, hour) pairs the other lacks."""
+    return ((F.col("user_id") + shift) % N_SITES).cast("int").alias("site_id")
 
 
 def solar(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = _k()
-    return e.where(F.col("event_id") % 2 == 0).select(
+    return e.select(
         F.col("event_id").alias("row_id"),
         _site(),
         F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("ts"),
@@ -59,13 +61,13 @@ def solar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = _k()
-    return e.where(F.col("event_id") % 2 == 1).select(
+    return e.select(
         F.col("event_id").alias("row_id"),
-        _site(),
+        _site(2),
         F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("ts"),
         (F.lit(1.0) + (F.col("event_id") % 30).cast("double") / F.lit(100.0)).alias("air_density"),
         (k / F.lit(5.0)).alias("wind_speed"),
-        _power().alias("wind_kw"),
+        _power("signup", "error").alias("wind_kw"),
     )
 
 

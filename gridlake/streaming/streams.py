@@ -1,16 +1,24 @@
 """Structured Streaming forms of the batch operators (STR1-STR4).
 
-* STR1 -- WIN8 on a stream: ``dropDuplicatesWithinWatermark`` on
-  (site_id, ts); the first row to arrive wins (on a stream arrival order is
-  the only order available).
+* STR1 -- WIN8 on a stream: ``first_rows`` keeps the row of the lowest row id
+  per (site_id, ts) whatever the order of arrival (state: one row per key);
+  ``dedup_stream`` bounds its state by a watermark instead and keeps the row
+  that arrives first.
 * STR2 -- FLT1 / FLT5 / FLT6 rule flags and quarantine, stateless.
 * STR3 -- tumbling generation totals per site with a watermark, so state
   for closed windows is dropped and late rows beyond it are ignored.
-* STR4 -- per-site state carried across micro-batches with
-  ``applyInPandasWithState``: previous value (lag 1 / ramp rate) and the
-  bounded battery energy (ST2).  A group is one site's rows of one
+* STR4 -- per-site state: previous value (lag 1 / ramp rate) and the bounded
+  battery energy (ST2).  ``series_after_stream`` takes rows in any order: the
+  stream fills a table exactly once and the chunk-parallel batch operators run
+  over it in event-time order.  ``stateful_series`` carries the state across
+  micro-batches (``applyInPandasWithState``) for sources that deliver each
+  site's batches in event-time order; a group is one site's rows of one
   micro-batch, so memory is bounded by the trigger size.
 
+Rows later than a watermark are dropped by Spark; ``run_available_now`` and
+``run_update`` read their number from the progress and raise ``LateRows``
+unless the caller allows them.
+
 Streams read Parquet files with a fixed schema.  Event time must be
 TIMESTAMP (not TIMESTAMP_NTZ) for a watermark; ``to_event_time`` maps the
 wall clock to the instant with the same UTC reading and ``from_event_time``
@@ -28,8 +36,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridlake.config import scratch_path
 from gridlake.functions.exprs import from_event_time, to_event_time
+from gridlake.operators.stateful import soc_balance
 from gridlake.operators.telemetry import PARAMS, GridParams
 from gridlake.operators.validate import quarantine
+from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, windowed
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "ts",
@@ -42,6 +52,25 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, ts: str = "t
     return reader.parquet(path).withColumn(ts, to_event_time(ts))
 
 
+class LateRows(RuntimeError):
+    """A stream dropped rows that were later than its watermark."""
+
+
+def _check_late(query, late: str) -> None:
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress
+                  for op in (p["stateOperators"] if isinstance(p, dict) else []))
+    if dropped and late != "allow":
+        raise LateRows(f"{dropped} rows were later than the watermark; widen it or pass late='allow'")
+
+
+def first_rows(df: DataFrame, key=("site_id", "ts"), order: str = "row_id") -> DataFrame:
+    """STR1, complete: the row of the smallest ``order`` per key, as an updating
+    aggregate (run it with ``run_update``)."""
+    rest = [c for c in df.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.col(order)).alias("_row")
+    return df.groupBy(*key).agg(first).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def dedup_stream(df: DataFrame, watermark: str = "2 hours", key=("site_id", "ts"), ts: str = "ts") -> DataFrame:
     """STR1."""
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(key))
@@ -52,13 +81,15 @@ def rule_stream(df: DataFrame, rules) -> DataFrame:
     return quarantine(df, rules)
 
 
-def window_totals(df: DataFrame, value_cols, window: str = "1 hour", watermark: str = "2 hours",
+def window_totals(df: DataFrame, value_cols, window: str = "1 hour", watermark: str | None = "2 hours",
                   key=("site_id",), ts: str = "ts") -> DataFrame:
-    """STR3: per key and tumbling window -- count, sum and mean of each value."""
+    """STR3: per key and tumbling window -- count, sum and mean of each value.
+    Without a watermark every window stays open, so no row is ever too late."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in value_cols:
         aggs += [F.sum(c).alias(f"{c}_sum"), F.avg(c).alias(f"{c}_mean")]
-    return (df.withWatermark(ts, watermark)
+    timed = df.withWatermark(ts, watermark) if watermark else df
+    return (timed
               .groupBy(*key, F.window(ts, window).alias("window"))
               .agg(*aggs)
               .select(*key, from_event_time(F.col("window.start")).alias("window_start"),
@@ -84,7 +115,9 @@ def stateful_series(df: DataFrame, value: str, power: str | None = None, p: Grid
             last, has_last, energy = state.get
         else:
             last, has_last, energy = None, 0.0, p.soc_initial * p.battery_kwh
-        for pdf in pdfs:
+        # Spark hands a group over in several frames: order the whole of it
+        whole = [p for p in pdfs if len(p)]
+        for pdf in ([pd.concat(whole)] if whole else []):
             pdf = pdf.sort_values(list(order)).reset_index(drop=True)
             vals = pdf[value].astype("float64").tolist()
             lags, ramps, energies = [], [], []
@@ -112,8 +145,18 @@ def stateful_series(df: DataFrame, value: str, power: str | None = None, p: Grid
         step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def series_after_stream(df: DataFrame, value: str, power: str, name: str,
+                        spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
+    """STR4 for rows in any order: ``{value}_lag_1``, ``{value}_ramp`` and the
+    battery energy of ST2 over everything the stream has delivered."""
+    rows = run_available_now(df, name)
+    lagged = windowed(rows, lambda w: {f"{value}_lag_1": F.lag(value, 1).over(w)}, halo=1, spec=spec)
+    lagged = lagged.withColumn(f"{value}_ramp", F.col(value) - F.col(f"{value}_lag_1"))
+    return soc_balance(lagged, power, spec=spec)
+
+
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
-                      fmt: str = "parquet") -> DataFrame:
+                      fmt: str = "parquet", late: str = "error") -> DataFrame:
     """Drive a stream over everything available now into a table below
     ``spark.checkpoint.dir`` (with its own checkpoint location, so a restart
     resumes exactly-once) and return the table as a batch DataFrame."""
@@ -124,10 +167,11 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
            .option("path", out + "/data")
            .trigger(availableNow=True).start())
     q.awaitTermination()
+    _check_late(q, late)
     return spark.read.format(fmt).load(out + "/data")
 
 
-def run_update(df: DataFrame, key: list[str], name: str) -> DataFrame:
+def run_update(df: DataFrame, key: list[str], name: str, late: str = "error") -> DataFrame:
     """Drive an aggregating stream in update mode (the watermark evicts
     closed windows from state) over everything available now.  Every
     micro-batch appends its changed rows with the batch id; the final table
@@ -143,6 +187,7 @@ def run_update(df: DataFrame, key: list[str], name: str) -> DataFrame:
            .option("checkpointLocation", out + "/_checkpoint")
            .trigger(availableNow=True).start())
     q.awaitTermination()
+    _check_late(q, late)
     versions = spark.read.parquet(out + "/data")
     cols = [c for c in versions.columns if c != "_epoch"]
     latest = versions.groupBy(*key).agg(

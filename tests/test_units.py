@@ -194,7 +194,7 @@ def test_find_column_first_and_last(spark):
 def test_bounded_group_statistics(spark):
     from pyspark.sql import Window
 
-    from gridlake.plans.grouping import modal_values, quantile_plan, top_k_per_key
+    from gridlake.plans.grouping import exact_quantiles, modal_values, top_k_per_key
 
     rows = [(0, "b"), (0, "a"), (0, "b"), (0, "a"), (0, None), (1, None), (2, "z")]
     df = spark.createDataFrame(rows, "site_id int, s string")
@@ -208,8 +208,10 @@ def test_bounded_group_statistics(spark):
     plain = nums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
     assert sorted((r.site_id, r.v) for r in top.collect()) == sorted((r.site_id, r.v) for r in plain.collect())
 
-    assert quantile_plan(nums, ["site_id"], ["v"]) is True
-    assert quantile_plan(nums, ["site_id"], ["v"], max_distinct=10) is False
+    import numpy as np
+    pdf = nums.toPandas()
+    for r in exact_quantiles(nums, ["site_id"], {"q": (F.col("v"), [0.0, 0.25, 0.6, 1.0])}).collect():
+        assert np.allclose(r.q, np.quantile(pdf.v[pdf.site_id == r.site_id], [0.0, 0.25, 0.6, 1.0]))
     exact = C.quartiles(nums, ["v"], exact=True).orderBy("site_id").collect()
     approx = C.quartiles(nums, ["v"], exact=False).orderBy("site_id").collect()
     for a, b in zip(exact, approx):

@@ -78,7 +78,7 @@ def main():
         from pyspark.sql import SparkSession
         spark = SparkSession.builder.master("local[8]").getOrCreate()
     else:
-        spark = build_session()
+        spark = build_session(os.environ.get("ORACLE_MASTER", "local[8]"))
     con = connect(sf)
     bad = 0
     for name in names:
