@@ -137,6 +137,14 @@ def feature_columns(df: DataFrame, targets, exclude=KEY_COLUMNS) -> list[str]:
     return [c for c in numeric_cols(df, exclude) if c not in targets]
 
 
+def select_features(df: DataFrame, fixed, patterns=(), targets=()) -> list[str]:
+    """PRJ10: the fixed names that are present, in their order, then every other numeric
+    column whose name contains one of ``patterns``."""
+    numeric = numeric_cols(df, KEY_COLUMNS)
+    chosen = [c for c in fixed if c in numeric and c not in targets]
+    return chosen + [c for c in numeric if c not in chosen and c not in targets and _has(c, patterns)]
+
+
 def scaling_stats(df: DataFrame, cols: list[str], key=("site_id",), fit_on=None) -> DataFrame:
     """Mean and population std per key, optionally over ``fit_on`` rows only (ML3)."""
     src = df if fit_on is None else df.where(fit_on)

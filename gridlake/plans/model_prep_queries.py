@@ -61,7 +61,7 @@ IMPUTE_CTES = _impute_sql()
 
 
 @register("impute_policy", sql=IMPUTE_CTES + "SELECT * FROM imp", doubles=PV_B_DBL,
-          operators=("ML1", "WIN6", "AGG9", "AGG10", "AGG8"))
+          operators=("ML1", "WIN6", "AGG9"))
 def impute_policy(spark, sf_dir):
     return pv_imputed(spark, sf_dir)
 
@@ -203,7 +203,7 @@ def cv_metrics(spark, sf_dir):
 SELECT site_id, {METRIC_SEL}
 FROM (SELECT site_id, total_renewable_power AS y, solar_lag_1 + wind_lag_1 AS p FROM fe)
 WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY site_id""",
-          doubles=["r2", "rmse", "mae"], operators=("ML8", "JN5", "ML6"))
+          doubles=["r2", "rmse", "mae"], operators=("ML8", "ML6"))
 def combined_metrics(spark, sf_dir):
     fe = engineered_features(spark, sf_dir)
     pred = fe.withColumn("p", F.col("solar_lag_1") + F.col("wind_lag_1"))

@@ -55,7 +55,7 @@ def _wind_imputed(spark, sf_dir):
     return PR.impute(w, PR.WIND_POLICY)
 
 
-@register("forest_forecast", operators=("ML4", "ML5", "PRJ8", "PRJ10", "PRJ13", "FLT4", "SNK4", "WIN11"))
+@register("forest_forecast", operators=("ML4", "ML5", "PRJ8", "PRJ13", "FLT4", "SNK4", "WIN11"))
 def forest_forecast(spark, sf_dir):
     d, feats = _frame(_split(pv_imputed(spark, sf_dir)), "pv_kw")
     model = MD.fit(MD.forest_pipeline(feats, "pv_kw"),
