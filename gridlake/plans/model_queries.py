@@ -11,13 +11,14 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from gridlake.config import checkpoint_root
+from gridlake.config import checkpoint_root, scratch_path
 from gridlake.operators import evaluate as E
 from gridlake.operators import features as FE
 from gridlake.operators import merge as M
 from gridlake.operators import models as MD
 from gridlake.operators import prep as PR
-from gridlake.plans.model_prep_queries import pv_imputed
+from gridlake.plans.materialize import written_bytes
+from gridlake.plans.model_prep_queries import SPLIT_BASE, pv_imputed
 from gridlake.plans.registry import register
 from gridlake.sources import fixtures as FX
 
@@ -32,21 +33,27 @@ def _frame(df, target):
     return d.na.drop(subset=feats + [target]), feats  # FLT4
 
 
-def _model_path(spark, name, sf_dir):
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    return f"{checkpoint_root(spark)}/gridlake/models/{name}-{tag}"
+def _model_path(spark, name, sf_dir, *parts):
+    """Where a model of these inputs lies: the key covers the table's files with their
+    sizes, the features and the parameters, so other data or settings never meet it."""
+    events = FX.table(spark, sf_dir, "events")
+    text = repr((sorted(events.inputFiles()), written_bytes(events), parts, MD.FOREST_TREES, MD.FOREST_DEPTH, MD.SEED))
+    return f"{checkpoint_root(spark)}/gridlake/models/{name}-{hashlib.sha1(text.encode()).hexdigest()[:16]}"
+
+
+def _exists(spark, path) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def _forest(spark, sf_dir, name, table, target):
     """Fit (or load the saved) forest for ``table``; returns (model, frame)."""
     d, feats = _frame(_split(table), target)
-    path = _model_path(spark, name, sf_dir)
-    try:
-        model = MD.load_model(path)
-    except Exception:  # noqa: BLE001 - not trained yet
-        model = MD.fit(MD.forest_pipeline(feats, target),
-                       d.where(F.col("holdout_role") == "train"))
-        MD.save_model(model, path)
+    path = _model_path(spark, name, sf_dir, feats, target)
+    if _exists(spark, path):
+        return MD.load_model(path), d, feats
+    model = MD.fit(MD.forest_pipeline(feats, target), d.where(F.col("holdout_role") == "train"))
+    MD.save_model(model, path)
     return model, d, feats
 
 
@@ -55,12 +62,42 @@ def _wind_imputed(spark, sf_dir):
     return PR.impute(w, PR.WIND_POLICY)
 
 
+LINEAR_SQL = SPLIT_BASE + """, d AS (
+  SELECT s.site_id, s.row_id, s.ts, s.ghi, s.pv_kw,
+         CASE WHEN rn >= n_rows - ceil(CAST(0.2 AS DOUBLE) * CAST(n_rows AS DOUBLE)) THEN 'test' ELSE 'train' END AS role
+  FROM r JOIN solar_d s ON s.site_id = r.site_id AND s.row_id = r.row_id WHERE s.pv_kw IS NOT NULL),
+st AS (SELECT site_id, avg(ghi) AS mx, stddev_pop(ghi) AS sx, avg(pv_kw) AS my, stddev_pop(pv_kw) AS sy
+       FROM d WHERE role = 'train' GROUP BY site_id),
+z AS (SELECT d.*, (ghi - mx) / sx AS x, (pv_kw - my) / sy AS y, my, sy FROM d JOIN st ON d.site_id = st.site_id),
+m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM z WHERE role = 'train')
+SELECT site_id, row_id, ts, pv_kw, (a + b * x) * sy + my AS prediction FROM z, m WHERE role = 'test'"""
+
+
+@register("linear_forecast", sql=LINEAR_SQL, doubles=["pv_kw", "prediction"],
+          operators=("ML3", "ML5", "PRJ8", "PRJ13", "FLT4", "SNK4", "WIN11"))
+def linear_forecast(spark, sf_dir):
+    """Least squares on one feature, in closed form in SQL: leakage columns dropped, rows
+    without a target dropped, scaling fitted on the training rows of each site, the model
+    saved and loaded back, its prediction transformed back to kW."""
+    table = FE.pv_features_b(M.dedup_first(FX.solar(spark, sf_dir)))
+    d = _split(PR.drop_leakage(table)).na.drop(subset=["ghi", "pv_kw"])
+    train_rows = F.col("holdout_role") == "train"
+    stats = PR.scaling_stats(d, ["ghi", "pv_kw"], fit_on=train_rows)
+    scaled = PR.standardize(d, ["ghi", "pv_kw"], fit_on=train_rows)
+    path = scratch_path(spark, "linear-model")
+    MD.save_model(MD.fit(MD.linear_pipeline(["ghi"], "pv_kw"), scaled.where(train_rows)), path)
+    pred = PR.unscale(MD.predict(MD.load_model(path), scaled.where(~train_rows)), stats, "prediction", "pv_kw")
+    actual = d.select("site_id", "row_id", F.col("pv_kw").alias("actual"))
+    return (pred.select("site_id", "row_id", "ts", "prediction").join(actual, ["site_id", "row_id"])
+                .select("site_id", "row_id", "ts", F.col("actual").alias("pv_kw"), "prediction"))
+
+
 @register("forest_forecast", operators=("ML4", "ML5", "PRJ8", "PRJ13", "FLT4", "SNK4", "WIN11"))
 def forest_forecast(spark, sf_dir):
     d, feats = _frame(_split(pv_imputed(spark, sf_dir)), "pv_kw")
     model = MD.fit(MD.forest_pipeline(feats, "pv_kw"),
                    d.where(F.col("holdout_role") == "train"))
-    MD.save_model(model, _model_path(spark, "pv_forest", sf_dir))
+    MD.save_model(model, _model_path(spark, "pv_forest", sf_dir, feats, "pv_kw"))
     test = d.where(F.col("holdout_role") == "test")
     return MD.predict(model, test).select("site_id", "row_id", "ts", "pv_kw", "prediction")
 
@@ -70,7 +107,7 @@ def wind_forest_forecast(spark, sf_dir):
     """The wind model of the reference's training step (same forest)."""
     d, feats = _frame(_split(_wind_imputed(spark, sf_dir)), "wind_kw")
     model = MD.fit(MD.forest_pipeline(feats, "wind_kw"), d.where(F.col("holdout_role") == "train"))
-    MD.save_model(model, _model_path(spark, "wind_forest", sf_dir))
+    MD.save_model(model, _model_path(spark, "wind_forest", sf_dir, feats, "wind_kw"))
     test = d.where(F.col("holdout_role") == "test")
     return MD.predict(model, test).select("site_id", "row_id", "ts", "wind_kw", "prediction")
 
