@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
@@ -30,21 +28,20 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
         row = end
 
 
-@lru_cache(None)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done:done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, 1 << max(n - 1, 1).bit_length())[:n]
+    """base^0 .. base^(n-1) modulo 2^64; the longest list of each base is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.empty(1 << max(n - 1, 1).bit_length(), np.uint64)
+        known[0] = done = 1
+        while done < len(known):
+            known[done:2 * done] = known[:done] * np.uint64(pow(base, done, 1 << 64))
+            done *= 2
+        _POWERS[base] = known
+    return known[:n]
 
 
 BASE = 0x9E3779B97F4A7C15 | 5

@@ -37,6 +37,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
@@ -44,10 +45,10 @@ from gridlake.llm.tables import cut, free_shuffles, table
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text that a task handles as one block, and anchors per hash bucket.
-BLOCK, PER_BUCKET = 12 << 20, 400_000
+BLOCK, PER_BUCKET = 8 << 20, 400_000
 #: Occurrences from which an anchor's windows are dealt out one by one.
 HOT = 200_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 SPOOL = 32 << 20
 
 
@@ -150,15 +151,22 @@ def anchors(content: np.ndarray, offsets: np.ndarray):
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed blob; equal bytes of the numbers lie side by side."""
+    parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
+    for a in arrays:
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+                     if a.itemsize > 1 else a.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
-    at = 8 * len(types)
-    out = []
-    for n, kind in zip(np.frombuffer(blob, np.int64, len(types)).tolist(), types):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    at, out = 8 * len(types), []
+    for n, kind in zip(raw[:at].view(np.int64).tolist(), types):
+        size = np.dtype(kind).itemsize
+        columns = raw[at:at + n * size].reshape(size, n)
+        out.append(np.ascontiguousarray(columns.T).reshape(-1).view(kind))
+        at += n * size
     return out
 
 
@@ -182,7 +190,7 @@ def _list_rows(doc, tag, payload):
 
 ROUTED = "bucket int, kind int, payload binary"
 LISTED = "id bigint, tag bigint, payload binary"
-REFS, KNOWN, PIECES, WINDOWS, SPANS = range(5)
+REFS, KNOWN, PIECES, WINDOWS, SPANS, LISTS, HEAVY = range(7)
 
 
 def _route(kind: int, bucket, payload):
@@ -231,15 +239,16 @@ def _ask(docs: DataFrame, n_buckets: int) -> DataFrame:
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
-            h, doc, tag, pos = h[order], doc[order], tag[order], pos[order]
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            ranked, by = h[order], doc[order]
+            start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             size = np.diff(np.append(start, len(h)))
-            several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
-            known = np.repeat(several, size)
+            several = np.minimum.reduceat(by, start) < np.maximum.reduceat(by, start)
+            known = np.empty(len(h), bool)
+            known[order] = np.repeat(several, size)
             if several.any():  # settled here; the buckets learn only that the anchor is shared, and how often
                 yield _route(KNOWN, [int(doc[0] % n_buckets)], [_pack(doc[known], tag[known], pos[known])])
-            shared, often = h[start[several]], size[several]
-            h, doc, tag, pos = h[~known], doc[~known], tag[~known], pos[~known]
+            shared, often = ranked[start[several]], size[several]
+            h, doc, tag, pos = h[~known], doc[~known], tag[~known], pos[~known]  # in document order
             told = dict(_buckets(shared, n_buckets))
             for b, at in _buckets(h, n_buckets):
                 mine = told.pop(b, np.zeros(0, np.int64))
@@ -264,17 +273,31 @@ def _groups(batches):
         yield bucket, held
 
 
-def _emit(parts: list, mark: str | None = None):
-    """Lists per document of gathered ``(doc, tag, value...)`` arrays."""
+def _emit(parts: list, n_groups: int):
+    """Gathered ``(doc, tag, value...)`` arrays, a routed row per group of documents."""
     doc, tag, *values = map(np.concatenate, zip(*parts))
-    rows = [(d, t, np.stack(v, 1).tobytes()) for d, t, v in _by_document(doc, tag, *values)]
-    for i in range(0, len(rows), 20_000):
-        yield _list_rows(*map(list, zip(*rows[i:i + 20_000])))
+    out = [(b, _pack(doc[at], tag[at], *[v[at] for v in values]))
+           for b, at in _buckets(doc.view(np.uint64), n_groups)]
+    for i in range(0, len(out), 500):
+        yield _route(LISTS, *map(list, zip(*out[i:i + 500])))
 
 
-def _answer(asked: DataFrame, hot: int) -> DataFrame:
-    """Anchor places per document (an id, tag and packed places), and hot anchors as
-    rows without an id whose tag is the hash."""
+def _per_document(routed: DataFrame, *types) -> DataFrame:
+    """``(id, tag, payload)``: the values of each document together."""
+    parts = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for _, held in _groups(batches):
+            doc, tag, *values = _joined(held[LISTS], np.int64, np.uint32, *types)
+            rows = [(d, t, np.stack(v, 1).tobytes()) for d, t, v in _by_document(doc, tag, *values)]
+            for i in range(0, len(rows), 5000):
+                yield _list_rows(*map(list, zip(*rows[i:i + 5000])))
+
+    return routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTED)
+
+
+def _answer(asked: DataFrame, hot: int, n_groups: int) -> DataFrame:
+    """Anchor places by groups of documents, and the hashes of hot anchors."""
 
     def run(batches):
         parts, size = [], 0
@@ -300,14 +323,14 @@ def _answer(asked: DataFrame, hot: int) -> DataFrame:
                 size += int(keep.sum())
                 heavy = names[count > hot]
                 if len(heavy):
-                    yield _list_rows([None] * len(heavy), heavy.view(np.int64).tolist(), [b""] * len(heavy))
+                    yield _route(HEAVY, [-1], [_pack(heavy)])
             if size > 1_000_000:
-                yield from _emit(parts)
+                yield from _emit(parts, n_groups)
                 parts, size = [], 0
         if parts:
-            yield from _emit(parts)
+            yield from _emit(parts, n_groups)
 
-    return asked.mapInArrow(run, LISTED)
+    return asked.mapInArrow(run, ROUTED)
 
 
 # ---------------------------------------------------------------- step 2: pieces, columns, covered ranges
@@ -358,9 +381,9 @@ def _send(texts: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
             for rows, content, offsets in block:
                 refs = rows.column(3).to_pylist()
                 place, row = [], []
-                for r, lists in enumerate(refs):
-                    if lists:
-                        p = np.unique(np.frombuffer(b"".join(lists), np.uint32)).astype(np.int64) + offsets[r]
+                for r, packed in enumerate(refs):
+                    if packed:
+                        p = np.unique(np.frombuffer(packed, np.uint32)).astype(np.int64) + offsets[r]
                         place.append(p)
                         row.append(np.full(len(p), r))
                 if not place:
@@ -418,8 +441,8 @@ def _send(texts: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
     return texts.mapInArrow(run, ROUTED)
 
 
-def _cover(sent: DataFrame) -> DataFrame:
-    """Covered byte ranges per document."""
+def _cover(sent: DataFrame, n_groups: int) -> DataFrame:
+    """Covered byte ranges by groups of documents."""
     reach = LENGTH - ANCHOR
 
     def run(batches):
@@ -441,12 +464,12 @@ def _cover(sent: DataFrame) -> DataFrame:
                 parts.append([doc[hit], tag[hit], begin[hit], begin[hit] + LENGTH])
             size = sum(len(p[0]) for p in parts)
             if size > 500_000:
-                yield from _emit(parts)
+                yield from _emit(parts, n_groups)
                 parts = []
         if parts and size:
-            yield from _emit(parts)
+            yield from _emit(parts, n_groups)
 
-    return sent.mapInArrow(run, LISTED)
+    return sent.mapInArrow(run, ROUTED)
 
 
 # ---------------------------------------------------------------- the operator
@@ -466,20 +489,21 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def dealt(df):
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    refs = cut(_answer(dealt(_ask(rows, n_buckets)), hot), "anchors")
+    found = cut(_answer(dealt(_ask(rows, n_buckets)), hot, parts), "anchors")
     free_shuffles(spark)
     # at most (all anchors / hot) of them
-    heavy = np.array([r.tag for r in refs.where("id is null").select("tag").collect()], np.int64).view(np.uint64)
-    lists = refs.where("id is not null").groupBy("id", "tag").agg(F.collect_list("payload").alias("refs"))
-    texts = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "refs")
-    spans = cut(_cover(dealt(_send(texts, heavy, n_buckets))), "repeats")
+    heavy = [_unpack(r.payload, np.uint64)[0] for r in found.where(F.col("kind") == HEAVY).select("payload").collect()]
+    heavy = np.concatenate(heavy) if heavy else np.zeros(0, np.uint64)
+    lists = _per_document(found.where(F.col("kind") == LISTS), np.uint32)
+    texts = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "payload")
+    spans = cut(_cover(dealt(_send(texts, heavy, n_buckets)), parts), "repeats")
     free_shuffles(spark)
-    return spans.groupBy("id", "tag").agg(F.collect_list("payload").alias("spans"))
+    return _per_document(spans, np.int64, np.int64).withColumnRenamed("payload", "spans")
 
 
-def _merge(spans: list[bytes]) -> np.ndarray:
+def _merge(spans: bytes) -> np.ndarray:
     """Maximal ranges of packed ones."""
-    pairs = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
