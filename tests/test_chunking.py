@@ -123,3 +123,31 @@ def test_ramp_follow_monotone_scan_rounds(spark):
         for s in (0, 1):
             vals = [r.p_thermal_dispatch for r in got if r.site_id == s]
             assert vals == want
+
+
+def _hours(spark, n, values):
+    import datetime as dt
+
+    rows = [(0, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), values(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "site_id int, row_id long, ts timestamp_ntz, v double")
+
+
+def test_filtered_series_does_not_depend_on_chunk_rows(spark):
+    """Rows numbered before a filter carry gaps in ``rn``; operators number them anew."""
+    from gridlake.plans.sequence import number_rows, windowed
+
+    plain = SeriesSpec()
+    holes = number_rows(_hours(spark, 24, float), plain).where("row_id % 2 = 0")
+    want = [None] + [float(i) for i in range(0, 22, 2)]
+    for spec in (plain, plain.with_chunk(4)):
+        out = windowed(holes, lambda w: {"p": F.lag("v", 1).over(w)}, halo=1, spec=spec)
+        assert [r.p for r in out.orderBy("row_id").collect()] == want
+
+
+def test_many_unmet_chunks_and_holds(spark):
+    """Chunks of flipping targets (never met, one round each) after 30 chunks of NULL
+    targets, which pass their start on and need no round."""
+    targets = [None] * 240 + [0.0 if i % 2 else 5000.0 for i in range(80)]
+    df = _hours(spark, len(targets), lambda i: targets[i]).withColumnRenamed("v", "thermal_setpoint")
+    got = ST.ramp_follow(df, spec=SeriesSpec(chunk_rows=8)).orderBy("row_id").collect()
+    assert [r.p_thermal_dispatch for r in got] == _ramp_reference(targets)
