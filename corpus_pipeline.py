@@ -41,11 +41,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = bpe.tokenizer_file()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    decoded = bpe.decode(encoded.drop("text"), path, out_col="decoded", style="tokens")
-    return decoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.tokenizer_file())
+    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
+                          "decoded_sha256")
 
 
 STAGES = [

@@ -24,6 +24,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ from gridlake.llm.bytes_of import text_blocks
 from gridlake.llm.tables import table
 
 CHUNK = 1 << 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 #: White space, and the contractions that are pre-tokens of their own.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -66,7 +67,8 @@ def _class(major: str) -> str:
 @lru_cache(None)
 def pretoken_pattern() -> re.Pattern:
     letters, numbers = _class("L"), _class("N")
-    return re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+    # the first characters of letters and contractions differ, so their order is free
+    return re.compile(f"[{letters}]+|{'|'.join(CONTRACTIONS)}|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int:
@@ -109,6 +111,7 @@ class Merges:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.spelled_id = {i: str(i) for i in self.token}
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.nfc, self.lower = "NFC" in steps, "Lowercase" in steps
         self.alphabet = byte_alphabet()
@@ -240,7 +243,8 @@ class Encoder:
     def _between_marks(self, text: str):
         """``(part, is the last)`` around special tokens, which are emitted on the way."""
         at = 0
-        for hit in self.marks.finditer(text) if self.marks else ():
+        marked = any(mark in text for mark in self.m.special)
+        for hit in self.marks.finditer(text) if marked else ():
             yield text[at:hit.start()], False
             self._close_run()
             self.special(self.m.special[hit.group()])
@@ -253,19 +257,7 @@ class Encoder:
         text = self.m.normalise(text)
         if self.run:
             text = self._continue(text)
-        self._many(pretoken_pattern().findall(text))
-
-    def _many(self, words: list[str]) -> None:
-        limit = 4 * self.m.lookahead
-        if max(map(len, words), default=0) <= limit:
-            self.entry(words)
-            return
-        for w in words:
-            if len(w) <= limit:
-                self.entry([w])
-            else:
-                self._run(w)
-                self._close_run()
+        self.entry(pretoken_pattern().findall(text))
 
     def _kind(self, c: str) -> str:
         major = unicodedata.category(c)[0]
@@ -301,11 +293,11 @@ class Encoder:
             text = self._continue(text)
         words = pretoken_pattern().findall(text)
         if words and not self.cut.match(text[-1]) and self._kind(words[-1][-1]) != "N" and words[-1] not in CONTRACTIONS:
-            self._many(words[:-1])
+            self.entry(words[:-1])
             self._last = words[-1][-1]
             self._run(words[-1])
         else:
-            self._many(words)
+            self.entry(words)
 
     def _continue(self, text: str) -> str:
         """Let ``text`` go on with the open pre-token as far as it is of its kind."""
@@ -379,7 +371,8 @@ class Cache(dict):
         self.merges = merges
 
     def spelled(self, ids: list[int]) -> tuple[int, str, str, list[int]]:
-        return len(ids), " ".join(map(str, ids)), decode_ids(ids, self.merges), ids
+        m = self.merges
+        return len(ids), " ".join([m.spelled_id[i] for i in ids]), " ".join([m.token[i] for i in ids]), ids
 
     def __missing__(self, word: str):
         if len(self) >= CACHE_WORDS:
@@ -451,27 +444,33 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_cached(text: str, cache: Cache) -> list[int]:
-    """Ids of one text, pre-tokens from the cache."""
+def encode_cached(text: str, cache: Cache) -> tuple[list[int], str]:
+    """Ids of one text and their decoded text (style "tokens"), pre-tokens from the cache."""
     ids: list[int] = []
+    parts: list[str] = []
     one = cache.__getitem__
 
-    def put(words):
-        for e in map(one, words):
-            ids.extend(e[3])
+    def put(entries):
+        for e in entries:
+            if e[0]:
+                ids.extend(e[3])
+                parts.append(e[2])
 
-    e = Encoder(cache.merges, put, ids.append, ids.extend)
+    e = Encoder(cache.merges, lambda words: put(map(one, words)), lambda i: put([cache.spelled([i])]),
+                lambda part: put([cache.spelled(part)]))
     for i in range(0, len(text), CHUNK):
         e.feed(text[i:i + CHUNK])
     e.finish()
-    return ids
+    return ids, " ".join(parts)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` plus an ``array<int>`` column of ids."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids",
+           sha_col: str = "decoded_sha256") -> DataFrame:
+    """``docs`` plus an ``array<int>`` column of ids and the SHA-256 of their decoded text."""
     model = _shared(docs.sparkSession, path)
     names = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{ids_col}` array<int>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+                       + [f"`{ids_col}` array<int>, `{sha_col}` string"])
 
     def run(batches):
         _, cache = load(model.value)
@@ -479,8 +478,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
             column = batch.column(batch.schema.get_field_index(text_col))
             for first, _, offsets in text_blocks(column):
                 rows = batch.slice(first, len(offsets) - 1)
-                ids = [encode_cached(t.as_py() or "", cache) for t in column.slice(first, len(offsets) - 1)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
+                flat, ends, sha = array("i"), [0], []
+                for t in column.slice(first, len(offsets) - 1):
+                    ids, decoded = encode_cached(t.as_py() or "", cache)
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(flat), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(sha, pa.string())],
+                                                 [*names, ids_col, sha_col])
 
     return docs.mapInArrow(run, schema)
 
