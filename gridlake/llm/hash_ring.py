@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridlake.llm.tables import cut, table
 
-SHARDS, VIRTUAL, SLICES = 40, 64, 16
+SHARDS, VIRTUAL, SLICES = 40, 48, 4
 SPACE = 1 << 32
 
 
