@@ -11,10 +11,12 @@
    one original agree on, so large groups connect through few pairs; the deeper values
    of the prefix order large regions by themselves.  A region that crosses range
    partitions has its pivots chosen over all its pieces.
-3. Candidates whose two-bit sketches are far apart are dropped (``MIN_SKETCH`` is six
+3. Candidates whose two-bit sketches are far apart are dropped (``MIN_SKETCH`` is four
    deviations below what the threshold implies).  The rest is confirmed on the full
-   sets: first each class with its most similar partner, then every candidate pair that
-   still joins two components.  Confirmed links make the components.
+   sets, and the confirmed links make components.
+4. The forest is read twice: first with one neighbour and one pivot a row, then with
+   many, for rows of different components only.  What a large group has left over gets
+   a wide search, and what is connected costs nothing more.
 
 ``depth`` and the number of trees follow from the number of documents and the
 wanted miss probability of a pair at the threshold (``forest_shape``), so chance
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
 from gridlake.llm.graph import connected_components
-from gridlake.llm.tables import cut, table
+from gridlake.llm.tables import cut, free_shuffles, table
 from gridlake.plans.materialize import broadcast_if_small
 
 SHINGLE, SIMILARITY = 5, 80
@@ -44,9 +46,11 @@ MISS = 1e-6
 #: Similarity (chance agreement) of unrelated texts that ``forest_shape`` allows for.
 CHANCE = 0.04
 EXTRA_LEVELS = 3
-NEIGHBOURS, PIVOTS = 8, 4
+#: Neighbours in sorted order and pivots of a region: first for all rows, then between
+#: components only.
+FIRST, SECOND = (1, 1), (10, 5)
 #: Share of equal two-bit values below which a pair is not confirmed (0.85 at a similarity of 0.8).
-MIN_SKETCH = 0.62
+MIN_SKETCH = 0.70
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -149,25 +153,27 @@ def _similar(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return 1.0 - np.bitwise_count((d | d >> 1) & np.uint8(0x55)).sum(1, dtype=np.int64) / n
 
 
-def _candidates(forest: DataFrame, depth: int, trees: int) -> DataFrame:
-    """Candidate pairs and, for the first and last region of each partition (which may
-    go on in another one), their pivots and members."""
+def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pivots: int) -> DataFrame:
+    """Candidate pairs between components and, for the first and last region of each
+    partition (which may go on in another one), their pivots and members (``a`` the id,
+    ``b`` its component)."""
     n, prefix = depth * trees, 4 * (depth + 1)
 
     def run(batches):
-        keys, ids, sketches, state = [], [], [], {"first": True}
+        keys, ids, sketches, comps, state = [], [], [], [], {"first": True}
 
         def regions(last: bool):
             """Settle all whole regions held; keep the open one unless it is the last."""
             key = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
-            who, sketch = np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(keys), -1)
+            who, comp = np.array(ids, np.int64), np.array(comps, np.int64)
+            sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(keys), -1)
             same = np.zeros(len(key), bool)
             same[1:] = (key[1:, :prefix] == key[:-1, :prefix]).all(1)
             start = np.flatnonzero(~same)
             stop = len(key) if last else int(start[-1])
             if stop == 0:
                 return 0, []
-            key, who, sketch, same = key[:stop], who[:stop], sketch[:stop], same[:stop]
+            key, who, comp, sketch, same = key[:stop], who[:stop], comp[:stop], sketch[:stop], same[:stop]
             start = np.flatnonzero(~same)
             region = np.cumsum(~same) - 1
             # the most frequent full key of each region, its smallest id first
@@ -180,35 +186,34 @@ def _candidates(forest: DataFrame, depth: int, trees: int) -> DataFrame:
             head = np.searchsorted(of, np.arange(len(start)))
             place = np.arange(len(of)) - head[of]  # 0: the region's most frequent full key
             left, right, pivots = [], [], []
-            for k in range(PIVOTS):
+            for k in range(n_pivots):
                 pivot = np.full(len(start), -1)
                 pivot[of[place == k]] = order[place == k]
                 at = np.flatnonzero(pivot[region] >= 0)
                 left.append(leaf[pivot[region[at]]])
                 right.append(at)
                 pivots.append(pivot)
-            for lag in range(1, NEIGHBOURS + 1):
+            for lag in range(1, neighbours + 1):
                 at = np.flatnonzero(region[lag:] == region[:-lag]) + lag if stop > lag else np.zeros(0, int)
                 left.append(at - lag)
                 right.append(at)
             x, y = np.concatenate(left), np.concatenate(right)
-            keep = who[x] != who[y]
+            keep = comp[x] != comp[y]
             x, y = x[keep], y[keep]
             close = _similar(sketch[x], sketch[y], n)
             keep = close >= MIN_SKETCH
-            x, y, close = x[keep], y[keep], close[keep]
+            x, y = x[keep], y[keep]
             out = []
             if len(x):
-                a, b = np.minimum(who[x], who[y]), np.maximum(who[x], who[y])
-                pairs, at = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                out.append(_rows("pair", pairs[:, 0], pairs[:, 1], (close[at] * 10000).astype(np.int64)))
+                pairs = np.unique(np.sort(np.stack([who[x], who[y]], 1), axis=1), axis=0)
+                out.append(_rows("pair", pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
             ends = ([0] if state["first"] else []) + ([len(start) - 1] if last else [])
             for r in sorted(set(ends)):
                 i, j = start[r], start[r + 1] if r + 1 < len(start) else stop
                 name = key[i, :prefix].tobytes()
                 own = [p[r] for p in pivots if p[r] >= 0]
-                out.append(_rows("pivot", who[leaf[own]], np.zeros(len(own), np.int64), length[own], name))
-                out.append(_rows("member", who[i:j], np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), name))
+                out.append(_rows("pivot", who[leaf[own]], comp[leaf[own]], length[own], name))
+                out.append(_rows("member", who[i:j], comp[i:j], np.zeros(j - i, np.int64), name))
             state["first"] = False
             return stop, out
 
@@ -216,10 +221,11 @@ def _candidates(forest: DataFrame, depth: int, trees: int) -> DataFrame:
             keys += batch.column(0).to_pylist()
             ids += batch.column(1).to_pylist()
             sketches += batch.column(2).to_pylist()
+            comps += batch.column(3).to_pylist()
             if len(keys) >= 50_000:
                 done, out = regions(False)
                 yield from out
-                del keys[:done], ids[:done], sketches[:done]
+                del keys[:done], ids[:done], sketches[:done], comps[:done]
         if keys:
             yield from regions(True)[1]
 
@@ -234,16 +240,26 @@ def _rows(kind, a, b, n, region=None):
         ["kind", "region", "a", "b", "n"])
 
 
-def _across_partitions(found: DataFrame) -> DataFrame:
+def _across_partitions(found: DataFrame, n_pivots: int) -> DataFrame:
     """Pairs of regions in several partitions: every member with the pivots of all
-    pieces.  There are at most two pieces per partition, with ``PIVOTS`` pivots each:
+    pieces.  There are at most two pieces per partition, with ``n_pivots`` pivots each:
     that bounds the broadcast."""
-    leaf = F.struct(F.col("n"), (-F.col("a")).alias("neg"))
+    leaf = F.struct(F.col("n"), (-F.col("a")).alias("neg"), F.col("b").alias("c"))
     pieces = (found.where("kind = 'pivot'").groupBy("region")
-                   .agg(F.slice(F.sort_array(F.collect_set(leaf), asc=False), 1, 2 * PIVOTS).alias("best"))
-                   .select("region", F.explode("best").alias("p")).select("region", (-F.col("p.neg")).alias("pivot")))
-    return (found.where("kind = 'member'").join(F.broadcast(pieces), "region").where("a != pivot")
-                 .select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"), F.lit(0).cast("bigint").alias("n")))
+                   .agg(F.slice(F.sort_array(F.collect_set(leaf), asc=False), 1, 2 * n_pivots).alias("best"))
+                   .select("region", F.explode("best").alias("p"))
+                   .select("region", (-F.col("p.neg")).alias("pivot"), F.col("p.c").alias("pivot_comp")))
+    return (found.where("kind = 'member'").join(F.broadcast(pieces), "region").where("b != pivot_comp")
+                 .select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")))
+
+
+def _search(forest: DataFrame, depth: int, trees: int, breadth: tuple[int, int]) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` of different components."""
+    parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = forest.select("key", "id", "sketch", "comp").repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    found = cut(_candidates(rows, depth, trees, *breadth), "near-found")
+    pairs = found.where("kind = 'pair'").select("a", "b").union(_across_partitions(found, breadth[1]))
+    return cut(pairs.distinct(), "near-pairs", pairs.count())
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -278,26 +294,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(named.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
                        .agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
     forest = cut(_forest_rows(classes.select(F.col("rep").alias("id"), "sig"), depth, trees), "near-forest")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_candidates(forest.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id"),
-                            depth, trees), "near-found")
-    pairs = found.where("kind = 'pair'").select("a", "b", "n").union(_across_partitions(found))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.max("n").alias("n")), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(_sets_of(_texts_of(docs, wanted, id_col, text_col), size).dropDuplicates(["id", "shingles"]), "near-full")
-    # each class with its most similar partner
-    both = pairs.select("a", "b", "n", F.col("a").alias("id")).union(pairs.select("a", "b", "n", F.col("b")))
-    first = (both.groupBy("id").agg(F.max(F.struct("n", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
-                 .select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")).distinct())
-    linked = cut(_confirm(first, sets, similarity), "near-links")
-    comp = cut(connected_components(linked, "near-first"), "near-comp")
-    # what still joins two components
-    left = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = (pairs.join(first, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-                 .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    more = cut(_confirm(cut(rest, "near-rest"), sets, similarity), "near-more")
-    comp = connected_components(linked.union(more), "near-last")
+    links, comp = None, None
+    for breadth in (FIRST, SECOND):
+        rows = forest.withColumn("comp", F.col("id"))
+        if comp is not None:
+            rows = (forest.join(comp.withColumnRenamed("node", "id"), "id", "left")
+                          .withColumn("comp", F.coalesce("component", "id")))
+        pairs = _search(rows, depth, trees, breadth)
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = cut(_sets_of(_texts_of(docs, wanted, id_col, text_col), size).dropDuplicates(["id", "shingles"]), "near-full",
+                   2 * pairs.count(), 5_000)
+        new = cut(_confirm(pairs, sets, similarity), "near-links", pairs.count(), 20_000)
+        links = new if links is None else links.union(new)
+        comp = cut(connected_components(links, "near"), "near-comp", 2 * links.count())
+        free_shuffles(spark)
     placed = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = named.drop("sig").join(placed, ["set_a", "set_b", "n_shingles"], "left")

@@ -12,10 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder of ``spark.checkpoint.dir``: a
-    lost executor costs a re-read, not a recomputation."""
-    checkpoint_root(df.sparkSession)
+def cut(df: DataFrame, name: str, at_most: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """``df`` as a table in the shared folder of ``spark.checkpoint.dir``: a lost
+    executor costs a re-read, not a recomputation.  With a bound on its rows
+    (``at_most``) it is written in as few files as hold ``per_file`` rows each."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    if at_most is not None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(1, min(parts, -(-at_most // per_file))))
     return materialize(df, name)
 
 
