@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sets = cut(_sets_of(_texts_of(docs, wanted, id_col, text_col), size).dropDuplicates(["id", "shingles"]), "near-full",
                    2 * pairs.count(), 5_000)
-        new = cut(_confirm(pairs, sets, similarity), "near-links", pairs.count(), 20_000)
+        new = cut(_confirm(pairs, sets, similarity), "near-links", pairs.count(), 2_000)
         links = new if links is None else links.union(new)
         comp = cut(connected_components(links, "near"), "near-comp", 2 * links.count())
         free_shuffles(spark)
