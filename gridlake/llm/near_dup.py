@@ -17,6 +17,11 @@
 4. The forest is read twice: first with one neighbour and one pivot a row, then with
    many, for rows of different components only.  What a large group has left over gets
    a wide search, and what is connected costs nothing more.
+5. Neighbours reach every pair of a region of up to ``SECOND[0] + 1`` rows.  The rows of
+   larger regions, and of those that cross partitions, that still hold several
+   components are finished exactly: every pair of different components that can reach
+   the similarity is found by a prefix join on rare shingles (``_exact_pairs``) and
+   confirmed.  So a pair that meets in a region is never lost by the region's size.
 
 ``depth`` and the number of trees follow from the number of documents and the
 wanted miss probability of a pair at the threshold (``forest_shape``), so chance
@@ -34,12 +39,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
 from gridlake.llm.graph import connected_components
 from gridlake.llm.tables import cut, free_shuffles, table
-from gridlake.plans.materialize import broadcast_if_small
+from gridlake.plans.materialize import broadcast_if_small, join_small
 
 SHINGLE, SIMILARITY = 5, 80
 MISS = 1e-6
@@ -52,6 +58,9 @@ FIRST, SECOND = (1, 1), (10, 5)
 #: Share of equal two-bit values below which a pair is not confirmed (0.85 at a similarity of 0.8).
 MIN_SKETCH = 0.70
 
+#: Counters that order the shingles of the exact join from rare to common.
+COUNTERS = 1 << 20
+
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
@@ -154,9 +163,10 @@ def _similar(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pivots: int) -> DataFrame:
-    """Candidate pairs between components and, for the first and last region of each
+    """Candidate pairs between components; of the regions whose pairs the neighbours do
+    not reach all, the rows (``rest``); and, for the first and last region of each
     partition (which may go on in another one), their pivots and members (``a`` the id,
-    ``b`` its component)."""
+    ``b`` its component, ``n`` of members the partition)."""
     n, prefix = depth * trees, 4 * (depth + 1)
 
     def run(batches):
@@ -207,13 +217,18 @@ def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pi
             if len(x):
                 pairs = np.unique(np.sort(np.stack([who[x], who[y]], 1), axis=1), axis=0)
                 out.append(_rows("pair", pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
+            stops = np.append(start[1:], stop)
+            mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+            for r in np.flatnonzero(mixed & (stops - start > neighbours + 1)):
+                i, j = start[r], stops[r]
+                out.append(_rows("rest", who[i:j], comp[i:j], np.zeros(j - i, np.int64), key[i, :prefix].tobytes()))
             ends = ([0] if state["first"] else []) + ([len(start) - 1] if last else [])
             for r in sorted(set(ends)):
-                i, j = start[r], start[r + 1] if r + 1 < len(start) else stop
+                i, j = start[r], stops[r]
                 name = key[i, :prefix].tobytes()
                 own = [p[r] for p in pivots if p[r] >= 0]
                 out.append(_rows("pivot", who[leaf[own]], comp[leaf[own]], length[own], name))
-                out.append(_rows("member", who[i:j], comp[i:j], np.zeros(j - i, np.int64), name))
+                out.append(_rows("member", who[i:j], comp[i:j], np.full(j - i, TaskContext.get().partitionId()), name))
             state["first"] = False
             return stop, out
 
@@ -253,13 +268,106 @@ def _across_partitions(found: DataFrame, n_pivots: int) -> DataFrame:
                  .select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")))
 
 
-def _search(forest: DataFrame, depth: int, trees: int, breadth: tuple[int, int]) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of different components."""
+def _search(forest: DataFrame, depth: int, trees: int, breadth: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs ``(a, b)`` of different components, and the rows
+    ``(region, id)`` of the regions that have other pairs too."""
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = forest.select("key", "id", "sketch", "comp").repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
     found = cut(_candidates(rows, depth, trees, *breadth), "near-found")
     pairs = found.where("kind = 'pair'").select("a", "b").union(_across_partitions(found, breadth[1]))
-    return cut(pairs.distinct(), "near-pairs", pairs.count())
+    members = found.where("kind = 'member'")
+    crossing = (members.groupBy("region").agg(F.min("n").alias("from"), F.max("n").alias("to"))
+                       .where(F.col("from") < F.col("to")).select("region"))
+    rest = (found.where("kind = 'rest'").select("region", F.col("a").alias("id"))
+                 .union(join_small(members, crossing, "region", "left_semi", name="near-crossing")
+                        .select("region", F.col("a").alias("id"))))
+    return cut(pairs.distinct(), "near-pairs", pairs.count()), rest
+
+
+def _placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows(id, ...)`` with their component, which is the id itself if unlinked."""
+    return (rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
+                .withColumn("comp", F.coalesce("component", "id")).drop("component"))
+
+
+def _unfinished(rest: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(id, comp)``: the rows of those regions that still hold several components."""
+    rows = cut(_placed(rest, comp), "near-rest")
+    mixed = (rows.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                 .where(F.col("low") < F.col("high")).select("region"))
+    return join_small(rows, mixed, "region", "left_semi", name="near-mixed").select("id", "comp").distinct()
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (B.mix(shingles.view(np.uint64)) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _exact_pairs(sets: DataFrame, similarity: int) -> DataFrame:
+    """All pairs ``(a, b)`` of ``sets(id, comp, shingles)`` with different components that
+    can reach the similarity, by a prefix join.
+
+    In one order of all shingles, two sets that reach it share one of the first
+    ``n - ceil(similarity * n) + 1`` shingles of each.  The order goes by counters, from
+    rare to common: shared counters make prefixes less rare, never wrong.  At each
+    shingle the rows of its largest component are only searched from the others, so a
+    large linked group costs its size times what is left over, not its square; adaptive
+    execution splits the hot shingles of the join."""
+
+    def lists(batch):
+        column = batch.column(batch.schema.get_field_index("shingles"))
+        at = np.asarray(column.offsets)
+        return np.asarray(column.values), at
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values, at = lists(batch)
+            seen += np.bincount(_slot(values[at[0]:at[-1]]), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+
+    got = sets.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        counts = shared.value
+        for batch in batches:
+            values, at = lists(batch)
+            rows, tokens, places = [], [], []
+            for r, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                own = values[i:j]
+                n = counts[_slot(own)]
+                first = np.lexsort((own, n))[:j - i + similarity * (i - j) // 100 + 1]
+                place = np.flatnonzero(n[first] > 1)  # 1: no other row has it
+                rows.append(np.full(len(place), r))
+                tokens.append(own[first[place]])
+                places.append(place)
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens) if tokens else [], pa.int64()),
+                 batch.column(batch.schema.get_field_index("id")).take(pa.array(rows)),
+                 batch.column(batch.schema.get_field_index("comp")).take(pa.array(rows)),
+                 batch.column(batch.schema.get_field_index("size")).take(pa.array(rows)),
+                 pa.array(np.diff(at)[rows].astype(np.int64)),
+                 pa.array(np.concatenate(places) if places else [], pa.int64())],
+                ["token", "id", "comp", "size", "n", "place"])
+
+    sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    tokens = cut(join_small(sets, sizes, "comp", "inner", name="near-sizes")
+                 .mapInArrow(prefixes, "token bigint, id bigint, comp bigint, size bigint, n bigint, place bigint"),
+                 "near-tokens")
+    group = F.struct("size", "comp")
+    top = tokens.groupBy("token").agg(F.max(group).alias("top"))
+    x = tokens.join(top, "token").where(group < F.col("top")).select(
+        "token", F.col("id").alias("x"), group.alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = tokens.select("token", F.col("id").alias("y"), group.alias("gy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # what can be common from the shared shingle on
+    common = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    reach = (100 + similarity) * common >= similarity * (F.col("nx") + F.col("ny"))
+    return (x.join(y, (x["token"] == y["token"]) & (F.col("gx") < F.col("gy")) & reach)
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -294,20 +402,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(named.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
                        .agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
     forest = cut(_forest_rows(classes.select(F.col("rep").alias("id"), "sig"), depth, trees), "near-forest")
-    links, comp = None, None
-    for breadth in (FIRST, SECOND):
-        rows = forest.withColumn("comp", F.col("id"))
-        if comp is not None:
-            rows = (forest.join(comp.withColumnRenamed("node", "id"), "id", "left")
-                          .withColumn("comp", F.coalesce("component", "id")))
-        pairs = _search(rows, depth, trees, breadth)
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = cut(_sets_of(_texts_of(docs, wanted, id_col, text_col), size).dropDuplicates(["id", "shingles"]), "near-full",
-                   2 * pairs.count(), 5_000)
+    links = comp = rest = None
+
+    def sets_of(ids, *most):
+        return cut(_sets_of(_texts_of(docs, ids, id_col, text_col), size).dropDuplicates(["id", "shingles"]), "near-full", *most)
+
+    def link(pairs, sets):
+        nonlocal links, comp
         new = cut(_confirm(pairs, sets, similarity), "near-links", pairs.count(), 2_000)
         links = new if links is None else links.union(new)
         comp = cut(connected_components(links, "near"), "near-comp", 2 * links.count())
         free_shuffles(spark)
+
+    for breadth in (FIRST, SECOND):
+        rows = forest.withColumn("comp", F.col("id")) if comp is None else _placed(forest, comp)
+        pairs, rest = _search(rows, depth, trees, breadth)
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        link(pairs, sets_of(wanted, 2 * pairs.count(), 5_000))
+    left = cut(_unfinished(rest, comp), "near-left")
+    if n_left := left.count():
+        sets = sets_of(left.select("id"), n_left, 5_000)
+        whole = sets.join(left, "id")
+        pairs = _exact_pairs(whole, similarity)
+        link(cut(pairs, "near-pairs"), sets)
     placed = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = named.drop("sig").join(placed, ["set_a", "set_b", "n_shingles"], "left")

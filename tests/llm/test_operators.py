@@ -197,6 +197,34 @@ def test_near_duplicates_of_planted_copies(spark, docs_of):
     assert kept.count() == sum(r.kept for r in got.values()) and "component_id" in kept.columns
 
 
+def test_near_duplicates_of_a_large_region(spark, docs_of):
+    """Texts on one template share prefixes: pairs far apart in a region, none a pivot."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(90)]
+    rows = []
+    for i in range(700):
+        rows.append((i, " ".join(template + [word() for _ in range(30)])))
+    for i in range(100):  # pairs just at the threshold
+        own = [word() for _ in range(30)]
+        rows.append((1000 + i, " ".join(template + own)))
+        rows.append((2000 + i, " ".join(template + own[:18] + [word() for _ in range(12)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs_of(rows), size=1).collect()}
+    assert got == brute_components(rows, 1, 80)
+
+
+@pytest.mark.parametrize("similarity", [50, 80, 100])
+def test_exact_pairs_lose_nothing(spark, similarity):
+    rnd = random.Random(5)
+    sets = [(i, i // 2 if i < 20 else i, sorted({rnd.randrange(60) for _ in range(rnd.randint(1, 30))})) for i in range(60)]
+    sets += [(100 + i, 100 + i, s[:len(s) * 9 // 10] or s) for i, _, s in sets]
+    df = spark.createDataFrame(sets, "id bigint, comp bigint, shingles array<bigint>")
+    got = {(r.a, r.b) for r in near_dup._exact_pairs(df, similarity).collect()}
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a, b) for a, ca, x in sets for b, cb, y in sets if a < b and ca != cb and 100 * jaccard(x, y) >= similarity}
+    assert want <= got and all(dict((i, c) for i, c, _ in sets)[a] != dict((i, c) for i, c, _ in sets)[b] for a, b in got)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 301), (301, 300), (None, 4)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
