@@ -11,9 +11,9 @@
    one original agree on, so large groups connect through few pairs; the deeper values
    of the prefix order large regions by themselves.  A region that crosses range
    partitions has its pivots chosen over all its pieces.
-3. Candidates whose two-bit sketches are far apart are dropped (``MIN_SKETCH`` is four
-   deviations below what the threshold implies).  The rest is confirmed on the full
-   sets, and the confirmed links make components.
+3. Candidates whose two-bit sketches are far apart are dropped; ``sketch_bound`` keeps
+   a pair at the threshold except with probability ``MISS``.  The rest is confirmed on
+   the full sets, and the confirmed links make components.
 4. The forest is read twice: first with one neighbour and one pivot a row, then with
    many, for rows of different components only.  What a large group has left over gets
    a wide search, and what is connected costs nothing more.
@@ -23,7 +23,8 @@
    the similarity is found by a prefix join on rare shingles (``_exact_pairs``) and
    confirmed.  So a pair that meets in a region is never lost by the region's size.
 
-``depth`` and the number of trees follow from the number of documents and the
+A pair at the threshold is so lost with ``2 * MISS`` at most: the forest's miss and the
+sketch's.  ``depth`` and the number of trees follow from the number of documents and the
 wanted miss probability of a pair at the threshold (``forest_shape``), so chance
 neighbours stay few at any size.
 
@@ -55,8 +56,6 @@ EXTRA_LEVELS = 3
 #: Neighbours in sorted order and pivots of a region: first for all rows, then between
 #: components only.
 FIRST, SECOND = (1, 1), (10, 5)
-#: Share of equal two-bit values below which a pair is not confirmed (0.85 at a similarity of 0.8).
-MIN_SKETCH = 0.70
 
 #: Counters that order the shingles of the exact join from rare to common.
 COUNTERS = 1 << 20
@@ -74,6 +73,20 @@ def forest_shape(n: int, similarity: int = SIMILARITY) -> tuple[int, int]:
     return depth, trees
 
 
+def sketch_bound(n: int, similarity: int = SIMILARITY) -> int:
+    """Least number of equal two-bit values, of ``n``, of a pair to confirm: a pair at
+    the threshold, whose values are equal with ``s + (1 - s) / 4``, has fewer with
+    probability ``MISS`` at most."""
+    equal = (1 + 3 * similarity / 100) / 4
+    below = 0.0
+    for k in range(n + 1):
+        ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        below += math.exp(ways + k * math.log(equal) + (n - k) * math.log(max(1 - equal, 1e-300)))
+        if below > MISS:
+            return k
+    return n
+
+
 def shingle_sets(content: np.ndarray, offsets: np.ndarray, size: int):
     """The sorted distinct shingle hashes of each row."""
     low = B.LOWER[content]
@@ -156,13 +169,13 @@ def _forest_rows(reps: DataFrame, depth: int, trees: int) -> DataFrame:
 PAIRS = "kind string, region binary, a bigint, b bigint, n bigint"
 
 
-def _similar(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Share of equal two-bit values."""
+def _equal(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Number of equal two-bit values."""
     d = x ^ y
-    return 1.0 - np.bitwise_count((d | d >> 1) & np.uint8(0x55)).sum(1, dtype=np.int64) / n
+    return n - np.bitwise_count((d | d >> 1) & np.uint8(0x55)).sum(1, dtype=np.int64)
 
 
-def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pivots: int) -> DataFrame:
+def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pivots: int, least: int) -> DataFrame:
     """Candidate pairs between components; of the regions whose pairs the neighbours do
     not reach all, the rows (``rest``); and, for the first and last region of each
     partition (which may go on in another one), their pivots and members (``a`` the id,
@@ -210,8 +223,7 @@ def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pi
             x, y = np.concatenate(left), np.concatenate(right)
             keep = comp[x] != comp[y]
             x, y = x[keep], y[keep]
-            close = _similar(sketch[x], sketch[y], n)
-            keep = close >= MIN_SKETCH
+            keep = _equal(sketch[x], sketch[y], n) >= least
             x, y = x[keep], y[keep]
             out = []
             if len(x):
@@ -268,12 +280,12 @@ def _across_partitions(found: DataFrame, n_pivots: int) -> DataFrame:
                  .select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")))
 
 
-def _search(forest: DataFrame, depth: int, trees: int, breadth: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _search(forest: DataFrame, depth: int, trees: int, breadth: tuple[int, int], least: int) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs ``(a, b)`` of different components, and the rows
     ``(region, id)`` of the regions that have other pairs too."""
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = forest.select("key", "id", "sketch", "comp").repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-    found = cut(_candidates(rows, depth, trees, *breadth), "near-found")
+    found = cut(_candidates(rows, depth, trees, *breadth, least), "near-found")
     pairs = found.where("kind = 'pair'").select("a", "b").union(_across_partitions(found, breadth[1]))
     members = found.where("kind = 'member'")
     crossing = (members.groupBy("region").agg(F.min("n").alias("from"), F.max("n").alias("to"))
@@ -416,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     for breadth in (FIRST, SECOND):
         rows = forest.withColumn("comp", F.col("id")) if comp is None else _placed(forest, comp)
-        pairs, rest = _search(rows, depth, trees, breadth)
+        pairs, rest = _search(rows, depth, trees, breadth, sketch_bound(depth * trees, similarity))
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         link(pairs, sets_of(wanted, 2 * pairs.count(), 5_000))
     left = cut(_unfinished(rest, comp), "near-left")
