@@ -5,6 +5,7 @@ names (same address up to scheme, fragment, tracking parameters and file
 endings; ``rel=canonical`` links; refresh redirects) form alias classes, found as
 connected components, and a block decision reaches every alias that has no rule
 of its own -- unless some alias is explicitly allowed, which takes precedence.
+Rules are fitted to every end of a link, so an alias that is no page decides too.
 DataFrame functions only.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no
@@ -79,12 +80,32 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     targets = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")),
                        F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)url\s*=\s*['"]?([^"'>\s]+)""", 1)))
     found = pages.select(F.col(url).alias("src"), F.explode(targets).alias("dst"))
-    here = F.regexp_extract(F.col("src"), "^([^?#]*?://[^/?#]*)", 1)
-    full = (F.when(F.col("dst").contains("://"), F.col("dst"))
-             .when(F.col("dst").startswith("//"), F.concat(F.lit("http:"), F.col("dst")))
-             .when(F.col("dst").startswith("/"), F.concat(here, F.col("dst")))
-             .otherwise(F.concat(here, F.lit("/"), F.col("dst"))))
-    return found.where((F.col("dst") != "") & F.col("src").isNotNull()).select("src", full.alias("dst"))
+    return (found.where((F.col("dst") != "") & F.col("src").isNotNull())
+                 .select("src", resolved(F.col("src"), F.col("dst")).alias("dst")))
+
+
+def resolved(page: Column, target: Column) -> Column:
+    """The address of a link's target as seen from the page: relative targets start at
+    the page's folder, and the segments ``.`` and ``..`` are taken out."""
+    here = F.regexp_extract(page, "^([^?#]*?://[^/?#]*)", 1)
+    own = F.regexp_extract(page, "^[^?#]*?://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(own, "^(.*/)", 1)
+    path = F.regexp_extract(target, "^([^?#]*)", 1)
+    after = F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    whole = (F.when(path == "", own).when(path.startswith("/"), path)
+              .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path)))
+    segments = F.split(whole, "/")
+    # a closing . or .. names a folder
+    walked = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"),
+                         lambda done, x: F.when(x == ".", done)
+                         .when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+                         .otherwise(F.concat(done, F.array(x))))
+    flat = F.concat(F.lit("/"), F.array_join(walked, "/"),
+                    F.when(whole.rlike(r"/\.\.?$") & (F.size(walked) > 0), "/").otherwise(""))
+    whole = F.when(whole.rlike(r"/\.\.?(/|$)"), flat).otherwise(whole)
+    return (F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+             .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+             .otherwise(F.concat(here, whole, after)))
 
 
 def fitting_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,8 +132,14 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None,
     ``edges(src, dst)``: URLs known to be the same page.
     """
     url = F.col(url_col)
-    rows = cut(pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"),
-                            alias_key(url).alias("key")), "url-rows")
+    named = lambda u: (host_of(u).alias("host"), path_of(u).alias("path"), alias_key(u).alias("key"))
+    rows = pages.select(F.col(id_col), *named(url), F.lit(True).alias("is_page"))
+    if edges is not None:
+        edges = cut(edges.select("src", "dst"), "url-edges")
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("u")).select(*named(F.col("u")))
+        rows = rows.unionByName(ends.where("key is not null").distinct().withColumn("is_page", F.lit(False)),
+                                allowMissingColumns=True)
+    rows = cut(rows, "url-rows")
     ruled = rows.join(fitting_rules(rows, rules), ["host", "path"], "left")
     if edges is not None:
         pairs = edges.select(alias_key(F.col("src")).alias("a"), alias_key(F.col("dst")).alias("b"))
@@ -125,7 +152,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None,
     decided = (ruled.where("alias_class is not null and action is not null").groupBy("alias_class")
                     .agg(F.max((F.col("action") == "block").cast("int")).alias("blocked"),
                          F.max((F.col("action") == "allow").cast("int")).alias("allowed")))
-    out = ruled.join(decided, "alias_class", "left")
+    out = ruled.where("is_page").join(decided, "alias_class", "left")
     inherited = F.when((F.col("blocked") == 1) & (F.col("allowed") == 0), "block").otherwise("allow")
     return out.select(F.col(id_col), "host", "path", "rule", "alias_class",
                       F.coalesce(F.col("action"), inherited).alias("verdict"),

@@ -352,6 +352,36 @@ def test_blocks_reach_aliases_and_allow_wins(spark):
     assert got[8] == ("block", "bad.net/") and got[7] == ("allow", None)
 
 
+def test_blocks_reach_aliases_of_uncrawled_addresses(spark):
+    pages = spark.createDataFrame([
+        (1, "http://a.org/x", '<link rel="canonical" href="http://bad.net/p">'),
+        (2, "http://b.org/y", '<meta http-equiv="refresh" content="0; url=http://bad.net/q">'),
+        (3, "http://b.org/y", "<link rel=canonical href=http://good.net/q>"),
+        (4, "http://c.org/a/b.html", "<link rel=canonical href=c.html>"), (5, "http://c.org/a/c.html", ""),
+        (6, "http://c.org/c.html", ""), (7, "http://c.org/a/d/e", "<link rel=canonical href='../../shut/f'>"),
+        (8, "http://c.org", "<link rel=canonical href=shut/g>"), (9, "http://e.org/z", "")],
+        "page_id bigint, url string, html string")
+    rules = url_filter.rule_table(spark, [("block", "bad.net", "/"), ("allow", "good.net", "/"), ("block", "c.org", "/shut/"),
+                                          ("block", "c.org", "/a/c")])
+    rows = url_filter.judge(pages, rules, url_filter.link_edges(pages)).collect()
+    got = {r.page_id: (r.verdict, r.rule) for r in rows}
+    assert len(rows) == 9 and got[1] == ("block", None)
+    assert got[2] == got[3] == ("allow", None)  # an uncrawled alias is allowed
+    assert got[4] == ("block", None) and got[5] == ("block", "c.org/a/c") and got[6] == ("allow", None)
+    assert got[7] == got[8] == ("block", None) and got[9] == ("allow", None)
+
+
+def test_relative_targets(spark):
+    page = "http://h.org/a/b/c.html?x=/1#y/z"
+    want = {"d": "http://h.org/a/b/d", "./d": "http://h.org/a/b/d", "../d?q=http://i.org/": "http://h.org/a/d?q=http://i.org/",
+            "/d/../e": "http://h.org/e", "../../../d": "http://h.org/d", "?q": "http://h.org/a/b/c.html?q", "..": "http://h.org/a/",
+            "//i.org/d": "http://i.org/d", "https://i.org/d": "https://i.org/d", "#t": "http://h.org/a/b/c.html#t",
+            "d/.": "http://h.org/a/b/d/", "mailto:me": "mailto:me"}
+    df = spark.createDataFrame([(page, t) for t in want], "p string, t string")
+    got = {r.t: r.u for r in df.select("t", url_filter.resolved(F.col("p"), F.col("t")).alias("u")).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 10
 
 
