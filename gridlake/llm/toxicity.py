@@ -1,8 +1,9 @@
 """Toxicity as multiple-instance learning.
 
 A document is a bag of sentences.  A sentence scores s = sigmoid(bias + weights of its
-features) and the document combines them by noisy-or, p = 1 - prod(1 - s): one bad
-sentence is enough, any number of harmless ones is not.  Weights are trained from
+features), and exactly 0 without a feature; the document combines them by noisy-or,
+p = 1 - prod(1 - s): one bad sentence is enough, any number of featureless ones is not.
+Weights are trained from
 document labels only, through the noisy-or; the trained sentence scores then locate the
 offending sentences.
 
@@ -133,10 +134,9 @@ def sigmoid(x):
 def fit(rows: pa.Table, n_features: int, share: float) -> tuple[np.ndarray, float]:
     """Weights by gradient descent on the log loss of the noisy-or.
 
-    A sentence without features scores sigmoid(bias).  ``share`` is the toxic share of
+    A sentence without features scores 0.  ``share`` is the toxic share of
     all labelled rows: it weighs the sample's labels back to it."""
     y = rows.column("y").to_numpy().astype(np.float64)
-    n = rows.column("n").to_numpy().astype(np.float64)
     s_lists, f_lists = rows.column("s").combine_chunks(), rows.column("f").combine_chunks()
     lengths = np.diff(np.asarray(s_lists.offsets))
     s_flat, f = np.asarray(s_lists.flatten()).astype(np.int64), np.asarray(f_lists.flatten()).astype(np.int64)
@@ -145,13 +145,12 @@ def fit(rows: pa.Table, n_features: int, share: float) -> tuple[np.ndarray, floa
     n_sentences = int(sentence.max()) + 1 if len(sentence) else 0
     doc = np.zeros(n_sentences, np.int64)
     doc[sentence] = doc_of
-    empty = n - np.bincount(doc, minlength=len(y))
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
     w, bias = np.zeros(n_features), BIAS
     m, v = np.zeros(n_features), np.zeros(n_features)
     for step in range(1, EPOCHS + 1):
         s = sigmoid(bias + np.bincount(sentence, w[f], minlength=n_sentences))
-        clean = np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=len(y)) + empty * np.log1p(-sigmoid(bias))
+        clean = np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=len(y))
         p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
         # d loss / d logit of a sentence: s for a harmless document, -s (1 - p) / p for a toxic one
         pull = np.where(y == 1, -(1 - p) / p, 1.0) * weight
@@ -227,7 +226,8 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 hit = np.flatnonzero(each.ravel())
                 key = np.unique(sentence.repeat(buckets.shape[1])[hit] << BUCKET_BITS | buckets.ravel()[hit])
                 logit = bias + np.bincount(key >> BUCKET_BITS, w[key & (1 << BUCKET_BITS) - 1], minlength=n)
-                s = sigmoid(logit)
+                # none of its own: 0, or length alone would make a text toxic
+                s = np.where(np.bincount(key >> BUCKET_BITS, minlength=n) > 0, sigmoid(logit), 0.0)
                 clean = np.bincount(rows, np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n_rows)
                 scores.append(-np.expm1(clean))
                 sizes.append(np.bincount(rows, minlength=n_rows))

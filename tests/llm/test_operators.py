@@ -130,6 +130,14 @@ def test_toxicity_learns_and_locates(spark, docs_of):
     assert got[900].score == got[901].score == 0
 
 
+def test_length_alone_is_not_toxic(spark, docs_of):
+    model = toxicity.Model(np.array([1 << toxicity.BUCKET_BITS - 1]), np.array([20.0]), toxicity.BIAS)
+    text = "a calm line of words\n" * 200_000
+    got = toxicity.score(docs_of([(1, text)], 1).select("doc_id", "text"), model).first()
+    assert len(text) > 4_000_000 and got.n_sentences == 200_000
+    assert got.score == 0 and not got.offending
+
+
 # ---------------------------------------------------------------- 4
 
 
