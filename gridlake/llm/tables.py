@@ -24,6 +24,25 @@ def cut(df: DataFrame, name: str, at_most: int | None = None, per_file: int = 10
     return materialize(df, name)
 
 
+def set_aside(df: DataFrame, outputs, used=()) -> tuple[DataFrame, list[str]]:
+    """``df`` with every column that is named like one of ``outputs`` (names compare as
+    Spark does, without case) renamed to ``<name>_in``, and the names that the columns
+    ``used`` have now.  A name that is taken already gets ``_in`` again."""
+    taken = {c.lower() for c in df.columns} | {c.lower() for c in outputs}
+    named = {}
+    for c in df.columns:
+        if c.lower() in {o.lower() for o in outputs}:
+            new = c
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            named[c] = new
+    if named:
+        df = df.withColumnsRenamed(named)
+    at = {c.lower(): named.get(c, c) for c in [*named, *df.columns] if c in named or c not in named.values()}
+    return df, [at.get(u.lower(), u) for u in used]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now: it does so
     when the driver collects the objects that refer to them."""
