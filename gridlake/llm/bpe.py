@@ -12,7 +12,8 @@ alphabet and an optional end-of-word suffix.  The file is read on the driver and
 broadcast (a few MB, fixed by the vocabulary).
 
 Defined results: a null or empty text has no tokens and decodes to an empty text;
-strings of special tokens in a text become those tokens; rows are independent.
+strings of special tokens in a text become those tokens; rows are independent and keep
+their number, repeated or not; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,16 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlake.llm.bytes_of import text_blocks
-from gridlake.llm.tables import table
+from gridlake.llm.tables import set_aside, table
 
 CHUNK = 1 << 16
-CACHE_WORDS = 120_000
+CACHE_WORDS = 250_000
+LONGEST_CACHED = 64
 
 #: White space, and the contractions that are pre-tokens of their own.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 UNSURE = re.compile("'[rvlRVL]$")
 
+#: What the library's Unicode tables have beyond the version 15.1 of this
+#: Python -- letters and numbers of 16.0, capitals of 16.0 and 17.0 with their small
+#: letters, and the one pair that its older composition table leaves apart.
+LETTERS_16 = ("\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85"
+              "\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1"
+              "\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff"
+              "\U0001e5d0-\U0001e5ed\U0001e5f0")
+NUMBERS_16 = ("\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139"
+              "\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa")
+SMALL_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+            0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+APART = "\U00011935\U00011930"
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable
@@ -53,24 +68,61 @@ def byte_alphabet() -> list[str]:
 @lru_cache(None)
 def _class(major: str) -> str:
     """Regex ranges of the code points whose general category starts with ``major``."""
-    out, start = [], None
+    out, start = [{"L": LETTERS_16, "N": NUMBERS_16}[major]], None
     for c in range(sys.maxunicode + 2):
         inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
         if inside and start is None:
             start = c
         elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            out.append(f"{chr(start)}-{chr(c - 1)}")
             start = None
     return "".join(out)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@lru_cache(None)
+def _capitals() -> re.Pattern:
+    return re.compile("[" + "".join(map(chr, SMALL_17)) + "]")
+
+
+@lru_cache(None)
+def _kinds() -> tuple[re.Pattern, re.Pattern]:
+    return re.compile(f"[{_class('L')}]"), re.compile(f"[{_class('N')}]")
+
+
+def _until(ranges: str, last: int) -> str:
+    """The regex ranges ``a-b`` up to a code point."""
+    out = []
+    for first, end in re.findall("(.)(?:-(.))?", ranges, re.S):
+        if ord(first) <= last:
+            out.append(f"{first}-{chr(min(ord(end or first), last))}")
+    return "".join(out)
+
+
 @lru_cache(None)
-def pretoken_pattern() -> re.Pattern:
-    letters, numbers = _class("L"), _class("N")
+def _pattern(last: int) -> re.Pattern:
+    """Pre-tokens of texts without code points beyond ``last``."""
+    letters, numbers = (_until(_class(m), last) for m in "LN")
     # the first characters of letters and contractions differ, so their order is free
     return re.compile(f"[{letters}]+|{'|'.join(CONTRACTIONS)}|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
 
 
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a normalised text.  Classes of code points that a text lacks would
+    only be searched in vain, so there is a pattern for ASCII and one for the first plane."""
+    if text.isascii():
+        return _pattern(0x7F).findall(text)
+    wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return _pattern(sys.maxunicode if wide else 0xFFFF).findall(text)
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int:
     """Symbols after a position that can still move a token boundary before it.
 
@@ -95,7 +147,6 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
     return bound + max(length.values(), default=1)
 
 
-SHIFT = 32
 NONE = 1 << 62
 
 
@@ -111,7 +162,7 @@ class Merges:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.spelled_id = {i: str(i) for i in self.token}
+        self.spelled = {i: str(i) for i in self.token}
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.nfc, self.lower = "NFC" in steps, "Lowercase" in steps
         self.alphabet = byte_alphabet()
@@ -130,13 +181,18 @@ class Merges:
         self.lookahead = sufficient_lookahead(pairs, size)
         self.size = {vocab[t]: n for t, n in size.items()}
         #: (left id, right id) -> (priority, merged id), each packed into one number
-        self.rule = {vocab[a] << SHIFT | vocab[b]: i << SHIFT | vocab[a + b] for i, (a, b) in enumerate(pairs)}
+        self.shift = shift = max(vocab.values(), default=1).bit_length()
+        self.rule = {vocab[a] << shift | vocab[b]: i << shift | vocab[a + b] for i, (a, b) in enumerate(pairs)}
 
     def normalise(self, text: str) -> str:
-        if not text.isascii() and self.nfc:
-            text = unicodedata.normalize("NFC", text)
+        if text.isascii():
+            return text.lower() if self.lower else text
+        if self.nfc:
+            text = APART.join([unicodedata.normalize("NFC", t) for t in text.split(APART)])
         if self.lower:  # letter by letter: no final form of sigma
             text = text.replace("Σ", "σ").lower()
+            if not _latin(text) and _capitals().search(text):
+                text = text.translate(SMALL_17)
         return text
 
     def symbols(self, pretoken: str) -> list[int]:
@@ -147,30 +203,31 @@ class Merges:
         n = len(ids)
         if n > 48:
             return self._merge_long(ids)
-        get = self.rule.get
-        found = [get(ids[i] << SHIFT | ids[i + 1], NONE) for i in range(n - 1)]
+        get, shift = self.rule.get, self.shift
+        low = (1 << shift) - 1
+        found = [get(a << shift | b, NONE) for a, b in zip(ids, ids[1:])]
         while found:
             best = min(found)
             if best == NONE:
                 break
             i = found.index(best)
-            ids[i] = new = best & (1 << SHIFT) - 1
+            ids[i] = new = best & low
             del ids[i + 1], found[i]
             if i:
-                found[i - 1] = get(ids[i - 1] << SHIFT | new, NONE)
+                found[i - 1] = get(ids[i - 1] << shift | new, NONE)
             if i < len(found):
-                found[i] = get(new << SHIFT | ids[i + 1], NONE)
+                found[i] = get(new << shift | ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs, for long windows."""
-        n, get = len(ids), self.rule.get
+        n, get, shift = len(ids), self.rule.get, self.shift
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), ids[:]
 
         def push(i, j):
-            rule = get(alive[i] << SHIFT | alive[j])
+            rule = get(alive[i] << shift | alive[j])
             if rule is not None:
-                heapq.heappush(heap, (rule >> SHIFT, i, alive[i], alive[j], rule & (1 << SHIFT) - 1))
+                heapq.heappush(heap, (rule >> shift, i, alive[i], alive[j], rule & (1 << shift) - 1))
 
         heap: list = []
         for i in range(n - 1):
@@ -212,6 +269,9 @@ class Encoder:
         self.marks = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) \
             if merges.special else None
         self.cut = re.compile(f"[{SPACE}]")
+        #: characters from which on something may go on behind the held text: a special
+        #: token but for its last character, or a contraction
+        self.tail = max([len(mark) - 1 for mark in merges.special] + [max(map(len, CONTRACTIONS))])
 
     def feed(self, text: str) -> None:
         self.held += text
@@ -257,17 +317,17 @@ class Encoder:
         text = self.m.normalise(text)
         if self.run:
             text = self._continue(text)
-        self.entry(pretoken_pattern().findall(text))
+        self.entry(pretokens(text))
 
     def _kind(self, c: str) -> str:
-        major = unicodedata.category(c)[0]
-        return major if major in "LN" else " " if self.cut.match(c) else "other"
+        letter, number = _kinds()
+        return "L" if letter.match(c) else "N" if number.match(c) else " " if self.cut.match(c) else "other"
 
     def _long(self) -> None:
         """No blank in two chunks: settle all but the last pre-token, which is open,
         unless a special token or a composed character may reach over the end."""
         text = self.held
-        end = len(text) - 64  # beyond any special token that could have begun
+        end = len(text) - self.tail
         while end > 0 and (unicodedata.combining(text[end]) or not unicodedata.is_normalized("NFC", text[end - 1:end + 1])):
             end -= 1
         if self.marks:
@@ -291,7 +351,7 @@ class Encoder:
         text = self.m.normalise(text)
         if self.run:
             text = self._continue(text)
-        words = pretoken_pattern().findall(text)
+        words = pretokens(text)
         if words and not self.cut.match(text[-1]) and self._kind(words[-1][-1]) != "N" and words[-1] not in CONTRACTIONS:
             self.entry(words[:-1])
             self._last = words[-1][-1]
@@ -346,12 +406,17 @@ class Decoder:
         self.m, self.style, self.begun = merges, style, False
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
-        token = self.m.token[token_id]
+    def feed(self, ids) -> str:
+        """Text of the next ids: all that is settled by them."""
+        token = self.m.token
         if self.style == "tokens":
-            out = f" {token}" if self.begun else token
-            self.begun = True
+            out = " ".join([token[i] for i in ids])
+            out = f" {out}" if self.begun and out else out
+            self.begun = self.begun or bool(out)
             return out
+        return "".join([self._bytes(token[i]) for i in ids])
+
+    def _bytes(self, token: str) -> str:
         if token in self.m.special:
             return self.machine.decode(b"", True) + token
         suffix = self.m.suffix
@@ -363,23 +428,31 @@ class Decoder:
         return self.machine.decode(b"", True)
 
 
-class Cache(dict):
-    """Pre-token -> (number of ids, ids as text, decoded text, ids), emptied when full."""
+class Cache:
+    """Ids of pre-tokens as packed 32-bit numbers, in two generations of bounded size: the
+    pre-tokens met lately, and those before them."""
 
     def __init__(self, merges: Merges):
-        super().__init__()
         self.merges = merges
-
-    def spelled(self, ids: list[int]) -> tuple[int, str, str, list[int]]:
-        m = self.merges
-        return len(ids), " ".join([m.spelled_id[i] for i in ids]), " ".join([m.token[i] for i in ids]), ids
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self.spelled(self.merges.word(word))
-        if len(word) <= 64:
-            self[word] = out
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[int]:
+        known, miss = self.words.get, self._miss
+        out = array("i")
+        for i in range(0, len(words), 50_000):
+            if len(self.words) >= CACHE_WORDS:
+                self.older, self.words = self.words, {}
+                known = self.words.get
+            out.frombytes(b"".join([known(w) or miss(w) for w in words[i:i + 50_000]]))
+        return out.tolist()
+
+    def _miss(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = array("i", self.merges.word(word)).tobytes()
+        if len(word) <= LONGEST_CACHED:
+            self.words[word] = out
         return out
 
 
@@ -395,41 +468,43 @@ def load(text: str) -> tuple[Merges, Cache]:
     return _LOADED[key]
 
 
-def encode_text(text: str | None, merges: Merges, chunk: int = CHUNK) -> list[int]:
-    """Ids of one text."""
-    ids: list[int] = []
-    e = Encoder(merges, lambda words: [ids.extend(merges.word(w)) for w in words], ids.append, ids.extend, chunk)
+def feed_all(text: str | None, merges: Merges, put, words=None, chunk: int = CHUNK) -> None:
+    """Run a text through the transducer; ``put`` gets the ids as they become final, those
+    of whole pre-tokens from ``words``."""
+    words = words or (lambda pretokens: [i for w in pretokens for i in merges.word(w)])
+    e = Encoder(merges, lambda pretokens: put(words(pretokens)), lambda i: put([i]), put, chunk)
     for i in range(0, len(text or ""), chunk):
         e.feed(text[i:i + chunk])
     e.finish()
+
+
+def encode_text(text: str | None, merges: Merges, chunk: int = CHUNK) -> list[int]:
+    """Ids of one text."""
+    ids: list[int] = []
+    feed_all(text, merges, ids.extend, chunk=chunk)
     return ids
 
 
 def decode_ids(ids, merges: Merges, style: str = "tokens") -> str:
     """Text of a list of ids."""
     d = Decoder(merges, style)
-    return "".join([d.feed(i) for i in ids]) + d.finish()
+    return d.feed(ids) + d.finish()
 
 
 def digest_text(text: str, merges: Merges, cache: Cache) -> tuple[int, str, str]:
-    """Tokens, SHA-256 of the ids and of the decoded text, both hashed as they appear."""
-    n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+    """Tokens, SHA-256 of the ids and of the text decoded from them: ids are hashed and
+    decoded as they become final, and never held together."""
+    n, ids_hash, text_hash, decoder, spelled = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges), merges.spelled
 
-    def put(entries):
+    def put(ids):
         nonlocal n
-        entries = [e for e in entries if e[0]]
-        if entries:
-            lead = " " if n else ""
-            ids_hash.update((lead + " ".join([e[1] for e in entries])).encode())
-            text_hash.update((lead + " ".join([e[2] for e in entries])).encode())
-            n += sum([e[0] for e in entries])
-
-    one = cache.__getitem__
-    e = Encoder(merges, lambda words: put(map(one, words)), lambda i: put([cache.spelled([i])]),
-                lambda ids: put([cache.spelled(ids)]))
-    for i in range(0, len(text), CHUNK):
-        e.feed(text[i:i + CHUNK])
-    e.finish()
+        if ids:
+            ids_hash.update(((" " if n else "") + " ".join([spelled[i] for i in ids])).encode())
+            text_hash.update(decoder.feed(ids).encode())
+            n += len(ids)
+
+    feed_all(text, merges, put, cache.ids)
+    text_hash.update(decoder.finish().encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -444,44 +519,26 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_cached(text: str, cache: Cache) -> tuple[list[int], str]:
-    """Ids of one text and their decoded text (style "tokens"), pre-tokens from the cache."""
-    ids: list[int] = []
-    parts: list[str] = []
-    one = cache.__getitem__
-
-    def put(entries):
-        for e in entries:
-            if e[0]:
-                ids.extend(e[3])
-                parts.append(e[2])
-
-    e = Encoder(cache.merges, lambda words: put(map(one, words)), lambda i: put([cache.spelled([i])]),
-                lambda part: put([cache.spelled(part)]))
-    for i in range(0, len(text), CHUNK):
-        e.feed(text[i:i + CHUNK])
-    e.finish()
-    return ids, " ".join(parts)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids",
            sha_col: str = "decoded_sha256") -> DataFrame:
-    """``docs`` plus an ``array<int>`` column of ids and the SHA-256 of their decoded text."""
+    """``docs`` plus an ``array<int>`` column of ids and the SHA-256 of the text that they
+    decode to.  A column that is called like one of the two is kept as ``<name>_in``."""
     model = _shared(docs.sparkSession, path)
+    docs, (text_col,) = set_aside(docs, [ids_col, sha_col], [text_col])
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
                        + [f"`{ids_col}` array<int>, `{sha_col}` string"])
 
     def run(batches):
-        _, cache = load(model.value)
+        merges, cache = load(model.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
+            column = batch.column(names.index(text_col))
             for first, _, offsets in text_blocks(column):
                 rows = batch.slice(first, len(offsets) - 1)
                 flat, ends, sha = array("i"), [0], []
                 for t in column.slice(first, len(offsets) - 1):
-                    ids, decoded = encode_cached(t.as_py() or "", cache)
-                    flat.extend(ids)
+                    feed_all(t.as_py(), merges, flat.extend, cache.ids)
+                    decoded = decode_ids(flat[ends[-1]:], merges)
                     ends.append(len(flat))
                     sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(flat), pa.int32()))
@@ -493,8 +550,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded",
            style: str = "bytes") -> DataFrame:
-    """``rows`` plus the text of their ids."""
+    """``rows`` plus the text of their ids (a column of that name is kept as ``<name>_in``)."""
     model = _shared(rows.sparkSession, path)
+    rows, (ids_col,) = set_aside(rows, [out_col], [ids_col])
     names = rows.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{out_col}` string"])
 
@@ -502,7 +560,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str
         merges, _ = load(model.value)
         for batch in batches:
             texts = [decode_ids(ids or [], merges, style)
-                     for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+                     for ids in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out_col])
 
     return rows.mapInArrow(run, schema)
