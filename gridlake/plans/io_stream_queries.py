@@ -85,12 +85,16 @@ def head_sample(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     """``events`` as a file stream, whether the table is one file or a folder."""
-    return spark.readStream.schema(FX.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return (spark.readStream.schema(FX.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
+            .parquet(SS.stream_path(f"{sf_dir.rstrip('/')}/events.parquet")))
 
 
 def _solar_stream(spark, sf_dir):
     """The ``solar`` derivation applied to a stream of ``events`` rows."""
-    ev = _event_stream(spark, sf_dir)
+    return _solar_events(_event_stream(spark, sf_dir))
+
+
+def _solar_events(ev):
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("double")
     power = (F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
               .when(F.col("event_type") == "signup", -F.col("value")).otherwise(F.col("value")))
@@ -106,8 +110,9 @@ def _solar_stream(spark, sf_dir):
 @register("stream_dedup", sql=S.with_ctes(S.SOLAR, S.SOLAR_DEDUP)
           + "SELECT site_id, ts, row_id, ghi, pv_kw FROM solar_d", doubles=["ghi", "pv_kw"], operators=("STR1", "WIN8"))
 def stream_dedup(spark, sf_dir):
-    """The kept rows equal the batch de-duplication in any order of arrival."""
-    out = SS.run_update(SS.first_rows(_solar_stream(spark, sf_dir)), ["site_id", "ts"], "dedup")
+    """The kept rows equal the batch de-duplication in any order of arrival; the state
+    holds the keys of two hours and of one trigger."""
+    out, _ = SS.sealed_first_rows(_solar_stream(spark, sf_dir), _solar_events(FX.table(spark, sf_dir, "events")))
     return out.select("site_id", X.from_event_time("ts").alias("ts"), "row_id", "ghi", "pv_kw")
 
 
@@ -135,8 +140,8 @@ SELECT site_id, ts AS window_start, ts + INTERVAL 1 HOUR AS window_end, count(*)
 FROM solar GROUP BY site_id, ts""", doubles=["ghi_sum", "ghi_mean", "pv_kw_sum", "pv_kw_mean"],
           operators=("STR3",))
 def stream_totals(spark, sf_dir):
-    agg = SS.window_totals(_solar_stream(spark, sf_dir), ["ghi", "pv_kw"], "1 hour", None)
-    out = SS.run_update(agg, ["site_id", "window_start"], "totals")
+    """Windows are sealed two hours after their end, late rows corrected."""
+    out, _ = SS.sealed_totals(_solar_stream(spark, sf_dir), _solar_events(FX.table(spark, sf_dir, "events")), ["ghi", "pv_kw"])
     return out.select("site_id", "window_start", "window_end", "n",
                       "ghi_sum", "ghi_mean", "pv_kw_sum", "pv_kw_mean")
 
@@ -146,7 +151,7 @@ def _telemetry_stream(spark, sf_dir):
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("double")
     return ev.select(
         F.col("event_id").alias("row_id"), (F.col("user_id") % FX.N_SITES).cast("int").alias("site_id"),
-        F.col("ts"), (F.lit(49.4) + k / F.lit(80.0)).alias("frequency"),
+        X.to_event_time(F.col("ts").cast("timestamp_ntz")).alias("ts"), (F.lit(49.4) + k / F.lit(80.0)).alias("frequency"),
         (F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))).alias("p_battery"))
 
 
@@ -173,6 +178,8 @@ FROM sb JOIN rec ON sb.site_id = rec.site_id AND sb.rn = rec.rn"""
 @register("stream_state", sql=STATE_SQL, doubles=["frequency_lag_1", "frequency_ramp", "energy_kwh"],
           operators=("STR4", "ST2", "WIN1", "WIN3"))
 def stream_state(spark, sf_dir):
-    out = SS.series_after_stream(_telemetry_stream(spark, sf_dir), "frequency", "p_battery", "state")
+    """Rows wait in RocksDB until the watermark has passed their hour; sites with later
+    rows are worked out again."""
+    out, _ = SS.sealed_series(_telemetry_stream(spark, sf_dir), "frequency", "p_battery")
     return out.select("row_id", "site_id", "frequency_lag_1", "frequency_ramp", "energy_kwh")
 

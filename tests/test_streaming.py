@@ -3,12 +3,15 @@
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridlake.functions import exprs as X
 from gridlake.operators import merge as M
 from gridlake.operators import stateful as ST
 from gridlake.operators import validate as V
+from gridlake.plans.sequence import windowed
 from gridlake.sources import fixtures as FX
 from gridlake.streaming import streams as SS
 
@@ -81,18 +84,98 @@ def test_window_totals_match_batch(spark, sf_small, solar_files):
         assert got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9
 
 
-def test_stateful_stream_matches_batch(spark, sf_small):
-    t = FX.telemetry(spark, sf_small)
-    folder, _ = _write_parts(t, 3)
+def _check_series(spark, t, folder, watermark):
     stream = SS.read_stream(spark, folder, t.schema, max_files_per_trigger=1)
-    out = SS.run_available_now(SS.stateful_series(stream, "frequency", "p_battery"), "state")
-    got = {r.row_id: (r.frequency_lag_1, r.energy_kwh) for r in out.collect()}
-    batch = ST.soc_balance(t).select("row_id", "energy_kwh").collect()
-    assert len(got) == len(batch)
+    out, report = SS.sealed_series(stream, "frequency", "p_battery", watermark)
+    got = {r.row_id: r for r in out.collect()}
+    batch = windowed(t, lambda w: {"lag": F.lag("frequency", 1).over(w)}, halo=1)
+    batch = ST.soc_balance(batch).collect()
+    assert len(got) == len(batch) == report.rows
     for r in batch:
-        assert abs(got[r.row_id][1] - r.energy_kwh) < 1e-6
-    firsts = [v for v in got.values() if v[0] is None]
-    assert len(firsts) == t.select("site_id").distinct().count()
+        s = got[r.row_id]
+        assert s.ts == r.ts and s.site_id == r.site_id and s.frequency_lag_1 == r.lag
+        assert s.frequency_ramp == (None if r.lag is None else pytest.approx(r.frequency - r.lag, abs=1e-12))
+        assert abs(s.energy_kwh - r.energy_kwh) < 1e-6
+    return report
+
+
+def test_series_in_order_leaves_only_its_carry(spark, sf_small):
+    t = FX.telemetry(spark, sf_small)
+    folder, pdf = _write_parts(t, 4)
+    report = _check_series(spark, t, folder, "2 hours")
+    sites = pdf.site_id.nunique()
+    assert report.dropped == 0
+    # at the end no row waits: the last value and energy of each site are left
+    assert report.last_state == sites
+    # before that, buckets (and their timers) of one trigger and of the watermark's delay
+    hours = pdf.ts.dt.floor("h")
+    assert report.largest_state < sites + 2 * pdf.groupby("site_id").ts.apply(lambda x: x.dt.floor("h").nunique()).sum() / 2
+    assert hours.nunique() > 100
+
+
+def _shuffled_parts(df, n_parts):
+    """Rows dealt to files at random: every file spans the whole time."""
+    folder = tempfile.mkdtemp(prefix="gridlake-stream-shuffled-")
+    pdf = df.toPandas().sample(frac=1, random_state=3).reset_index(drop=True)
+    for i in range(n_parts):
+        path = os.path.join(folder, f"part-{i:03d}.parquet")
+        pdf.iloc[i::n_parts].to_parquet(path, index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(path, (1_700_000_000 + i,) * 2)
+    return folder
+
+
+@pytest.mark.parametrize("watermark,some_late", [("40 days", False), ("2 hours", True)])
+def test_series_of_shuffled_files(spark, sf_small, watermark, some_late):
+    t = FX.telemetry(spark, sf_small)
+    report = _check_series(spark, t, _shuffled_parts(t, 3), watermark)
+    assert (report.dropped > 0) == some_late and report.last_state <= t.select("site_id").distinct().count()
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_sealed_first_rows_and_totals(spark, sf_small, shuffled):
+    s = FX.solar(spark, sf_small)
+    folder = _shuffled_parts(s, 4) if shuffled else _write_parts(s, 6)[0]
+    source = s.withColumn("ts", X.to_event_time("ts"))
+    keys = s.select("site_id", "ts").distinct().count()
+
+    def stream():
+        return SS.read_stream(spark, folder, s.schema, max_files_per_trigger=1)
+
+    out, report = SS.sealed_first_rows(stream(), source)
+    got = sorted((r.site_id, r.ts, r.row_id) for r in out.withColumn("ts", X.from_event_time("ts")).collect())
+    assert got == sorted((r.site_id, r.ts, r.row_id) for r in M.dedup_first(s).collect())
+    assert (report.dropped > 0) == shuffled and report.rows == s.count()
+    assert report.last_state <= 1  # the marker
+    if not shuffled:
+        assert report.largest_state < keys / 3
+
+    out, report = SS.sealed_totals(stream(), source, ["pv_kw"])
+    want = s.groupBy("site_id", "ts").agg(F.count(F.lit(1)).alias("n"), F.sum("pv_kw").alias("s"), F.avg("pv_kw").alias("m")).collect()
+    got = {(r.site_id, r.window_start): (r.n, r.pv_kw_sum, r.pv_kw_mean) for r in out.collect()}
+    assert got.keys() == {(r.site_id, r.ts) for r in want}
+    for r in want:
+        n, total, mean = got[(r.site_id, r.ts)]
+        assert n == r.n and total == (None if r.s is None else pytest.approx(r.s)) and mean == (None if r.m is None else pytest.approx(r.m))
+    assert (report.dropped > 0) == shuffled
+
+
+def test_bounded_sums_equal_the_loop():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 500):
+        steps, x, want = rnd.normal(0, 3, n), 1.0, []
+        for a in steps:
+            x = min(max(x + a, -2.0), 4.0)
+            want.append(x)
+        assert np.allclose(SS.bounded_sums(steps, -2.0, 4.0, 1.0), want)
+
+
+def test_streams_read_one_file_and_a_folder(spark, sf_small, tmp_path):
+    ev = FX.table(spark, sf_small, "events")
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    for folder in (sf_small, str(tmp_path)):
+        path = SS.stream_path(f"{folder}/events.parquet")
+        rows = SS.run_available_now(spark.readStream.schema(ev.schema).parquet(path), "layout")
+        assert rows.count() == ev.count()
 
 
 @pytest.fixture(scope="module")
