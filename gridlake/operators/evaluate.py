@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.plans.materialize import join_small
-from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, number_rows, series_counts
+from gridlake.plans.sequence import SeriesSpec, number_rows, series_counts, spec_of
 
 # Fixed split parameters of the reference: last 20 % held out (test size is
 # ceil(0.2 n)); a 70 / 30 chronological split (int(0.7 n) training rows);
@@ -20,13 +20,16 @@ STRESS_TRAIN_FRACTION = 0.7
 N_FOLDS = 5
 
 
-def with_lengths(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
-    numbered = df if "rn" in df.columns else number_rows(df, spec)
+def with_lengths(df: DataFrame, spec: SeriesSpec | None = None) -> DataFrame:
+    """Position ``rn`` and length ``n_rows`` of the series as it is now: a number that came
+    along may have gaps after a filter, so rows are always numbered here."""
+    spec = spec_of(df, spec)
+    numbered = number_rows(df, spec)
     return join_small(numbered, series_counts(numbered, spec), list(spec.key), "left",
                       name="lengths")
 
 
-def chrono_split(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
+def chrono_split(df: DataFrame, spec: SeriesSpec | None = None) -> DataFrame:
     """WIN11: ``holdout_role`` (last ceil(0.2 n) rows are 'test') and
     ``stress_role`` (first int(0.7 n) rows are 'train')."""
     d = with_lengths(df, spec)
@@ -37,7 +40,7 @@ def chrono_split(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
              .withColumn("stress_role", F.when(F.col("rn") < train_70, "train").otherwise("test")))
 
 
-def cv_folds(df: DataFrame, n_splits: int = N_FOLDS, spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
+def cv_folds(df: DataFrame, n_splits: int = N_FOLDS, spec: SeriesSpec | None = None) -> DataFrame:
     """WIN12: expanding-window folds of ``TimeSeriesSplit(n_splits)``.
 
     Fold i tests rows [n - (k - i) t, n - (k - i - 1) t) with t = n // (k + 1)

@@ -21,7 +21,7 @@ from pyspark.sql.types import NumericType, StringType
 from gridlake.operators.clean import ffill_bfill
 from gridlake.plans.grouping import exact_quantiles, modal_values
 from gridlake.plans.materialize import join_small
-from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec
+from gridlake.plans.sequence import SeriesSpec, spec_of
 
 # Fixed keyword lists of the reference's imputation policy and leakage filter.
 TEMPORAL_KEYWORDS = ("lag", "roll", "diff", "ramp")
@@ -32,7 +32,7 @@ LEAKAGE_KEYWORDS = ("lag", "roll", "ramp")
 PV_LEAKAGE = ("pv_roll_mean_3", "pv_roll_std_3", "pv_lag_1", "pv_lag_3", "pv_ramp_rate")
 WIND_LEAKAGE = ("wind_roll_mean_3", "wind_roll_std_3", "wind_lag_1", "wind_lag_3", "wind_ramp")
 
-KEY_COLUMNS = ("site_id", "row_id", "rn", "ts")
+KEY_COLUMNS = ("site_id", "row_id", "row_id_solar", "row_id_pv", "row_id_wind", "rn", "ts")
 
 
 @dataclass(frozen=True)
@@ -79,10 +79,11 @@ def plan_imputation(df: DataFrame, policy: ImputePolicy = PV_POLICY) -> dict[str
             "mode": text_cols(df, policy.exclude)}
 
 
-def impute(df: DataFrame, policy: ImputePolicy = PV_POLICY, spec: SeriesSpec = DEFAULT_SPEC) -> DataFrame:
+def impute(df: DataFrame, policy: ImputePolicy = PV_POLICY, spec: SeriesSpec | None = None) -> DataFrame:
     """ML1: temporal columns -> forward then backward fill along the series;
     every other numeric column -> its median per key (infinite values count
     as missing, AGG8); text columns -> most frequent value ('' if none)."""
+    spec = spec_of(df, spec)
     plan = plan_imputation(df, policy)
     key = list(spec.key)
     out = ffill_bfill(df, plan["temporal"], spec) if plan["temporal"] else df

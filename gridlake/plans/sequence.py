@@ -54,6 +54,14 @@ class SeriesSpec:
 DEFAULT_SPEC = SeriesSpec()
 
 
+def spec_of(df: DataFrame, spec: SeriesSpec | None = None) -> SeriesSpec:
+    """``spec``, or the default one with those of its order columns that the table has (a
+    merged table has no row number and is ordered by time alone)."""
+    if spec is not None:
+        return spec
+    return replace(DEFAULT_SPEC, order=tuple(c for c in DEFAULT_SPEC.order if c in df.columns))
+
+
 def largest_key(df: DataFrame, spec: SeriesSpec = DEFAULT_SPEC) -> int:
     """Rows of the largest key (one aggregate with map-side combining; a
     single number reaches the driver)."""

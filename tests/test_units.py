@@ -259,3 +259,127 @@ def test_cross_validate_folds(spark, sf_small):
     out = MD.cross_validate(d, feats, "pv_kw", lambda f, t: MD.forest_pipeline(f, t, 5, 3)).collect()
     assert sorted(r.fold for r in out) == [0, 1, 2, 3, 4]
     assert all(r.n > 0 and r.rmse >= 0 for r in out)
+
+
+def test_splits_number_rows_themselves(spark):
+    """Half of the numbered rows, chosen by a filter: numbers that came along have gaps."""
+    from gridlake.operators import evaluate as E
+    from gridlake.operators import telemetry as T
+    from gridlake.plans.sequence import number_rows
+
+    rows = [(1, f"2024-01-01 {i:02d}:00:00", i, float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "site_id int, ts string, row_id bigint, p_renewable double").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    half = number_rows(df).where("rn % 2 = 1")
+    split = E.chrono_split(half).collect()
+    assert sorted(r.rn for r in split) == list(range(10))
+    assert [r.holdout_role for r in sorted(split, key=lambda r: r.rn)] == ["train"] * 8 + ["test"] * 2
+    folds = E.cv_folds(half).where("role = 'test'").groupBy("fold").count().collect()
+    assert {r.fold: r["count"] for r in folds} == {k: 1 for k in range(5)}
+    hours = [r.hours for r in T.load_profile(half).orderBy("row_id").collect()]
+    assert hours == [pytest.approx(i / 30) for i in range(10)]
+
+
+def test_merged_tables_are_ordered_by_time(spark):
+    from gridlake.operators import evaluate as E
+    from gridlake.operators import prep as PR
+
+    rows = [(1, f"2024-01-01 {i:02d}:00:00", 7 - i, 10 + i, None if i in (0, 3) else float(i), None if i == 2 else float(i * i))
+            for i in range(6)]
+    df = spark.createDataFrame(rows, "site_id int, ts string, row_id_solar bigint, row_id_wind bigint, solar_lag_1 double, "
+                                     "wind_kw double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = PR.impute(df, PR.MERGED_POLICY).orderBy("ts").collect()
+    assert [r.solar_lag_1 for r in got] == [1.0, 1.0, 2.0, 2.0, 4.0, 5.0]
+    assert got[2].wind_kw == 9.0 and got[0].row_id_solar == 7
+    assert [r.holdout_role for r in E.chrono_split(df).orderBy("ts").collect()] == ["train"] * 4 + ["test"] * 2
+
+
+def _numpy_quantiles(rows, qs):
+    import numpy as np
+
+    by = {}
+    for k, v, w in rows:
+        for name, x in (("v", v), ("w", w)):
+            if x is not None:
+                by.setdefault((k, name), []).append(x)
+    return {kn: [float(np.quantile(x, q)) for q in qs[kn[1]]] for kn, x in by.items()}
+
+
+@pytest.mark.parametrize("held", [10**9, 0])
+def test_quantiles_held_and_selected(spark, held):
+    """Continuous, discrete, constant, missing and skewed columns, a large and tiny keys."""
+    import random
+
+    from gridlake.plans.grouping import exact_quantiles
+
+    rnd = random.Random(2)
+    rows = [(1, rnd.gauss(0, 5), float(rnd.choice([1, 1, 1, 2, 9]))) for _ in range(30_000)]
+    rows += [(2, rnd.expovariate(1) ** 3 if rnd.random() < .8 else None, 7.0) for _ in range(4_000)]
+    rows += [(3, None, 1.0), (3, None, 2.0), (4, 5.0, None), (5, None, None)] + [(6, float(i), -float(i)) for i in range(11)]
+    df = spark.createDataFrame(rows, "k int, v double, w double").repartition(5)
+    qs = {"v": [0.25, 0.5, 0.75, 0.9], "w": [0.0, 0.5, 1.0]}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], {n: (F.col(n), q) for n, q in qs.items()}, held_cells=held).collect()}
+    want = _numpy_quantiles(rows, qs)
+    assert set(got) == {k for k, _ in want} == {1, 2, 3, 4, 6}
+    for (k, name), values in want.items():
+        assert got[k][name] == pytest.approx(values, abs=1e-12)
+
+
+def test_selection_shuffles_a_small_share(spark):
+    """Values between the brackets: about one in a hundred per wanted rank."""
+    from gridlake.plans import grouping as G
+
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.rand(3).alias("v"))
+    seen = []
+    ranked = G._ranked
+    try:
+        G._ranked = lambda counts, series: (seen.append(counts.count()), ranked(counts, series))[1]
+        out = G.exact_quantiles(df, ["k"], {"q": (F.col("v"), [0.25, 0.5, 0.75])}, held_cells=0).first()
+    finally:
+        G._ranked = ranked
+    assert seen and seen[0] < 0.05 * 200_000
+    assert out.q == pytest.approx([0.25, 0.5, 0.75], abs=0.01)
+
+
+def test_a_missed_bracket_falls_back_to_sorting(spark, monkeypatch):
+    from gridlake.plans import grouping as G
+
+    monkeypatch.setattr(G, "_selected_quantiles", lambda *a: None)
+    df = spark.range(101).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    assert G.exact_quantiles(df, ["k"], {"q": (F.col("v"), [0.1, 0.505])}, held_cells=0).first().q == [10.0, 50.5]
+
+
+def test_counter_normal_is_normal_and_fixed(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "row_id")
+    n = df.select("row_id", X.counter_normal(42, "ghi", "row_id").alias("a"), X.counter_normal(42, "pv", "row_id").alias("b"))
+    m = n.agg(F.avg("a").alias("m"), F.stddev("a").alias("s"), F.corr("a", "b").alias("c"), F.kurtosis("a").alias("k")).first()
+    assert abs(m.m) < 0.03 and abs(m.s - 1) < 0.03 and abs(m.c) < 0.03 and abs(m.k) < 0.15
+    other = df.repartition(7).select("row_id", X.counter_normal(42, "ghi", "row_id").alias("a"))
+    assert n.select("row_id", "a").exceptAll(other).count() == 0
+
+
+def test_ridge_equals_numpy_and_carries_on(spark):
+    import numpy as np
+
+    from gridlake.operators import ridge as RG
+
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(3, 2, (300, 3))
+    y = x @ [1.5, -2.0, 0.3] + 4 + rnd.normal(0, 0.1, 300)
+    rows = [(i % 2, float(a), float(b), float(c), float(t)) for i, ((a, b, c), t) in enumerate(zip(x, y))] + [(0, None, 1.0, 1.0, 1e9)]
+    df = spark.createDataFrame(rows, "site_id int, a double, b double, c double, t double")
+    model = {r.site_id: r for r in RG.fit(df, ["a", "b", "c"], "t", 0.5).collect()}
+    for k in (0, 1):
+        xs, ys = x[k::2], y[k::2]
+        c = np.cov(xs.T, bias=True) + 0.5 * np.eye(3)
+        w = np.linalg.solve(c, ((xs - xs.mean(0)).T @ (ys - ys.mean())) / len(xs))
+        assert model[k].weights == pytest.approx(w.tolist()) and model[k].intercept == pytest.approx(ys.mean() - w @ xs.mean(0))
+    # a series that follows its lags exactly is carried on by the same rule
+    series = [1.0, 2.0, 0.5, 1.0]
+    for _ in range(40):
+        series.append(0.3 + 0.5 * series[-1] - 0.2 * series[-2] + 0.1 * series[-4])
+    s = spark.createDataFrame([(1, T0 + dt.timedelta(hours=i), i, v) for i, v in enumerate(series[:30])] + [(2, T0, 0, 1.0)],
+                              "site_id int, ts timestamp_ntz, row_id bigint, v double")
+    known = spark.createDataFrame([(1, 0.3, [0.5, -0.2, 0.1]), (2, 0.0, [1.0, 0.0, 0.0])], "site_id int, intercept double, weights array<double>")
+    got = {(r.site_id, r.step): r.prediction for r in RG.forecast(known, s, "v", 5).collect()}
+    assert got == {(1, k): pytest.approx(series[29 + k]) for k in range(1, 6)}  # site 2 is shorter than its longest lag
