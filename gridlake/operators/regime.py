@@ -97,7 +97,8 @@ def predictive_term(df: DataFrame, renewable: str = "p_renewable", load: str = "
     uncertainty (rolling std of the renewable forecast error), the
     uncertainty-discounted predictive power term and the frequency risk
     index ``w1 vol + w2 uncertainty + w3 (1 - complementarity) + w4 SOC
-    risk`` (the complementarity term only when ``comp`` is given)."""
+    risk``.  ``comp`` names the complementarity; a row without one counts as not
+    complementary at all.  Without ``comp`` the term is left out."""
     rows = p.uncertainty_rows
 
     def first(w):
@@ -120,7 +121,7 @@ def predictive_term(df: DataFrame, renewable: str = "p_renewable", load: str = "
                          * (F.lit(1.0) - F.col("uncertainty_norm")))
              .withColumn("soc_risk", soc_risk)
              .withColumn("fri", F.lit(w1) * F.col("vol_norm") + F.lit(w2) * F.col("uncertainty_norm")
-                         + (F.lit(w3) * (F.lit(1.0) - F.col(comp)) if comp else F.lit(0.0))
+                         + (F.lit(w3) * (F.lit(1.0) - F.coalesce(F.col(comp), F.lit(0.0))) if comp else F.lit(0.0))
                          + F.lit(w4) * F.col("soc_risk"))
              .withColumn("fri_alert", F.col("fri") > p.fri_threshold)
              .drop("_umax", "_vmax"))

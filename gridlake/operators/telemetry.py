@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridlake.functions.exprs import counter_normal
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import DEFAULT_SPEC, SeriesSpec, number_rows, windowed
 
@@ -67,8 +68,9 @@ def load_profile(df: DataFrame, renewable: str = "p_renewable", p: GridParams =
                  spec: SeriesSpec = DEFAULT_SPEC, noise_seed: int | None = None) -> DataFrame:
     """SC17: ``hours = (i * dt) % 24``; load = 1.7 * mean(renewable) *
     (1 + 0.25 sin(2 pi (h - 6) / 24)) [+ N(0, 40)], floored at 800 kW.
-    ``noise_seed=None`` turns the noise off (reproducible form)."""
-    numbered = df if "rn" in df.columns else number_rows(df, spec)
+    ``noise_seed=None`` turns the noise off; with a seed it depends on the seed, the key
+    and the position alone."""
+    numbered = number_rows(df, spec)
     means = numbered.groupBy(*spec.key).agg(F.avg(renewable).alias("_mean_ren"))
     j = join_small(numbered, means, list(spec.key), "left", name="renewable_mean")
     hours = (F.col("rn").cast("double") * F.lit(p.dt_hours)) % F.lit(24.0)
@@ -76,7 +78,7 @@ def load_profile(df: DataFrame, renewable: str = "p_renewable", p: GridParams =
                                                    / F.lit(24.0))
     load = F.lit(p.load_factor) * F.col("_mean_ren") * daily
     if noise_seed is not None:
-        load = load + F.randn(noise_seed) * F.lit(p.load_noise_kw)
+        load = load + counter_normal(noise_seed, "load", *spec.key, "rn") * F.lit(p.load_noise_kw)
     return (j.withColumn("hours", hours)
              .withColumn("p_load_profile", F.greatest(load, F.lit(p.load_floor_kw)))
              .drop("_mean_ren"))

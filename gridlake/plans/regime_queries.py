@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridlake.operators import features as FE
 from gridlake.operators import regime as R
 from gridlake.plans.feature_queries import ENGINEERED_CTES, engineered_features
+from gridlake.plans.merge_queries import merged_table
 from gridlake.plans.registry import register
 from gridlake.sources import fixture_sql as S
 from gridlake.sources import fixtures as FX
@@ -62,10 +65,12 @@ def regime_label(spark, sf_dir):
 W = "OVER (PARTITION BY site_id ORDER BY ts, row_id"
 TEL = ["frequency", "soc", "p_renewable", "p_load", "p_thermal", "p_battery"]
 
-RISK_SQL = S.with_ctes(S.TELEMETRY, f"""a AS (
+RISK_SQL = S.with_ctes(S.TELEMETRY, S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP, S.MERGED, """tc AS (
+  SELECT t.*, m.complementarity_index FROM telemetry t
+  LEFT JOIN merged m ON m.site_id = t.site_id AND m.ts = date_trunc('hour', t.ts))""", f"""a AS (
   SELECT *, CAST(row_number() {W}) - 1 AS BIGINT) AS rn,
          lag(p_renewable, 1) {W}) AS forecast_renewable, lag(p_load, 1) {W}) AS forecast_load
-  FROM telemetry)""", """b AS (
+  FROM tc)""", """b AS (
   SELECT *, p_renewable - forecast_renewable AS forecast_error,
          abs(p_renewable - forecast_renewable) AS renewable_volatility FROM a)""", f"""u AS (
   SELECT *, stddev_samp(forecast_error) {W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
@@ -74,13 +79,14 @@ RISK_SQL = S.with_ctes(S.TELEMETRY, f"""a AS (
   FROM u GROUP BY site_id)""", f"""n AS (
   SELECT u.*, coalesce({sdiv('u.forecast_uncertainty', 'st.umax')}, {c(0)}) AS uncertainty_norm,
          coalesce({sdiv('u.renewable_volatility', 'st.vmax')}, {c(0)}) AS vol_norm,
-         abs(u.soc - {c(0.5)}) / {c(0.5)} AS soc_risk
+         abs(u.soc - {c(0.5)}) / {c(0.5)} AS soc_risk,
+         {c(0.25)} * ({c(1)} - coalesce(u.complementarity_index, {c(0)})) AS _comp_term
   FROM u JOIN st ON u.site_id = st.site_id)""") + f"""
-SELECT *, {c(0.25)} * vol_norm + {c(0.25)} * uncertainty_norm + {c(0)} + {c(0.25)} * soc_risk > 0.5
-            AS fri_alert
+SELECT * EXCLUDE (_comp_term),
+       {c(0.25)} * vol_norm + {c(0.25)} * uncertainty_norm + _comp_term + {c(0.25)} * soc_risk > 0.5 AS fri_alert
 FROM (
   SELECT *, {c(-0.5)} * (forecast_renewable - forecast_load) * ({c(1)} - uncertainty_norm) AS p_predictive,
-         {c(0.25)} * vol_norm + {c(0.25)} * uncertainty_norm + {c(0)} + {c(0.25)} * soc_risk AS fri,
+         {c(0.25)} * vol_norm + {c(0.25)} * uncertainty_norm + _comp_term + {c(0.25)} * soc_risk AS fri,
          p_renewable - p_load AS renewable_excess,
          greatest(p_renewable - p_load - {c(7000)}, {c(0)}) AS curtailment_kw,
          least(p_renewable, p_load + {c(7000)}) AS p_renewable_effective
@@ -88,13 +94,18 @@ FROM (
 
 
 @register("grid_risk", sql=RISK_SQL,
-          doubles=TEL + ["forecast_renewable", "forecast_load", "forecast_error", "renewable_volatility",
+          doubles=TEL + ["complementarity_index", "forecast_renewable", "forecast_load", "forecast_error", "renewable_volatility",
                          "forecast_uncertainty", "uncertainty_norm", "vol_norm", "soc_risk",
                          "p_predictive", "fri", "renewable_excess", "curtailment_kw",
                          "p_renewable_effective"],
           operators=("DOC4", "DOC6", "DOC7", "DOC2"))
 def grid_risk(spark, sf_dir):
-    return R.curtailment(R.predictive_term(FX.telemetry(spark, sf_dir)))
+    """The risk index of the merged table: telemetry rows with the complementarity of
+    their site and hour."""
+    hours = merged_table(spark, sf_dir).select("site_id", F.col("ts").alias("_hour"), "complementarity_index")
+    tel = FX.telemetry(spark, sf_dir).withColumn("_hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    rows = tel.join(hours, ["site_id", "_hour"], "left").drop("_hour")
+    return R.curtailment(R.predictive_term(rows, comp="complementarity_index"))
 
 
 @register("battery_requirement", sql=S.with_ctes(S.TELEMETRY) + f"""

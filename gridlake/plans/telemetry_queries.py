@@ -27,17 +27,28 @@ RN_CTE = """tr AS (
   FROM telemetry)"""
 
 
-@register("load_profile", sql=S.with_ctes(S.TELEMETRY, RN_CTE) + f"""
+def _load_sql(noise: str) -> str:
+    return S.with_ctes(S.TELEMETRY, RN_CTE) + f"""
 SELECT * EXCLUDE (m),
-       greatest({c(1.7)} * m * ({c(1)} + {c(0.25)} * sin(2 * pi() * (hours - {c(6)}) / {c(24)})),
+       greatest({c(1.7)} * m * ({c(1)} + {c(0.25)} * sin(2 * pi() * (hours - {c(6)}) / {c(24)})){noise},
                 {c(800)}) AS p_load_profile
 FROM (SELECT *, (CAST(rn AS DOUBLE) * {DT}) % {c(24)} AS hours
-      FROM (SELECT *, avg(p_renewable) OVER (PARTITION BY site_id) AS m FROM tr))""",
+      FROM (SELECT *, avg(p_renewable) OVER (PARTITION BY site_id) AS m FROM tr))"""
+
+
+@register("load_profile", sql=_load_sql(""),
           doubles=TEL_COLS + ["hours", "p_load_profile"], operators=("SC17",))
 def load_profile(spark, sf_dir):
     return T.load_profile(FX.telemetry(spark, sf_dir))
 
 
+@register("load_profile_noise", sql=_load_sql(f" + {S.normal_sql(42, 'load', 'site_id', 'rn')} * {c(40)}"),
+          doubles=TEL_COLS + ["hours", "p_load_profile"], operators=("SC17",))
+def load_profile_noise(spark, sf_dir):
+    """The profile with its noise of 40 kW."""
+    return T.load_profile(FX.telemetry(spark, sf_dir), noise_seed=42)
+
+
 @register("battery_sizing", sql=S.with_ctes(S.TELEMETRY) + f"""
 SELECT site_id, imbalance_std_kw, {c(2)} * imbalance_std_kw AS required_kw, {c(7000)} AS rated_kw,
        {c(7000)} >= {c(2)} * imbalance_std_kw AS adequate,
@@ -107,40 +118,52 @@ KPI_SEL = f"""avg(frequency) AS frequency_mean_hz, stddev_samp(frequency) AS fre
   avg(p_thermal) AS thermal_power_mean, avg(p_thermal) / {c(5000)} AS thermal_utilization,
   avg(abs(ace)) AS ace_mean_kw, max(abs(ace)) AS ace_max_kw,
   avg(abs(rocof)) AS rocof_mean, max(abs(rocof)) AS rocof_max,
-  avg(abs(p_vsm)) AS p_vsm_mean, avg(abs(p_soc)) AS p_soc_mean"""
+  avg(abs(p_vsm)) AS p_vsm_mean, avg(abs(p_soc)) AS p_soc_mean, avg(abs(p_agc)) AS p_agc_mean"""
 KPI_DOUBLES = ["frequency_mean_hz", "frequency_std_hz", "frequency_min_hz", "frequency_max_hz",
                "stability_rate", "battery_soc_mean", "battery_soc_std", "battery_power_mean",
                "battery_power_max", "thermal_power_mean", "thermal_utilization", "ace_mean_kw",
-               "ace_max_kw", "rocof_mean", "rocof_max", "p_vsm_mean", "p_soc_mean"]
+               "ace_max_kw", "rocof_mean", "rocof_max", "p_vsm_mean", "p_soc_mean", "p_agc_mean"]
+
+
+def _clamp_rec(base: str, x0: float, lo: float, hi: float) -> str:
+    """Recursive CTE ``rec(site_id, rn, before, after)`` over ``base(site_id, rn, a)``."""
+    return f"""rec AS (
+  SELECT site_id, rn, {c(x0)} AS before, least(greatest({c(x0)} + a, {c(lo)}), {c(hi)}) AS after
+  FROM {base} WHERE rn = 0
+  UNION ALL
+  SELECT b.site_id, b.rn, rec.after, least(greatest(rec.after + b.a, {c(lo)}), {c(hi)})
+  FROM rec JOIN {base} b ON b.site_id = rec.site_id AND b.rn = rec.rn + 1)"""
+
+
+#: The control terms with the AGC integral: ``agc``.
+AGC_CTES = "WITH RECURSIVE " + ",\n".join([S.TELEMETRY, TERMS_CTE, f"""ab AS (
+  SELECT *, ({c(5)} * ({c(50)} - frequency) + {c(0.5)} * (p_actual - p_command)) * {DT} AS a
+  FROM terms)""", _clamp_rec("ab", 0.0, -5000.0, 5000.0), """agc AS (
+  SELECT ab.* EXCLUDE (a), rec.after AS p_agc
+  FROM ab JOIN rec ON ab.site_id = rec.site_id AND ab.rn = rec.rn)"""]) + "\n"
 
 
-@register("telemetry_kpis", sql=S.with_ctes(S.TELEMETRY, TERMS_CTE)
-          + f"SELECT site_id, {KPI_SEL} FROM terms GROUP BY site_id",
+def agc_terms(spark, sf_dir):
+    return ST.agc_integral(T.control_terms(FX.telemetry(spark, sf_dir)))
+
+
+@register("telemetry_kpis", sql=AGC_CTES + f"SELECT site_id, {KPI_SEL} FROM agc GROUP BY site_id",
           doubles=KPI_DOUBLES, operators=("AGG17",))
 def telemetry_kpis(spark, sf_dir):
-    return T.telemetry_kpis(T.control_terms(FX.telemetry(spark, sf_dir)))
+    """The 18 values, the mean absolute AGC term among them."""
+    return T.telemetry_kpis(agc_terms(spark, sf_dir))
 
 
-@register("kpi_gate", sql=S.with_ctes(S.TELEMETRY, TERMS_CTE) + f"""
+@register("kpi_gate", sql=AGC_CTES + f"""
 SELECT *, targets_met >= 3 AS operational FROM (
   SELECT *, CAST(frequency_mean_hz BETWEEN {c(49.5)} AND {c(50.5)} AS INTEGER)
             + CAST(stability_rate > 0.95 AS INTEGER)
             + CAST(battery_soc_mean * 100 BETWEEN 45 AND 55 AS INTEGER)
             + CAST(ace_mean_kw < 300 AS INTEGER) AS targets_met
-  FROM (SELECT site_id, {KPI_SEL} FROM terms GROUP BY site_id))""",
+  FROM (SELECT site_id, {KPI_SEL} FROM agc GROUP BY site_id))""",
           doubles=KPI_DOUBLES, operators=("AGG18",))
 def kpi_gate(spark, sf_dir):
-    return T.kpi_gate(T.telemetry_kpis(T.control_terms(FX.telemetry(spark, sf_dir))))
-
-
-def _clamp_rec(base: str, x0: float, lo: float, hi: float) -> str:
-    """Recursive CTE ``rec(site_id, rn, before, after)`` over ``base(site_id, rn, a)``."""
-    return f"""rec AS (
-  SELECT site_id, rn, {c(x0)} AS before, least(greatest({c(x0)} + a, {c(lo)}), {c(hi)}) AS after
-  FROM {base} WHERE rn = 0
-  UNION ALL
-  SELECT b.site_id, b.rn, rec.after, least(greatest(rec.after + b.a, {c(lo)}), {c(hi)})
-  FROM rec JOIN {base} b ON b.site_id = rec.site_id AND b.rn = rec.rn + 1)"""
+    return T.kpi_gate(T.telemetry_kpis(agc_terms(spark, sf_dir)))
 
 
 SOC_BASE = f"""sb AS (
@@ -166,16 +189,9 @@ def soc_balance(spark, sf_dir):
     return ST.soc_balance(FX.telemetry(spark, sf_dir))
 
 
-AGC_SQL = "WITH RECURSIVE " + ",\n".join([S.TELEMETRY, TERMS_CTE, f"""ab AS (
-  SELECT *, ({c(5)} * ({c(50)} - frequency) + {c(0.5)} * (p_actual - p_command)) * {DT} AS a
-  FROM terms)""", _clamp_rec("ab", 0.0, -5000.0, 5000.0)]) + """
-SELECT ab.* EXCLUDE (a), rec.after AS p_agc
-FROM ab JOIN rec ON ab.site_id = rec.site_id AND ab.rn = rec.rn"""
-
-
-@register("agc_integral", sql=AGC_SQL, doubles=TERMS_DOUBLES + ["p_agc"], operators=("ST3",))
+@register("agc_integral", sql=AGC_CTES + "SELECT * FROM agc", doubles=TERMS_DOUBLES + ["p_agc"], operators=("ST3",))
 def agc_integral(spark, sf_dir):
-    return ST.agc_integral(T.control_terms(FX.telemetry(spark, sf_dir)))
+    return agc_terms(spark, sf_dir)
 
 
 RAMP_SQL = "WITH RECURSIVE " + ",\n".join([S.TELEMETRY, DISPATCH_CTE, f"""rec AS (
