@@ -75,6 +75,23 @@ def from_event_time(ts) -> Column:
     return _epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
+# --- noise ------------------------------------------------------------------
+
+def counter_normal(seed: int, name: str, *keys) -> Column:
+    """A standard normal number that depends on nothing but the seed, a name and the keys
+    of the row (Box-Muller over two 52-bit parts of an MD5): the same for any partitioning,
+    and on any engine that has MD5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name),
+                               *[F.coalesce(col(k).cast("string"), F.lit("-")) for k in keys]))
+
+    def part(start):
+        return F.conv(F.substring(digest, start, 13), 16, 10).cast("bigint").cast("double")
+
+    scale = F.lit(2.0 ** 52)
+    first, second = (part(1) + F.lit(1.0)) / scale, part(14) / scale
+    return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2.0 * math.pi) * second)
+
+
 # --- calendar --------------------------------------------------------------
 
 def hour(ts="ts") -> Column:

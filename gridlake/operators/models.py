@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from gridlake.functions.exprs import counter_normal
 from gridlake.operators import prep as PR
 
 # Fixed forest settings of the reference: 300 trees, depth 12, seed 42.
@@ -81,10 +82,13 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def add_noise(df: DataFrame, cols: list[str], std: float = NOISE_STD, seed: int = SEED) -> DataFrame:
-    """ML9: additive N(0, std) noise on every listed cell (seeded)."""
-    return df.select(*[(F.col(c) + F.randn(seed + i) * F.lit(std)).alias(c) if c in cols else F.col(c)
-                       for i, c in enumerate(df.columns)])
+def add_noise(df: DataFrame, cols: list[str], std: float = NOISE_STD, seed: int = SEED,
+              key=("site_id", "row_id")) -> DataFrame:
+    """ML9: additive N(0, std) noise on every listed cell.  The number of a cell depends on
+    the seed, its column and its row's key alone, so the same cells get the same noise on
+    any number of partitions."""
+    return df.select(*[(F.col(c) + counter_normal(seed, c, *key) * F.lit(std)).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def model_frame(df: DataFrame, target: str, strict_leakage: bool = False,

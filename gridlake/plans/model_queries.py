@@ -17,15 +17,18 @@ from gridlake.operators import features as FE
 from gridlake.operators import merge as M
 from gridlake.operators import models as MD
 from gridlake.operators import prep as PR
-from gridlake.plans.materialize import written_bytes
-from gridlake.plans.model_prep_queries import SPLIT_BASE, pv_imputed
+from gridlake.operators import ridge as RG
+from gridlake.operators import stress as ST
+from gridlake.plans.feature_queries import c
+from gridlake.plans.materialize import materialize, written_bytes
+from gridlake.plans.model_prep_queries import METRIC_SEL, SPLIT_BASE, pv_imputed
 from gridlake.plans.registry import register
+from gridlake.sources import fixture_sql as S
 from gridlake.sources import fixtures as FX
 
 
 def _split(df):
-    d = E.chrono_split(df.drop("rn"))
-    return d.drop("n_rows", "stress_role")
+    return E.chrono_split(df).drop("n_rows", "stress_role")
 
 
 def _frame(df, target):
@@ -112,14 +115,131 @@ def wind_forest_forecast(spark, sf_dir):
     return MD.predict(model, test).select("site_id", "row_id", "ts", "wind_kw", "prediction")
 
 
-@register("noise_robustness", operators=("ML9", "ML5", "ML6", "SNK4"))
+PV_STRESS, WIND_STRESS = ["ghi", "upper_rad"], ["wind_speed", "air_density"]
+PENALTY = 1e-3
+
+
+def _stress_sql(name: str, table: str, x: str, y: str, target: str) -> str:
+    """Ridge on two scaled features in closed form, scored on the last 30 % as it is and
+    with noise: ``{name}_s(site_id, ts, scenario, actual, predicted)``."""
+    noise = ", ".join(f"{f} + {S.normal_sql(MD.SEED, f, 'site_id', 'row_id')} * {c(MD.NOISE_STD)} AS {f}" for f in (x, y))
+    return f"""{name}_n AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts, row_id) - 1 AS rn, count(*) OVER (PARTITION BY site_id) AS n_rows
+  FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND {target} IS NOT NULL),
+{name}_r AS (SELECT *, rn < floor({c(0.7)} * n_rows) AS train FROM {name}_n),
+{name}_st AS (SELECT site_id, avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my, stddev_pop({y}) AS sy
+  FROM {name}_r WHERE train GROUP BY site_id),
+{name}_z AS (SELECT r.site_id, r.row_id, r.ts, r.train, r.{target} AS t,
+         (r.{x} - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END AS {x}, (r.{y} - my) / CASE WHEN sy = 0 THEN 1 ELSE sy END AS {y}
+  FROM {name}_r r JOIN {name}_st st ON r.site_id = st.site_id),
+{name}_c AS (SELECT site_id, avg({x}) AS mx, avg({y}) AS my, avg(t) AS mt, var_pop({x}) + {c(PENALTY)} AS xx,
+         var_pop({y}) + {c(PENALTY)} AS yy, covar_pop({x}, {y}) AS xy, covar_pop({x}, t) AS xt, covar_pop({y}, t) AS yt
+  FROM {name}_z WHERE train GROUP BY site_id),
+{name}_w AS (SELECT *, (xt * yy - yt * xy) / (xx * yy - xy * xy) AS wx, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS wy FROM {name}_c),
+{name}_f AS (
+  SELECT site_id, ts, 'baseline' AS scenario, t, {x}, {y} FROM {name}_z WHERE NOT train
+  UNION ALL
+  SELECT site_id, ts, 'noise_{MD.NOISE_STD}', t, {noise} FROM {name}_z WHERE NOT train),
+{name}_s AS (SELECT f.site_id, f.ts, f.scenario, f.t AS actual,
+         w.mt + w.wx * (f.{x} - w.mx) + w.wy * (f.{y} - w.my) AS predicted
+  FROM {name}_f f JOIN {name}_w w ON f.site_id = w.site_id)"""
+
+
+STRESS_SQL = S.with_ctes(S.SOLAR, S.WIND, S.SOLAR_DEDUP, S.WIND_DEDUP, _stress_sql("pv", "solar_d", *PV_STRESS, "pv_kw"),
+                         _stress_sql("wi", "wind_d", *WIND_STRESS, "wind_kw"), """s AS (
+  SELECT 'pv' AS source, scenario, actual AS y, predicted AS p FROM pv_s
+  UNION ALL SELECT 'wind', scenario, actual, predicted FROM wi_s
+  UNION ALL SELECT 'combined', a.scenario, a.actual + b.actual, a.predicted + b.predicted
+  FROM pv_s a JOIN wi_s b ON a.site_id = b.site_id AND a.ts = b.ts AND a.scenario = b.scenario)""") + f"""
+SELECT source, scenario, {METRIC_SEL} FROM s GROUP BY source, scenario"""
+
+
+@register("noise_robustness", sql=STRESS_SQL, doubles=["r2", "rmse", "mae"], operators=("ML9", "ML2", "ML6", "ML8", "WIN11"))
 def noise_robustness(spark, sf_dir):
-    model, d, feats = _forest(spark, sf_dir, "pv_forest", pv_imputed(spark, sf_dir), "pv_kw")
-    test = d.where(F.col("holdout_role") == "test")
-    base = E.regression_metrics(MD.predict(model, test), "pv_kw", "prediction", ())
-    noisy = E.regression_metrics(MD.predict(model, MD.add_noise(test, feats)), "pv_kw", "prediction", ())
-    return (base.withColumn("scenario", F.lit("baseline"))
-                .unionByName(noisy.withColumn("scenario", F.lit("noise_0.05"))))
+    """The stress test on ridge models: scaled features, the last 30 %, PV, wind and both."""
+    parts = []
+    for rows, features, target in ((FX.solar(spark, sf_dir), PV_STRESS, "pv_kw"), (FX.wind(spark, sf_dir), WIND_STRESS, "wind_kw")):
+        d = materialize(ST.prepared(M.dedup_first(rows), features, target), "stress")
+        model = materialize(RG.fit(d.where("stress_role = 'train'"), features, target, PENALTY), "stress-model")
+        parts.append(ST.scored(d, features, target, lambda f, m=model, x=features: RG.predict(m, f, x)))
+    return ST.stress_metrics(*parts)
+
+
+@register("forest_noise", operators=("ML9", "ML4", "ML5", "ML6"))
+def forest_noise(spark, sf_dir):
+    """The same on the forests of the reference over all features."""
+    parts = []
+    for table, target in ((pv_imputed(spark, sf_dir), "pv_kw"), (_wind_imputed(spark, sf_dir), "wind_kw")):
+        d, features = MD.model_frame(table, target)
+        d = materialize(ST.prepared(d, features, target), "stress")
+        model = MD.fit(MD.forest_pipeline(features, target), d.where("stress_role = 'train'"))
+        parts.append(ST.scored(d, features, target, lambda f, m=model: MD.predict(m, f)))
+    return ST.stress_metrics(*parts)
+
+
+LAGS = RG.DILATED_LAGS
+LAG_COLS = [f"p_renewable_lag_{k}" for k in LAGS]
+
+
+def _lag_ctes() -> list[str]:
+    """``m``: the coefficients of ridge on three lags, by Cramer's rule; ``lt`` the rows."""
+    e, g, h = "egh"
+    pairs = [(e, e), (e, g), (e, h), (g, g), (g, h), (h, h)]
+    sums = ", ".join([f"avg({x}) AS m{x}" for x in (e, g, h, "t")]
+                     + [f"covar_pop({x}, {y}){f' + {c(PENALTY)}' if x == y else ''} AS {x}{y}" for x, y in pairs]
+                     + [f"covar_pop({x}, t) AS {x}t" for x in (e, g, h)])
+
+    def det(m):
+        (p, q, r), (s, t, u), (v, w, x) = m
+        return f"({p} * ({t} * {x} - {u} * {w}) - {q} * ({s} * {x} - {u} * {v}) + {r} * ({s} * {w} - {t} * {v}))"
+
+    rows = [["ee", "eg", "eh"], ["eg", "gg", "gh"], ["eh", "gh", "hh"]]
+    solved = [det([[f"{x}t" if j == k else row[j] for j in range(3)] for row, x in zip(rows, (e, g, h))]) + f" / {det(rows)} AS w{k}"
+              for k in range(3)]
+    lags = ", ".join(f"lag(p_renewable, {k}) OVER (PARTITION BY site_id ORDER BY ts, row_id) AS {x}" for k, x in zip(LAGS, (e, g, h)))
+    return [S.TELEMETRY, f"""lt AS (
+  SELECT site_id, row_id, ts, p_renewable AS t, {lags},
+         row_number() OVER (PARTITION BY site_id ORDER BY ts, row_id) - 1 AS rn, count(*) OVER (PARTITION BY site_id) AS n_rows
+  FROM telemetry)""", f"""mo AS (
+  SELECT site_id, {sums} FROM lt
+  WHERE rn < n_rows - ceil({c(0.2)} * CAST(n_rows AS DOUBLE)) AND e IS NOT NULL AND g IS NOT NULL AND h IS NOT NULL AND t IS NOT NULL
+  GROUP BY site_id)""", f"""m AS (
+  SELECT *, mt - w0 * me - w1 * mg - w2 * mh AS w FROM (SELECT *, {', '.join(solved)} FROM mo))"""]
+
+
+def _lag_model(spark, sf_dir):
+    d = E.chrono_split(RG.dilated_lags(FX.telemetry(spark, sf_dir), "p_renewable"))
+    return d, materialize(RG.fit(d.where("holdout_role = 'train'"), LAG_COLS, "p_renewable", PENALTY), "lag-model")
+
+
+@register("lag_ridge_forecast", sql=S.with_ctes(*_lag_ctes()) + f"""
+SELECT lt.site_id, row_id, ts, t AS p_renewable, w + w0 * e + w1 * g + w2 * h AS prediction
+FROM lt JOIN m ON lt.site_id = m.site_id WHERE rn >= n_rows - ceil({c(0.2)} * CAST(n_rows AS DOUBLE))""",
+          doubles=["p_renewable", "prediction"], operators=("ML10", "WIN1", "WIN11"))
+def lag_ridge_forecast(spark, sf_dir):
+    """The sequence forecaster: the next value from dilated lags, by normal equations."""
+    d, model = _lag_model(spark, sf_dir)
+    return RG.predict(model, d.where("holdout_role = 'test'"), LAG_COLS).select("site_id", "row_id", "ts", "p_renewable", "prediction")
+
+
+STEPS = 6
+
+
+@register("lag_ridge_steps", sql="WITH RECURSIVE " + ",\n".join(_lag_ctes()) + f""",
+st AS (SELECT site_id, max(CASE WHEN rn = n_rows - 1 THEN t END) AS y1, max(CASE WHEN rn = n_rows - 2 THEN t END) AS y2,
+              max(CASE WHEN rn = n_rows - 3 THEN t END) AS y3, max(CASE WHEN rn = n_rows - 4 THEN t END) AS y4 FROM lt GROUP BY site_id),
+f AS (
+  SELECT st.site_id, 1 AS step, w + w0 * y1 + w1 * y2 + w2 * y4 AS y1, y1 AS y2, y2 AS y3, y3 AS y4
+  FROM st JOIN m ON st.site_id = m.site_id
+  UNION ALL
+  SELECT f.site_id, step + 1, w + w0 * y1 + w1 * y2 + w2 * y4, y1, y2, y3
+  FROM f JOIN m ON f.site_id = m.site_id WHERE step < {STEPS})
+SELECT site_id, CAST(step AS INTEGER) AS step, y1 AS prediction FROM f WHERE y1 IS NOT NULL""",
+          doubles=["prediction"], operators=("ML10",))
+def lag_ridge_steps(spark, sf_dir):
+    """Every site carried on by six values, each prediction being the past of the next."""
+    _, model = _lag_model(spark, sf_dir)
+    return RG.forecast(model, FX.telemetry(spark, sf_dir), "p_renewable", STEPS)
 
 
 @register("hybrid_forecast", operators=("ML8", "JN5", "ML5", "ML6"))
@@ -161,7 +281,7 @@ def forest_cv(spark, sf_dir):
     """The reference's training loop: five expanding-window folds, a 300-tree
     forest per fold.  One row per fold, plus a summary row (``fold`` NULL)
     with the mean metrics and their population std."""
-    d, feats = _frame(pv_imputed(spark, sf_dir).drop("rn"), "pv_kw")
+    d, feats = _frame(pv_imputed(spark, sf_dir), "pv_kw")
     per_fold = MD.cross_validate(d, feats, "pv_kw", MD.forest_pipeline)
     summary = per_fold.groupBy().agg(
         F.sum("n").alias("n"), F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"),

@@ -80,6 +80,14 @@ MERGED = """merged AS (
         GROUP BY s.site_id) st ON j.site_id = st.site_id)"""
 
 
+def normal_sql(seed: int, name: str, *keys: str) -> str:
+    """``exprs.counter_normal`` as SQL."""
+    text = " || '|' || ".join([f"'{seed}|{name}'"] + [f"coalesce(CAST({k} AS VARCHAR), '-')" for k in keys])
+    first, second = (f"CAST(CAST('0x' || substr(md5({text}), {at}, 13) AS BIGINT) AS DOUBLE)" for at in (1, 14))
+    return (f"(sqrt(CAST(-2 AS DOUBLE) * ln(({first} + 1) / CAST(4503599627370496 AS DOUBLE)))"
+            f" * cos(2 * pi() * ({second} / CAST(4503599627370496 AS DOUBLE))))")
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
