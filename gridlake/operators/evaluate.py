@@ -7,7 +7,7 @@ aggregate per group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlake.plans.materialize import join_small
 from gridlake.plans.sequence import SeriesSpec, number_rows, series_counts, spec_of
@@ -40,6 +40,15 @@ def chrono_split(df: DataFrame, spec: SeriesSpec | None = None) -> DataFrame:
              .withColumn("stress_role", F.when(F.col("rn") < train_70, "train").otherwise("test")))
 
 
+def fold_role(fold: Column, n_splits: int = N_FOLDS) -> Column:
+    """The part of a row (``rn`` of ``n_rows``) in a fold: ``test``, ``train`` or none.  A
+    fold is two ranges of positions, so it needs no copy of the rows."""
+    n = F.col("n_rows")
+    t = F.floor(n / F.lit(n_splits + 1)).cast("bigint")
+    start = n - (F.lit(n_splits) - fold) * t
+    return F.when(t > 0, F.when(F.col("rn") < start, "train").when(F.col("rn") < start + t, "test"))
+
+
 def cv_folds(df: DataFrame, n_splits: int = N_FOLDS, spec: SeriesSpec | None = None) -> DataFrame:
     """WIN12: expanding-window folds of ``TimeSeriesSplit(n_splits)``.
 
@@ -47,13 +56,8 @@ def cv_folds(df: DataFrame, n_splits: int = N_FOLDS, spec: SeriesSpec | None = N
     and trains on every earlier row.  Each row is emitted once per fold it
     belongs to (at most ``n_splits`` copies), with ``role`` train / test."""
     d = with_lengths(df, spec)
-    n = F.col("n_rows")
-    t = F.floor(n / F.lit(n_splits + 1)).cast("bigint")
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    start = n - (F.lit(n_splits) - F.col("fold")) * t
-    role = (F.when((F.col("rn") >= start) & (F.col("rn") < start + t), "test")
-             .when(F.col("rn") < start, "train"))
-    return d.withColumn("role", role).where(F.col("role").isNotNull() & (t > 0))
+    return d.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull())
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, group=("site_id",)) -> DataFrame:

@@ -7,6 +7,8 @@ re-aimed as MLlib regressors over the same features (see README).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -23,19 +25,23 @@ NOISE_STD = 0.05
 
 
 #: Split statistics a tree task may hold (MLlib's ``maxMemoryInMB``): a fixed
-#: parameter, so the same rows and seed give the same forest on any heap.
-TREE_MEMORY_MB = 64
+#: parameter, so the same rows and seed give the same forest on any heap.  More of it
+#: means more nodes per pass over the rows.
+TREE_MEMORY_MB = 256
+#: Rows a partition of the training rows should have: each sends the statistics of all
+#: open nodes in every pass, so partitions of few rows cost more than they save.
+ROWS_PER_PARTITION = 50_000
 
 
 def forest_pipeline(features: list[str], target: str, num_trees: int = FOREST_TREES,
-                    max_depth: int = FOREST_DEPTH, seed: int = SEED) -> Pipeline:
+                    max_depth: int = FOREST_DEPTH, seed: int = SEED, memory_mb: int = TREE_MEMORY_MB) -> Pipeline:
     """ML4: assembler (feature order = PRJ13) + random forest."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     # featureSubsetStrategy 'all': every split considers every feature, like
     # the reference's forest (MLlib's 'auto' would sample a third).
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="all",
-                               maxMemoryInMB=TREE_MEMORY_MB)
+                               maxMemoryInMB=memory_mb)
     return Pipeline(stages=[asm, rf])
 
 
@@ -53,16 +59,16 @@ def linear_pipeline(features: list[str], target: str) -> Pipeline:
     return Pipeline(stages=[asm, LinearRegression(featuresCol="features", labelCol=target)])
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+def fit(pipeline: Pipeline, train: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> PipelineModel:
     """Fit with the training rows persisted (memory, spilling to disk): tree
     learners pass over the input several times and must not recompute the
-    feature lineage each time.  Partitions stay as they are; executors are
-    sized by the user."""
+    feature lineage each time.  Small partitions are put together
+    (``rows_per_partition``); executors are sized by the user."""
     from pyspark import StorageLevel
 
     cached = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(cached)
+        return pipeline.fit(cached.coalesce(max(1, -(-cached.count() // rows_per_partition))))
     finally:
         cached.unpersist()
 
@@ -105,24 +111,36 @@ def model_frame(df: DataFrame, target: str, strict_leakage: bool = False,
 
 
 def cross_validate(df: DataFrame, features: list[str], target: str, make_pipeline,
-                   n_splits: int = 5, spec=None) -> DataFrame:
+                   n_splits: int = 5, spec=None, side_by_side: int = 5) -> DataFrame:
     """ML4 + ML7: time-series cross-validation -- expanding-window folds per
-    series (``evaluate.cv_folds``), one fit per fold on its training rows,
-    metrics on its test rows; returns one row per fold (fold, n, r2, rmse,
-    mae).  The folds table is written once and every fold reads its rows."""
+    series, one fit per fold on its training rows, metrics on its test rows; returns one
+    row per fold (fold, n, r2, rmse, mae).
+
+    The numbered rows are written once; a fold is a range of positions in them
+    (``evaluate.fold_role``), so no row is copied.  ``side_by_side`` fits run at a time."""
     from functools import reduce
 
-    from gridlake.operators.evaluate import cv_folds, regression_metrics
+    from pyspark import inheritable_thread_target
+
+    from gridlake.operators.evaluate import fold_role, regression_metrics, with_lengths
     from gridlake.plans.materialize import materialize
-    from gridlake.plans.sequence import DEFAULT_SPEC
 
-    folds = materialize(cv_folds(df, n_splits, spec or DEFAULT_SPEC), "cv_folds")
+    rows = materialize(with_lengths(df, spec), "cv_rows")
 
     def one(k: int) -> DataFrame:
-        part = folds.where(F.col("fold") == k)
-        model = fit(make_pipeline(features, target), part.where(F.col("role") == "train"))
-        pred = predict(model, part.where(F.col("role") == "test"))
+        role = fold_role(F.lit(k), n_splits)
+        model = fit(make_pipeline(features, target), rows.where(role == "train"))
+        pred = predict(model, rows.where(role == "test"))
         return materialize(regression_metrics(pred, target, "prediction", ())
                            .withColumn("fold", F.lit(k)), "cv_fold_metrics")
 
-    return reduce(lambda a, b: a.unionByName(b), [one(k) for k in range(n_splits)])
+    with ThreadPoolExecutor(side_by_side) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(n_splits)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def leaf_counts(path: str, spark) -> DataFrame:
+    """``(tree, leaves)`` of the forest in a saved pipeline, read from its files."""
+    nodes = spark.read.parquet(f"{path}/stages/1_*/data")
+    return (nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.leftChild").alias("left"))
+                 .groupBy("tree").agg(F.count_if(F.col("left") < 0).alias("leaves")))
