@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
-from gridlake.llm.tables import cut, table
+from gridlake.llm.tables import cut, set_aside, table
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and bytes outside ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -104,13 +104,15 @@ def _merged(spans: list) -> list:
 STATE = "bench_words bigint, bench_spans array<bigint>, bench_items array<string>"
 
 
-def _scan(docs: DataFrame, text_col: str, block: list, window: int) -> DataFrame:
-    schema = docs.schema
-    again = "bench_words" in docs.columns
+STATE_NAMES = [f.split()[0] for f in STATE.split(", ")]
+
+
+def _scan(docs: DataFrame, text_col: str, block: list, window: int, again: bool) -> DataFrame:
+    """One block's scan; ``again``: ``docs`` has the state of the scans before."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    names = [f.name for f in schema.fields if not f.name.startswith("bench_")]
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
-                            if f.name in names] + [STATE])
+    fields = docs.schema.fields[:-len(STATE_NAMES)] if again else docs.schema.fields
+    names = [f.name for f in fields]
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [STATE])
     cache: dict = {}
 
     def run(batches):
@@ -129,27 +131,28 @@ def _scan(docs: DataFrame, text_col: str, block: list, window: int) -> DataFrame
                     spans[k] = _merged(spans[k] + [old[j:j + 4] for j in range(0, len(old), 4)])
                 for k, old in enumerate(batch.column("bench_items").to_pylist()):
                     items[k] |= set(old)
-            kept = [batch.column(j) for j, f in enumerate(batch.schema.names) if f in names]
             yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(n_words, pa.int64()),
+                batch.columns[:len(names)] + [pa.array(n_words, pa.int64()),
                         pa.array([[x for s in row for x in s] for row in spans], pa.list_(pa.int64())),
                         pa.array([sorted(ids) for ids in items], pa.list_(pa.string()))],
-                names + ["bench_words", "bench_spans", "bench_items"])
+                names + STATE_NAMES)
 
     return docs.mapInArrow(run, out_schema)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` plus ``bench_words``, ``bench_spans`` and ``bench_items``."""
+    """``docs`` plus ``bench_words``, ``bench_spans`` and ``bench_items``; a column of such a
+    name is kept as ``<name>_in``."""
+    docs, (text_col,) = set_aside(docs, STATE_NAMES, [text_col])
     out, block, size, blocks = docs, [], 0, 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         if block and size + len(row.t or "") > block_chars:
-            out = cut(_scan(out, text_col, block, window), "bench-scan")
+            out = cut(_scan(out, text_col, block, window, blocks > 0), "bench-scan")
             block, size, blocks = [], 0, blocks + 1
         block.append((row.i, row.t))
         size += len(row.t or "")
-    return _scan(out, text_col, block, window)
+    return _scan(out, text_col, block, window, blocks > 0)
 
 
 def span_words():
@@ -178,7 +181,14 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
     return (found.withColumn(text_col, F.when(F.size("bench_spans") > 0, clean(F.col(text_col), F.col("bench_spans")))
                                         .otherwise(F.col(text_col)))
-                 .drop("bench_words", "bench_spans", "bench_items"))
+                 .drop(*STATE_NAMES))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the hit spans cut out of the texts, columns as given."""
+    named = set_aside(docs, STATE_NAMES, [text_col])[1][0]
+    found = find_overlaps(docs, benchmark, text_col, **options)
+    return remove_spans(found, named).toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ the lower orders, a uniform base), kept as sorted arrays of hashed grams.  A tex
 the language of the lowest cross-entropy per symbol; it is rejected when that entropy
 is far above what the language's own training texts have.
 
-Symbols are 7-bit codes (a-z, the letters U+00DF-U+00FF, and 69 hashed classes for all
-other letters), so a model has at most 2^21 trigrams per language whatever the corpus:
-that is the bound of what is collected and broadcast.
+Symbols are 7-bit codes (a-z, the letters U+00DF-U+00FF, 60 hashed classes for all other
+letters and 8 for the marks that belong to letters, such as vowel signs), so a model has at
+most 2^21 trigrams per language whatever the corpus: that is the bound of what is collected
+and broadcast.  The counts cover all training rows; tasks count sparsely, in memory that
+does not depend on the number of languages.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null language are not learned from; without any training row all is ``und``.
@@ -17,18 +19,22 @@ with a null language are not learned from; without any training row all is ``und
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
-from gridlake.llm.tables import cut, table
+from gridlake.llm.tables import cut, fresh, set_aside, table
 
 ORDER, BITS, BLANK = 3, 7, 0
+#: The first symbol of a mark; letters are the symbols below.
+MARKS = 120
 GRAMS = 1 << (ORDER * BITS)
 UNKNOWN = "und"
-#: More distinct language values than this are taken for a wrong column.
-MAX_LANGUAGES = 500
+#: Counted grams that a task holds before it hands them on.
+HELD_GRAMS = 2_000_000
 #: A text is rejected above mean + REJECT * deviation of its language's training entropies.
 REJECT = 6.0
 #: Symbols after which more text does not sharpen the score.
@@ -46,7 +52,9 @@ def _symbol_table() -> np.ndarray:
             elif 0xDF <= low <= 0xFF:
                 out[c] = 27 + low - 0xDF
             else:
-                out[c] = 60 + (low * 2654435761 >> 7) % 68
+                out[c] = 60 + (low * 2654435761 >> 7) % 60
+        elif unicodedata.category(s)[0] == "M":
+            out[c] = MARKS + (c * 2654435761 >> 7) % (1 << BITS) % 8
     return out
 
 
@@ -82,25 +90,30 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, code, n)`` over all rows: counted in each task, summed by Spark."""
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # language and gram in one number, count
+
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            keys, at = np.unique(keys, return_inverse=True)
+            return keys, np.bincount(at, n).astype(np.int64)
+
+        def handed(keys, n):
+            names = pa.array(list(number), pa.string())
+            return pa.RecordBatch.from_arrays([names.take(pa.array(keys >> ORDER * BITS)),
+                                               pa.array((keys & GRAMS - 1).astype(np.int32)), pa.array(n)], ["lang", "code", "n"])
+
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            langs = np.array([number.setdefault(x, len(number)) for x in batch.column(0).to_pylist()], np.int64)
             for first, content, offsets in B.text_blocks(batch.column(1)):
                 code, row = gram_codes(content, offsets)
-                own = langs[first:first + len(offsets) - 1]
-                for lang in set(own):
-                    mine = code[(own == lang)[row]] if len(set(own)) > 1 else code
-                    if lang not in totals:
-                        if len(totals) >= MAX_LANGUAGES:
-                            raise ValueError(f"over {MAX_LANGUAGES} languages")
-                        totals[lang] = np.zeros(GRAMS, np.int32)
-                    seen, n = np.unique(mine, return_counts=True)
-                    totals[lang][seen] += n.astype(np.int32)
-        for lang, n in totals.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(seen), pa.string()),
-                                              "code": pa.array(seen.astype(np.int32)),
-                                              "n": pa.array(n[seen].astype(np.int64))})
+                held.append(np.unique(langs[first + row] << ORDER * BITS | code, return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_GRAMS:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD_GRAMS // 2:
+                        yield handed(*held.pop())
+        if held:
+            yield handed(*merged())
 
     return (docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
                 .mapInArrow(count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")))
@@ -180,9 +193,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 
 
 def entropies(docs: DataFrame, models: dict[str, KneserNey], text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``n_symbols`` and ``entropy`` (bits per symbol, one entry per
-    language in the order of ``models``)."""
+    """``docs`` without the text, plus ``n_symbols``, ``n_letters`` and ``entropy`` (bits per
+    symbol, one entry per language in the order of ``models``).  An input column of such a
+    name is kept as ``<name>_in``."""
     spark = docs.sparkSession
+    docs, (text_col,) = set_aside(docs, ["n_symbols", "n_letters", "entropy"], [text_col])
     shared = spark.sparkContext.broadcast(list(models.values()))
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
@@ -201,7 +216,8 @@ def entropies(docs: DataFrame, models: dict[str, KneserNey], text_col: str = "te
                 for j, model in enumerate(own):
                     out[:, j] = np.bincount(row, model.bits(seen)[at], minlength=rows) / np.maximum(size, 1)
                 n.append(size)
-                letters.append(np.bincount(row[(code & np.uint32((1 << BITS) - 1)) != BLANK], minlength=rows))
+                symbol = code & np.uint32((1 << BITS) - 1)
+                letters.append(np.bincount(row[(symbol != BLANK) & (symbol < MARKS)], minlength=rows))
                 scores.append(out)
             flat = np.concatenate(scores) if scores else np.zeros((0, len(own)))
             yield pa.RecordBatch.from_arrays(
@@ -217,11 +233,15 @@ def classify(scored: DataFrame, langs: list[str], training: Column, lang_col: st
     """Adds ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``.
 
     The rejection bound comes from the entropies that the ``training`` rows have in
-    their own language (one aggregate, a row per language)."""
+    their own language (one aggregate, a row per language).  Columns that have one of these
+    names are kept as ``<name>_in``."""
+    (own_training,) = fresh(scored, "_training")
+    scored = scored.withColumn(own_training, training)
+    scored, (lang_col,) = set_aside(scored, ["lang_pred", "score", "cross_entropy", "rejected"], [lang_col])
     index = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
     own = F.try_element_at(F.col("entropy"), index[F.col(lang_col)] + 1)
     stats = {r.lang: r.m + REJECT * (r.s or 0.0) for r in
-             scored.where(training & F.col(lang_col).isNotNull() & (F.col("n_letters") > 0))
+             scored.where(F.col(own_training) & F.col(lang_col).isNotNull() & (F.col("n_letters") > 0))
                    .groupBy(F.col(lang_col).alias("lang")).agg(F.avg(own).alias("m"), F.stddev_pop(own).alias("s")).collect()}
     bound = F.array(*[F.lit(float(stats.get(lang, 0.0))) for lang in langs])
     best = F.array_min("entropy")
@@ -233,7 +253,7 @@ def classify(scored: DataFrame, langs: list[str], training: Column, lang_col: st
     return (scored.withColumn("lang_pred", F.when(none, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, langs)), at)))
                   .withColumn("score", F.when(none, 0.0).otherwise(1.0 / others))
                   .withColumn("cross_entropy", F.when(~none, best))
-                  .withColumn("rejected", none | (best > F.element_at(bound, at))))
+                  .withColumn("rejected", none | (best > F.element_at(bound, at))).drop(own_training))
 
 
 def fold(id_col: str, n: int) -> Column:

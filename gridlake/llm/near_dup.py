@@ -20,8 +20,9 @@
 5. Neighbours reach every pair of a region of up to ``SECOND[0] + 1`` rows.  The rows of
    larger regions, and of those that cross partitions, that still hold several
    components are finished exactly: every pair of different components that can reach
-   the similarity is found by a prefix join on rare shingles (``_exact_pairs``) and
-   confirmed.  So a pair that meets in a region is never lost by the region's size.
+   the similarity is found by a prefix join on rare shingles (``_exact_pairs``), which
+   compares the sketches as it joins, and confirmed.  So a pair that meets in a region is
+   not lost by the region's size.
 
 A pair at the threshold is so lost with ``2 * MISS`` at most: the forest's miss and the
 sketch's.  ``depth`` and the number of trees follow from the number of documents and the
@@ -310,20 +311,53 @@ def _unfinished(rest: DataFrame, comp: DataFrame) -> DataFrame:
     return join_small(rows, mixed, "region", "left_semi", name="near-mixed").select("id", "comp").distinct()
 
 
+def _sketch_words(sig: np.ndarray) -> np.ndarray:
+    """Two bits of every value of each signature, 32 values to a 64-bit word."""
+    two = np.pad((sig & np.uint32(3)).astype(np.uint64), ((0, 0), (0, -sig.shape[1] % 32)))
+    shifts = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    return np.bitwise_or.reduce(two.reshape(len(sig), -1, 32) << shifts, axis=2).view(np.int64)
+
+
+def _unequal(x: str, y: str, words: int):
+    """Number of different two-bit values of two sketches (columns of words)."""
+    total = F.lit(0)
+    for k in range(words):
+        d = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        total = total + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
+def _with_sketches(classes: DataFrame, ids: DataFrame, n_values: int) -> DataFrame:
+    """``(id, sketch)`` of the given representatives."""
+    rows = join_small(classes.select(F.col("rep").alias("id"), "sig"), ids, "id", "left_semi", name="near-sketched")
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, n_values)
+            words = _sketch_words(sig)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]),
+                                             pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "sketch"])
+
+    return rows.mapInArrow(run, "id bigint, sketch array<bigint>")
+
+
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (B.mix(shingles.view(np.uint64)) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def _exact_pairs(sets: DataFrame, similarity: int) -> DataFrame:
-    """All pairs ``(a, b)`` of ``sets(id, comp, shingles)`` with different components that
-    can reach the similarity, by a prefix join.
+def _exact_pairs(sets: DataFrame, similarity: int, n_values: int) -> DataFrame:
+    """All pairs ``(a, b)`` of ``sets(id, comp, shingles, sketch)`` with different components
+    that can reach the similarity, by a prefix join.
 
     In one order of all shingles, two sets that reach it share one of the first
     ``n - ceil(similarity * n) + 1`` shingles of each.  The order goes by counters, from
     rare to common: shared counters make prefixes less rare, never wrong.  At each
     shingle the rows of its largest component are only searched from the others, so a
     large linked group costs its size times what is left over, not its square; adaptive
-    execution splits the hot shingles of the join."""
+    execution splits the hot shingles of the join.  The pairs are compared inside the join:
+    a shared shingle alone makes no row, only sketches of ``n_values`` values that are as
+    near as those of a pair at the threshold (``sketch_bound``) do."""
 
     def lists(batch):
         column = batch.column(batch.schema.get_field_index("shingles"))
@@ -363,22 +397,25 @@ def _exact_pairs(sets: DataFrame, similarity: int) -> DataFrame:
                  batch.column(batch.schema.get_field_index("comp")).take(pa.array(rows)),
                  batch.column(batch.schema.get_field_index("size")).take(pa.array(rows)),
                  pa.array(np.diff(at)[rows].astype(np.int64)),
-                 pa.array(np.concatenate(places) if places else [], pa.int64())],
-                ["token", "id", "comp", "size", "n", "place"])
+                 pa.array(np.concatenate(places) if places else [], pa.int64()),
+                 batch.column(batch.schema.get_field_index("sketch")).take(pa.array(rows))],
+                ["token", "id", "comp", "size", "n", "place", "sketch"])
 
     sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     tokens = cut(join_small(sets, sizes, "comp", "inner", name="near-sizes")
-                 .mapInArrow(prefixes, "token bigint, id bigint, comp bigint, size bigint, n bigint, place bigint"),
+                 .mapInArrow(prefixes, "token bigint, id bigint, comp bigint, size bigint, n bigint, place bigint, sketch array<bigint>"),
                  "near-tokens")
     group = F.struct("size", "comp")
     top = tokens.groupBy("token").agg(F.max(group).alias("top"))
     x = tokens.join(top, "token").where(group < F.col("top")).select(
-        "token", F.col("id").alias("x"), group.alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    y = tokens.select("token", F.col("id").alias("y"), group.alias("gy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+        "token", F.col("id").alias("x"), group.alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("sketch").alias("sx"))
+    y = tokens.select("token", F.col("id").alias("y"), group.alias("gy"), F.col("n").alias("ny"), F.col("place").alias("py"),
+                      F.col("sketch").alias("sy"))
     # what can be common from the shared shingle on
     common = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     reach = (100 + similarity) * common >= similarity * (F.col("nx") + F.col("ny"))
-    return (x.join(y, (x["token"] == y["token"]) & (F.col("gx") < F.col("gy")) & reach)
+    near = _unequal("sx", "sy", -(-n_values // 32)) <= n_values - sketch_bound(n_values, similarity)
+    return (x.join(y, (x["token"] == y["token"]) & (F.col("gx") < F.col("gy")) & reach & near)
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -434,8 +471,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = cut(_unfinished(rest, comp), "near-left")
     if n_left := left.count():
         sets = sets_of(left.select("id"), n_left, 5_000)
-        whole = sets.join(left, "id")
-        pairs = _exact_pairs(whole, similarity)
+        whole = sets.join(left, "id").join(_with_sketches(classes, left.select("id"), depth * trees), "id")
+        pairs = _exact_pairs(whole, similarity, depth * trees)
         link(cut(pairs, "near-pairs"), sets)
     placed = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))

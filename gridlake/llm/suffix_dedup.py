@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
-from gridlake.llm.tables import cut, free_shuffles, table
+from gridlake.llm.tables import cut, free_shuffles, fresh, set_aside, table
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text that a task handles as one block, and anchors per hash bucket.
@@ -512,17 +512,22 @@ def _merge(spans: bytes) -> np.ndarray:
 
 
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    digest: bool = False) -> DataFrame:
     """``docs`` with the covered bytes cut out of the text (characters that lose a part
-    of their bytes are left out), or with ``digest`` the columns of ``RESULT``."""
+    of their bytes are left out), or with ``digest`` the columns of ``RESULT`` (an input
+    column of such a name is kept as ``<name>_in``)."""
+    if digest:
+        docs, (id_col, text_col) = set_aside(docs, RESULT_NAMES, [id_col, text_col])
     found = repeated_ranges(docs, id_col, text_col)
     tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_tag", tag)
-    joined = keyed.join(found.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")),
-                        ["_id", "_tag"], "left").drop("_id", "_tag")
+    own_id, own_tag, own_spans = fresh(docs, "_id", "_tag", "_spans")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("bigint"), own_tag: tag})
+    joined = keyed.join(found.select(F.col("id").alias(own_id), F.col("tag").alias(own_tag), F.col("spans").alias(own_spans)),
+                        [own_id, own_tag], "left").drop(own_id, own_tag)
     kept = [f for f in docs.schema.fields if not (digest and f.name == text_col)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ([RESULT] if digest else []))
 
@@ -530,7 +535,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             text = batch.column(batch.schema.get_field_index(text_col))
             rows, texts = [], []
-            for t, spans in zip(text, batch.column("_spans").to_pylist()):
+            for t, spans in zip(text, batch.column(own_spans).to_pylist()):
                 value = t.as_py()
                 if not spans:
                     texts.append(value)
@@ -550,7 +555,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if digest:
                 n, removed, spans, sha = zip(*rows) if rows else ((), (), (), ())
                 columns += [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-                names += ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                names += RESULT_NAMES
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, schema)

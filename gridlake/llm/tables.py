@@ -43,6 +43,18 @@ def set_aside(df: DataFrame, outputs, used=()) -> tuple[DataFrame, list[str]]:
     return df, [at.get(u.lower(), u) for u in used]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many ``_`` put before it as make it differ from every column
+    of ``df`` (without case): for columns that an operator needs on the way."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now: it does so
     when the driver collects the objects that refer to them."""

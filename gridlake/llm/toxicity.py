@@ -3,6 +3,7 @@
 A document is a bag of sentences.  A sentence scores s = sigmoid(bias + weights of its
 features), and exactly 0 without a feature; the document combines them by noisy-or,
 p = 1 - prod(1 - s): one bad sentence is enough, any number of featureless ones is not.
+In scoring, of the sentences below ``WEAK`` only the strongest enters the product.
 Weights are trained from
 document labels only, through the noisy-or; the trained sentence scores then locate the
 offending sentences.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlake.llm import bytes_of as B
 from gridlake.llm.language import fold
-from gridlake.llm.tables import cut, table
+from gridlake.llm.tables import cut, set_aside, table
 
 SAMPLE, SAMPLE_TEXT, FEATURES = 6000, 50_000, 20_000
 PREFIXES = (4, 5, 6)
@@ -35,6 +36,9 @@ BUCKET_BITS = 20
 MIN_TOXIC, MIN_ODDS = 4, 1.5
 EPOCHS, RATE, L2, BIAS = 300, 0.5, 1e-4, -12.0
 THRESHOLD = 0.3
+#: Sentences that score less than this count by the strongest of them alone, or any number
+#: of them would make a long text toxic.
+WEAK = 0.01
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -177,10 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the bounded sample of the labelled rows of ``docs``.
 
     Only ids and lengths are joined with the labels; the texts of the sample (at most
-    ``2 * SAMPLE`` ids, a proven bound of the broadcast) are fetched afterwards."""
+    ``2 * SAMPLE`` ids, a proven bound of the broadcast) are fetched afterwards, of an id
+    with several texts the first in order."""
     known = (labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id"))
                    .agg(F.max("toxic").cast("int").alias("toxic")))
-    sized = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n")).dropDuplicates(["id"])
+    sized = docs.groupBy(F.col(id_col).alias("id")).agg(F.max(F.length(text_col)).alias("n"))
     rows = cut(sized.join(known, "id"), "toxic-labels")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
@@ -190,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     sample = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_TEXT)
-                     .join(chosen, "id").select("toxic", "text"), "toxic-sample")
+                     .join(chosen, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"),
+                 "toxic-sample")
     buckets, n = _screen(sample)
     if not len(buckets):
         return None
@@ -204,7 +210,9 @@ ADDED = "score double, n_sentences bigint, offending array<bigint>, offending_sc
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, plus ``ADDED``."""
+    """``docs`` without the text, plus ``ADDED`` (an input column of such a name is kept as
+    ``<name>_in``)."""
+    docs, (text_col,) = set_aside(docs, [f.split()[0] for f in ADDED.split(", ")], [text_col])
     kept = [f for f in docs.schema.fields if f.name != text_col]
     if model is None:
         model = Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
@@ -228,8 +236,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 logit = bias + np.bincount(key >> BUCKET_BITS, w[key & (1 << BUCKET_BITS) - 1], minlength=n)
                 # none of its own: 0, or length alone would make a text toxic
                 s = np.where(np.bincount(key >> BUCKET_BITS, minlength=n) > 0, sigmoid(logit), 0.0)
-                clean = np.bincount(rows, np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n_rows)
-                scores.append(-np.expm1(clean))
+                clean = np.bincount(rows, np.where(s < WEAK, 0.0, np.log1p(-np.minimum(s, 1 - 1e-12))), minlength=n_rows)
+                faint = np.zeros(n_rows)
+                np.maximum.at(faint, rows, np.where(s < WEAK, s, 0.0))
+                scores.append(1 - (1 - faint) * np.exp(clean))
                 sizes.append(np.bincount(rows, minlength=n_rows))
                 bad = np.flatnonzero(s >= THRESHOLD)
                 cut = np.searchsorted(rows[bad], np.arange(n_rows + 1))

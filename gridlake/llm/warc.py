@@ -217,7 +217,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                   .agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("c")).where("c > 1")
                   .select("digest", "n", "owner"))
     return (rows.join(owners, ["digest", "n"], "left")
-                .withColumn("refers_to", F.when(F.col("page_id") < F.col("owner"), F.col("owner"))).drop("owner"))
+                .withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("owner")), F.col("owner")))
+                .drop("owner"))
 
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -297,7 +298,7 @@ OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 o AS (SELECT h, max(page_id) AS owner FROM p WHERE strlen(h) >= 1000 GROUP BY h)
 SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
-  CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id < owner THEN owner END AS refers_to
+  CASE WHEN page_id < owner OR (page_id IS NULL AND owner IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < owner OR page_id IS NULL THEN owner END AS refers_to
 FROM p LEFT JOIN o ON p.h = o.h
 """

@@ -239,8 +239,12 @@ def test_exact_pairs_lose_nothing(spark, similarity):
     rnd = random.Random(5)
     sets = [(i, i // 2 if i < 20 else i, sorted({rnd.randrange(60) for _ in range(rnd.randint(1, 30))})) for i in range(60)]
     sets += [(100 + i, 100 + i, s[:len(s) * 9 // 10] or s) for i, _, s in sets]
-    df = spark.createDataFrame(sets, "id bigint, comp bigint, shingles array<bigint>")
-    got = {(r.a, r.b) for r in near_dup._exact_pairs(df, similarity).collect()}
+    n_values = 108
+    hashed = [near_dup.B.mix(np.array(x, np.uint64)) for _, _, x in sets]
+    sketches = [near_dup._sketch_words(near_dup.signature(h, near_dup._multipliers(n_values))[None])[0].tolist() for h in hashed]
+    rows = [(i, c, h.view(np.int64).tolist(), k) for (i, c, _), h, k in zip(sets, hashed, sketches)]
+    df = spark.createDataFrame(rows, "id bigint, comp bigint, shingles array<bigint>, sketch array<bigint>")
+    got = {(r.a, r.b) for r in near_dup._exact_pairs(df, similarity, n_values).collect()}
     jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
     want = {(a, b) for a, ca, x in sets for b, cb, y in sets if a < b and ca != cb and 100 * jaccard(x, y) >= similarity}
     assert want <= got and all(dict((i, c) for i, c, _ in sets)[a] != dict((i, c) for i, c, _ in sets)[b] for a, b in got)
