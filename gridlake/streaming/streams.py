@@ -271,7 +271,7 @@ class SeriesState(StatefulProcessor):
         self.last = handle.getValueState("last", "value double, energy double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # the marker of the stream's end
+        if pd.isna(key[0]):  # the marker of the stream's end (a null key may come as NaN)
             for _ in rows:
                 pass
             return
