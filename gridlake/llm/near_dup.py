@@ -14,15 +14,16 @@
 3. Candidates whose two-bit sketches are far apart are dropped; ``sketch_bound`` keeps
    a pair at the threshold except with probability ``MISS``.  The rest is confirmed on
    the full sets, and the confirmed links make components.
-4. The forest is read twice: first with one neighbour and one pivot a row, then with
-   many, for rows of different components only.  What a large group has left over gets
-   a wide search, and what is connected costs nothing more.
-5. Neighbours reach every pair of a region of up to ``SECOND[0] + 1`` rows.  The rows of
-   larger regions, and of those that cross partitions, that still hold several
-   components are finished exactly: every pair of different components that can reach
-   the similarity is found by a prefix join on rare shingles (``_exact_pairs``), which
-   compares the sketches as it joins, and confirmed.  So a pair that meets in a region is
-   not lost by the region's size.
+4. The forest is read twice: first with one neighbour and one pivot a row, then, for rows
+   of different components only, with all pairs of the small regions.  The depth of that
+   search adapts to the region: one of up to ``SECOND[0] + 1`` rows is compared whole, a
+   larger one is read deeper, up to ``EXTRA_LEVELS`` values, where its parts are small.
+5. A large region has other pairs too.  The rows of large regions, and of those that
+   cross partitions, that still hold several components are finished exactly: every pair
+   of different components that can reach the similarity is found by a prefix join on rare
+   shingles (``_exact_pairs``), which compares the sketches as it joins, and confirmed.
+   So a pair that meets in a region is not lost by the region's size, and a large region
+   costs no list of its rows' pairs.
 
 A pair at the threshold is so lost with ``2 * MISS`` at most: the forest's miss and the
 sketch's.  ``depth`` and the number of trees follow from the number of documents and the
@@ -54,9 +55,9 @@ MISS = 1e-6
 #: Similarity (chance agreement) of unrelated texts that ``forest_shape`` allows for.
 CHANCE = 0.04
 EXTRA_LEVELS = 3
-#: Neighbours in sorted order and pivots of a region: first for all rows, then between
-#: components only.
-FIRST, SECOND = (1, 1), (10, 5)
+#: Neighbours in sorted order and pivots of a region: first for all rows, then within small
+#: regions and between components only.
+FIRST, SECOND = (1, 1), (10, 0)
 
 #: Counters that order the shingles of the exact join from rare to common.
 COUNTERS = 1 << 20
@@ -177,7 +178,8 @@ def _equal(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pivots: int, least: int) -> DataFrame:
-    """Candidate pairs between components; of the regions whose pairs the neighbours do
+    """Candidate pairs between components (without pivots: only of rows whose region, at
+    its own depth, has at most ``neighbours + 1`` rows); of the regions whose pairs the neighbours do
     not reach all, the rows (``rest``); and, for the first and last region of each
     partition (which may go on in another one), their pivots and members (``a`` the id,
     ``b`` its component, ``n`` of members the partition)."""
@@ -186,6 +188,20 @@ def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pi
     def run(batches):
         keys, ids, sketches, comps, state = [], [], [], [], {"first": True}
 
+        def small_parts(key):
+            """A number per row that it shares with the rows of its region at the least
+            depth that leaves ``neighbours + 1`` of them; -1 if none does."""
+            part = np.full(len(key), -1)
+            changed = np.zeros(len(key), np.int64)  # first byte in which a row differs from the one before
+            changed[1:] = (key[1:] != key[:-1]).argmax(1)
+            changed[1:][(key[1:] == key[:-1]).all(1)] = key.shape[1]
+            for end in range(prefix, key.shape[1] + 1, 4):
+                first = np.flatnonzero(changed < end)
+                size = np.diff(np.append(first, len(key)))
+                found = np.repeat(np.where(size <= neighbours + 1, first, -1), size)
+                part = np.where(part < 0, found, part)
+            return part
+
         def regions(last: bool):
             """Settle all whole regions held; keep the open one unless it is the last."""
             key = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
@@ -217,8 +233,9 @@ def _candidates(forest: DataFrame, depth: int, trees: int, neighbours: int, n_pi
                 left.append(leaf[pivot[region[at]]])
                 right.append(at)
                 pivots.append(pivot)
+            near = region if n_pivots else small_parts(key)
             for lag in range(1, neighbours + 1):
-                at = np.flatnonzero(region[lag:] == region[:-lag]) + lag if stop > lag else np.zeros(0, int)
+                at = np.flatnonzero((near[lag:] == near[:-lag]) & (near[lag:] >= 0)) + lag if stop > lag else np.zeros(0, int)
                 left.append(at - lag)
                 right.append(at)
             x, y = np.concatenate(left), np.concatenate(right)
