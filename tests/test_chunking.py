@@ -151,3 +151,31 @@ def test_many_unmet_chunks_and_holds(spark):
     df = _hours(spark, len(targets), lambda i: targets[i]).withColumnRenamed("v", "thermal_setpoint")
     got = ST.ramp_follow(df, spec=SeriesSpec(chunk_rows=8)).orderBy("row_id").collect()
     assert [r.p_thermal_dispatch for r in got] == _ramp_reference(targets)
+
+
+def _streams_its_rows(spark, df):
+    """Rows go through Python batch by batch, with no group of rows held whole."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    return df
+
+
+def _in_batches_of(spark, n, run):
+    """``run()`` with at most ``n`` rows in an Arrow batch."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, str(n))
+    try:
+        return run()
+    finally:
+        spark.conf.set(conf, old)
+
+
+def test_ramp_follow_streams_batches(spark):
+    """States are carried over Arrow batches of 3 rows, in chunks of 7 and in whole series."""
+    targets = ([0.0 if i % 2 else 5000.0 for i in range(20)] + [None] * 9 + [70.0 * i for i in range(30)]
+               + [None, 4000.0] * 5)
+    df = _hours(spark, len(targets), lambda i: targets[i]).withColumnRenamed("v", "thermal_setpoint")
+    for spec in (BIG, SMALL):
+        got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.ramp_follow(df, spec=spec)).collect())
+        assert [r.p_thermal_dispatch for r in sorted(got, key=lambda r: r.rn)] == _ramp_reference(targets)
