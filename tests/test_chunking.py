@@ -179,3 +179,16 @@ def test_ramp_follow_streams_batches(spark):
     for spec in (BIG, SMALL):
         got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.ramp_follow(df, spec=spec)).collect())
         assert [r.p_thermal_dispatch for r in sorted(got, key=lambda r: r.rn)] == _ramp_reference(targets)
+
+
+def test_low_pass_streams_batches(spark):
+    df = _hours(spark, 60, lambda i: None if i % 11 == 4 else float(i * 37 % 50))
+    want, s = [], None
+    for i in range(60):
+        v = None if i % 11 == 4 else float(i * 37 % 50)
+        s = v if s is None else s if v is None else 0.25 * v + 0.75 * s
+        want.append(s)
+    for spec in (BIG, SMALL):
+        got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.low_pass(df, "v", spec=spec)).collect())
+        got.sort(key=lambda r: r.rn)
+        assert all(abs(r.v_smooth - w) < 1e-9 for r, w in zip(got, want, strict=True))
