@@ -192,3 +192,32 @@ def test_low_pass_streams_batches(spark):
         got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.low_pass(df, "v", spec=spec)).collect())
         got.sort(key=lambda r: r.rn)
         assert all(abs(r.v_smooth - w) < 1e-9 for r, w in zip(got, want, strict=True))
+
+
+def _terms(spark, n):
+    """Rows of two series with the columns of the control terms that the integral reads."""
+    d = _hours(spark, n, lambda i: None if i % 13 == 5 else 50.0 + (-1) ** (i // 9) * (i % 7))
+    d = d.select("row_id", "ts", F.col("v").alias("frequency"), (F.col("row_id") % 5 * 60000.0).alias("p_actual"),
+                 (F.col("row_id") % 3 * 100000.0).alias("p_command"))
+    return d.withColumn("site_id", (F.col("row_id") % 2).cast("int"))
+
+
+def _integral_reference(rows):
+    x, out = 0.0, {}
+    for r in sorted(rows, key=lambda r: r.row_id):
+        if r.frequency is not None:
+            x += (5.0 * (50.0 - r.frequency) + 0.5 * (r.p_actual - r.p_command)) / 30.0
+        x = min(max(x, -5000.0), 5000.0)
+        out[r.row_id] = x
+    return out
+
+
+def test_agc_integral_streams_batches(spark):
+    df = _terms(spark, 80)
+    want = {}
+    for s in (0, 1):
+        want |= _integral_reference(df.where(F.col("site_id") == s).collect())
+    for spec in (BIG, SMALL):
+        got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.agc_integral(df, spec=spec)).collect())
+        assert len(got) == len(want) and all(abs(r.p_agc - want[r.row_id]) < 1e-6 for r in got)
+        assert {type(r.row_id) for r in got} == {int} and "_first" not in got[0].asDict()
