@@ -221,3 +221,14 @@ def test_agc_integral_streams_batches(spark):
         got = _in_batches_of(spark, 3, lambda: _streams_its_rows(spark, ST.agc_integral(df, spec=spec)).collect())
         assert len(got) == len(want) and all(abs(r.p_agc - want[r.row_id]) < 1e-6 for r in got)
         assert {type(r.row_id) for r in got} == {int} and "_first" not in got[0].asDict()
+
+
+def test_kpi_gate_streams_batches(spark, sf_small):
+    t = FX.telemetry(spark, sf_small)
+
+    def gate(spec):
+        terms = ST.agc_integral(T.control_terms(t, spec=spec), spec=spec)
+        return _streams_its_rows(spark, T.kpi_gate(T.telemetry_kpis(terms)))
+
+    want = rows(gate(BIG), ("site_id",))
+    same(want, _in_batches_of(spark, 5, lambda: rows(gate(BIG.with_chunk(30)), ("site_id",))))
